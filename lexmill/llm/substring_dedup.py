@@ -16,7 +16,7 @@ OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed",
 
 
 def kind(width: int = 50, hot: int = 4096) -> Kind:
-    return Kind(width, max(1, width * 16 // 50), of_words=True, per_document=True, hot=hot)
+    return Kind(width, max(1, width * 8 // 50), of_words=True, per_document=True, hot=hot)
 
 
 def parse(p: Piece, anchor: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
