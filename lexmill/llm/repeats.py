@@ -230,7 +230,9 @@ def matched(segs: DataFrame, kind: Kind, repeated: Matcher) -> DataFrame:
         if held and (t := pa.Table.from_batches(held)).num_rows:
             yield block(t)
 
-    met = first.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(blocks, "doc_id long, key long, keep binary")
+    # digests have nothing to meet: those of a hot anchor are spread
+    spread = F.when(F.octet_length("seg") == DIGEST, F.xxhash64("seg")).otherwise(0)
+    met = first.repartition("anchor", spread).sortWithinPartitions("anchor").mapInArrow(blocks, "doc_id long, key long, keep binary")
     return met.groupBy("doc_id").agg(F.collect_list(F.struct("key", "keep")).alias("kept"))
 
 
