@@ -115,14 +115,5 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return spans(BYTES[data], starts, ends)
 
 
-def grams(values: np.ndarray, k: int) -> np.ndarray:
-    """Hash of each k consecutive values."""
-    n = len(values) - k + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    i = np.arange(n)
-    return spans(values, i, i + k)
-
-
 def batch(schema: pa.Schema, *arrays: object) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a, f.type) for a, f in zip(arrays, schema, strict=True)], schema=schema)

@@ -13,7 +13,9 @@ theirs. Steps, each of them a Spark job over all documents:
    digests, and the aggregation of step 2 alone decides. A block is so bounded by ``hot`` segments per anchor.
 4. The caller reads for each document its shared anchors and the windows that it keeps, being their first occurrence.
 
-Texts cross the network once: both joins by doc_id reuse one exchange. Rows with a null doc_id are no reference and
+Texts that a smaller doc_id has as a whole are told apart before, by their digests.
+
+Texts cross the network once: all joins by doc_id reuse one exchange. Rows with a null doc_id are no reference and
 lose nothing.
 """
 
@@ -27,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import BYTES, SPACE, batch, grams, pieces, spans, utf8, word_hashes, words
+from lexmill.llm.common import BASE, BYTES, INVERSE, SPACE, batch, mix, pieces, powers, spans, utf8, word_hashes, words
 
-MARKS = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64())])
+MARKS = pa.schema([("anchor", pa.int64()), ("docs", pa.list_(pa.int64())), ("n", pa.int64())])
 SEGMENTS = pa.schema([("anchor", pa.int64()), ("seg", pa.binary()), ("doc_id", pa.int64()), ("start", pa.int64()), ("key", pa.int64())])
 KEPT = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("keep", pa.binary())])
 DIGEST = 16
@@ -69,49 +71,81 @@ def tokens(data: np.ndarray, off: np.ndarray, of_words: bool) -> Piece:
 def anchors(p: Piece, kind: Kind) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For each run of windows with one anchor: document row, anchor hash, first and last window start (tokens of the piece)."""
     none = np.zeros(0, np.int64)
-    g = grams(p.values, kind.gram)
-    w = kind.width - kind.gram + 1
+    k, w = kind.gram, kind.width - kind.gram + 1
     n = len(p.values) - kind.width + 1
     if n <= 0:
         return none, none, none, none
+    sums = np.zeros(len(p.values) + 1, np.uint64)
+    np.multiply(p.values, powers(BASE, len(p.values)), out=sums[1:])
+    np.cumsum(sums, out=sums)
+    g = sums[k:] - sums[:-k]
+    g *= powers(INVERSE, len(g))
     low = max(1, int(len(g) - 1).bit_length())
-    m = (g >> np.uint64(low) << np.uint64(low)) | np.arange(len(g), dtype=np.uint64)
+    m = g & np.uint64((1 << 64) - (1 << low))
+    m |= np.arange(len(g), dtype=np.uint64)
     size = 1
     while size * 2 <= w:
         m, size = np.minimum(m[:-size], m[size:]), size * 2
     if size < w:
         m = np.minimum(m[: len(m) - (w - size)], m[w - size :])
-    at = (m & np.uint64((1 << low) - 1)).astype(np.int64)[:n]
-    row = np.repeat(np.arange(len(p.first) - 1), np.diff(p.first))[:n]
-    whole = np.arange(n) + kind.width <= p.first[1:][row]
-    s = np.flatnonzero(whole)
-    if not len(s):
-        return none, none, none, none
-    new = np.flatnonzero(np.r_[True, (at[s][1:] != at[s][:-1]) | (row[s][1:] != row[s][:-1])])
-    lo, hi = s[new], s[np.r_[new[1:], len(s)] - 1]
-    return row[lo], g[at[lo]].view(np.int64), lo, hi
+    m &= np.uint64((1 << low) - 1)
+    at = m[:n].view(np.int64)
+    # a new run where the anchor changes or a document begins; windows that leave their document end it
+    new = np.empty(n, bool)
+    new[0] = True
+    np.not_equal(at[1:], at[:-1], out=new[1:])
+    new[p.first[:-1][p.first[:-1] < n]] = True
+    stop = np.clip(p.first[1:] - kind.width + 1, 0, n)
+    new[stop[stop < n]] = True
+    lo = np.flatnonzero(new)
+    hi = np.r_[lo[1:], n] - 1
+    row = np.searchsorted(p.first, lo, "right") - 1
+    whole = lo < stop[row]
+    lo, hi, row = lo[whole], hi[whole], row[whole]
+    return row, mix(g[at[lo]]).view(np.int64), lo, hi
+
+
+#: Bytes of text that are looked at together; their arrays fit a core's cache.
+PIECE = 1 << 19
+
+
+def each_piece(rows: pa.RecordBatch, of_words: bool) -> Iterator[tuple[int, int, Piece]]:
+    data, off = utf8(rows.column("text"))
+    for i, j in pieces(off, PIECE):
+        yield i, j, tokens(data[off[i] : off[j]], off[i : j + 1] - off[i], of_words)
 
 
-def each_piece(rows: pa.RecordBatch, of_words: bool, column: str = "text") -> Iterator[tuple[int, int, Piece]]:
-    data, off = utf8(rows.column(column))
-    for i, j in pieces(off):
-        yield i, j, tokens(data[off[i] : off[j]], off[i : j + 1] - off[i], of_words)
+def copies(docs: DataFrame) -> DataFrame:
+    """doc_id and the digests of its texts that a smaller doc_id has as a whole. docs: doc_id, digest."""
+    first = docs.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    return docs.join(first, "digest").filter("doc_id > first").groupBy("doc_id").agg(F.collect_set("digest").alias("copied"))
 
 
 def marks(docs: DataFrame, kind: Kind) -> DataFrame:
-    """doc_id and its anchors that occur again: shared and, for over kind.hot occurrences, hot. Documents without any have no row."""
+    """doc_id and its anchors that occur again: shared and, for over kind.hot occurrences, hot. Documents without any have no row.
+
+    A task writes one row for an anchor and all documents of a piece that have it. These rows are dealt once, for the
+    counts as well as for the way back to the documents.
+    """
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             ids = rows.column("doc_id").to_numpy(zero_copy_only=False)
             for i, _, p in each_piece(rows, kind.of_words):
                 row, anchor, _, _ = anchors(p, kind)
-                both, n = np.unique(np.rec.fromarrays([row, anchor]), return_counts=True)
-                yield batch(MARKS, both.f1, ids[i + both.f0].astype(np.int64), np.ones(len(n), np.int64) if kind.per_document else n)
+                order = np.lexsort((row, anchor))
+                row, anchor = row[order], anchor[order]
+                new = np.r_[True, anchor[1:] != anchor[:-1]][: len(anchor)]
+                own = new | np.r_[True, row[1:] != row[:-1]][: len(anchor)]
+                at, edge = np.flatnonzero(own), np.flatnonzero(new)
+                n = np.diff(np.r_[edge, len(anchor)]) if not kind.per_document else np.diff(np.r_[np.flatnonzero(new[at]), len(at)])
+                docs_of = pa.ListArray.from_arrays(pa.array(np.r_[np.flatnonzero(new[at]), len(at)].astype(np.int32)), pa.array(ids[i + row[at]].astype(np.int64)))
+                yield batch(MARKS, anchor[edge], docs_of, n)
 
-    all_marks = docs.filter("doc_id IS NOT NULL").mapInArrow(found, "anchor long, doc_id long, n long")
-    shared = all_marks.groupBy("anchor").agg(F.sum("n").alias("total")).filter("total > 1").select("anchor", (F.col("total") > kind.hot).alias("hot"))
-    return all_marks.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set(F.when(~F.col("hot"), F.col("anchor"))).alias("shared"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
+    dealt = docs.mapInArrow(found, "anchor long, docs array<long>, n long").repartition("anchor")
+    shared = dealt.groupBy("anchor").agg(F.sum("n").alias("total")).filter("total > 1").select("anchor", (F.col("total") > kind.hot).alias("hot"))
+    own = dealt.join(shared, "anchor").select("anchor", "hot", F.explode("docs").alias("doc_id"))
+    return own.groupBy("doc_id").agg(F.collect_set(F.when(~F.col("hot"), F.col("anchor"))).alias("shared"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
 
 
 def lists(column: pa.Array) -> list[np.ndarray]:
@@ -241,34 +275,51 @@ PIECE_OF_BLOCK = 1 << 20
 
 
 def with_repeats(docs: DataFrame, kind: Kind, repeated: Matcher) -> DataFrame:
-    """docs (doc_id, text) with shared, hot and kept for ``repeated_windows``."""
-    of_doc = marks(docs, kind)
-    dealt = docs.repartition("doc_id")
-    segs = segments(dealt.join(of_doc, "doc_id"), kind)
-    return dealt.join(of_doc, "doc_id", "left").join(matched(segs, kind, repeated), "doc_id", "left")
+    """docs (doc_id, text) with copied (a smaller doc_id has the same text), and with shared, hot and kept for ``Repeats``.
+
+    What a copied text has, its first copy has: it is repeated as a whole and takes no part in the search.
+    """
+    dealt = docs.withColumn("digest", F.md5(F.col("text").cast("binary"))).repartition("doc_id")
+    of_doc = copies(docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))).hint("shuffle_hash")
+    told = dealt.join(of_doc, "doc_id", "left").select("doc_id", "text", F.coalesce(F.array_contains("copied", F.col("digest")), F.lit(False)).alias("copied"))
+    firsts = told.filter("NOT copied AND doc_id IS NOT NULL").select("doc_id", "text")
+    of_anchors = marks(firsts, kind).hint("shuffle_hash")
+    kept = matched(segments(firsts.join(of_anchors, "doc_id"), kind), kind, repeated).hint("shuffle_hash")
+    return told.join(of_anchors, "doc_id", "left").join(kept, "doc_id", "left")
 
 
-def repeated_windows(rows: pa.RecordBatch, kind: Kind) -> Iterator[tuple[int, int, Piece, np.ndarray]]:
-    """For each piece of rows its first and last row, its tokens and a flag for each token: a window that occurs earlier starts here."""
+def repeated_windows(rows: pa.RecordBatch, kind: Kind) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """rows as of ``with_repeats``. For pieces of them: first and last row, bytes, each row's first byte, and for each row a flag for each token: a window that occurs earlier starts here."""
     shared, hot, kept = lists(rows.column("shared")), lists(rows.column("hot")), rows.column("kept")
-    for i, j, p in each_piece(rows, kind.of_words):
-        starts = np.zeros(len(p.values), bool)
-        if any(len(shared[x]) or len(hot[x]) for x in range(i, j)):
-            r = runs_of(p, kind, shared[i:j], hot[i:j])
-            edges = np.searchsorted(r.row, np.arange(j - i + 1))
-            for x in range(j - i):
-                keep = {y["key"]: y["keep"] for y in kept[i + x].as_py() or ()}
-                for at in range(edges[x], edges[x + 1]):
-                    lo, hi = int(r.lo[at]), int(r.hi[at]) + 1
-                    bits = keep.get(int(r.key[at]))
+    copied = rows.column("copied").to_numpy(zero_copy_only=False)
+    data, off = utf8(rows.column("text"))
+    for i, j in pieces(off, PIECE):
+        part, edges = data[off[i] : off[j]], off[i : j + 1] - off[i]
+        first = words(part, edges, ~SPACE)[2] if kind.of_words else edges
+        flags = [np.full(n, c) for n, c in zip(np.diff(first), copied[i:j], strict=True)]
+        marked = [r for r in range(j - i) if not copied[i + r] and (len(shared[i + r]) or len(hot[i + r]))]
+        if marked:
+            own = np.concatenate([part[edges[r] : edges[r + 1]] for r in marked])
+            p = tokens(own, np.r_[0, np.cumsum(edges[1:][marked] - edges[:-1][marked])], kind.of_words)
+            runs = runs_of(p, kind, [shared[i + r] for r in marked], [hot[i + r] for r in marked])
+            bounds = np.searchsorted(runs.row, np.arange(len(marked) + 1)).tolist()
+            lows, highs, keys = (runs.lo - p.first[runs.row]).tolist(), (runs.hi - p.first[runs.row] + 1).tolist(), runs.key.tolist()
+            for x, r in enumerate(marked):
+                keep = {y["key"]: y["keep"] for y in kept[i + r].as_py() or ()}
+                starts = flags[r]
+                for at in range(bounds[x], bounds[x + 1]):
+                    lo, hi, bits = lows[at], highs[at], keep.get(keys[at])
                     if bits is None:
                         starts[lo:hi] = True
                         continue
                     if bits:
                         starts[lo:hi] = np.unpackbits(np.frombuffer(bits, np.uint8), count=hi - lo, bitorder="little") == 0
                     if not kind.per_document:  # the same tokens once more in this document are a repetition
-                        del keep[int(r.key[at])]
-        yield i, j, p, starts
+                        del keep[keys[at]]
+        # in a copied text a window starts at each token that has enough tokens after it
+        for f in flags:
+            f[max(0, len(f) - kind.width + 1) :] = False
+        yield i, j, part, edges, flags
 
 
 def covered(starts: np.ndarray, width: int) -> np.ndarray:
@@ -277,3 +328,9 @@ def covered(starts: np.ndarray, width: int) -> np.ndarray:
     step[: len(starts)] += starts
     step[width : width + len(starts)] -= starts
     return np.cumsum(step)[: len(starts)] > 0
+
+
+def runs_of_true(flags: np.ndarray) -> list[list[int]]:
+    """First place and length of each run of true."""
+    edge = np.flatnonzero(np.diff(np.r_[False, flags, False].astype(np.int8))).reshape(-1, 2)
+    return np.stack([edge[:, 0], edge[:, 1] - edge[:, 0]], 1).tolist()

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lexmill.llm.common import batch, columns, spans
-from lexmill.llm.repeats import Kind, Piece, covered, repeated_windows, with_repeats
+from lexmill.llm.repeats import Kind, Piece, covered, repeated_windows, runs_of_true, with_repeats
 
 OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string()), ("spans", pa.list_(pa.list_(pa.int64())))])
 
@@ -60,21 +60,17 @@ def substring_dedup(docs: DataFrame, width: int = 50, hot: int = 4096) -> DataFr
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             ids = rows.column("doc_id")
-            for i, j, p, starts in repeated_windows(rows, k):
-                gone = covered(starts, width)
-                texts, removed = [], []
-                lost = np.add.reduceat(np.r_[gone, False].astype(np.int64), np.minimum(p.first[:-1], len(gone)))
+            for i, j, part, edges, flags in repeated_windows(rows, k):
+                out = []
                 for r in range(j - i):
-                    a, b = p.first[r], p.first[r + 1]
-                    ws = p.data[p.off[r] : p.off[r + 1]].tobytes().split()
-                    cuts = np.zeros((0, 2), np.int64)
-                    if b > a and lost[r]:
-                        edge = np.flatnonzero(np.diff(np.r_[False, gone[a:b], False].astype(np.int8)))
-                        cuts = edge.reshape(-1, 2)
-                        ws = [w for w, g in zip(ws, gone[a:b].tolist(), strict=True) if not g]
-                    removed.append([[x, y - x] for x, y in cuts.tolist()])
-                    texts.append(b" ".join(ws))
-                n = np.diff(p.first)
-                yield batch(OUT, ids.slice(i, j - i), n, np.where(n > 0, lost, 0), [hashlib.sha256(t).hexdigest() for t in texts], [t.decode() for t in texts], removed)
+                    ws = part[edges[r] : edges[r + 1]].tobytes().split()
+                    n, cuts = len(ws), []
+                    if flags[r].any():
+                        gone = covered(flags[r], width)
+                        cuts = runs_of_true(gone)
+                        ws = [w for w, g in zip(ws, gone.tolist(), strict=True) if not g]
+                    text = b" ".join(ws)
+                    out.append((n, n - len(ws), hashlib.sha256(text).hexdigest(), text.decode(), cuts))
+                yield batch(OUT, ids.slice(i, j - i), *zip(*out, strict=True))
 
     return with_repeats(columns(docs, doc_id="long", text="string"), k, lambda p, anchor, doc, _: parse(p, anchor, doc, width)[0]).mapInArrow(cleaned, "doc_id long, n_words long, n_removed long, kept_sha256 string, text string, spans array<array<long>>")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lexmill.llm.common import batch, columns
-from lexmill.llm.repeats import Kind, Piece, covered, repeated_windows, with_repeats
+from lexmill.llm.repeats import Kind, Piece, covered, repeated_windows, runs_of_true, with_repeats
 
 OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("spans", pa.list_(pa.list_(pa.int64())))])
 
@@ -146,20 +146,15 @@ def suffix_dedup(docs: DataFrame, width: int = 100, hot: int = 4096) -> DataFram
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             ids = rows.column("doc_id")
-            for i, j, p, starts in repeated_windows(rows, k):
-                gone = covered(starts, width)
-                kept, removed, lost = [], [], []
+            for i, j, part, edges, flags in repeated_windows(rows, k):
+                out = []
                 for r in range(j - i):
-                    a, b = p.off[r], p.off[r + 1]
-                    own = p.data[a:b]
-                    cuts: list[list[int]] = []
-                    if (g := gone[a:b]).any():
-                        edge = np.flatnonzero(np.diff(np.r_[False, g, False].astype(np.int8))).reshape(-1, 2)
-                        cuts = np.stack([edge[:, 0], edge[:, 1] - edge[:, 0]], 1).tolist()
-                        own = own[~g]
-                    removed.append(cuts)
-                    lost.append(sum(x[1] for x in cuts))
-                    kept.append(own.tobytes())
-                yield batch(OUT, ids.slice(i, j - i), np.diff(p.off), lost, [len(x) for x in removed], [hashlib.sha256(t).hexdigest() for t in kept], kept, removed)
+                    own, cuts = part[edges[r] : edges[r + 1]], []
+                    if flags[r].any():
+                        gone = covered(flags[r], width)
+                        cuts, own = runs_of_true(gone), own[~gone]
+                    kept = own.tobytes()
+                    out.append((int(edges[r + 1] - edges[r]), int(edges[r + 1] - edges[r]) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest(), kept, cuts))
+                yield batch(OUT, ids.slice(i, j - i), *zip(*out, strict=True))
 
     return with_repeats(columns(docs, doc_id="long", text="string"), k, lambda p, _, doc, start: repeated(p, doc, start, width)).mapInArrow(cleaned, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<array<long>>")
