@@ -10,6 +10,7 @@ from lexmill.llm import line_dedup as lines
 from lexmill.llm.decontamination import contaminated
 from lexmill.llm.license_scan import license_scan
 from lexmill.llm.media_columns import media_columns
+from lexmill.llm.mixing import mixture
 from lexmill.llm.sharding import shard_documents
 from lexmill.llm.simhash import simhash_components
 from lexmill.llm.substring_dedup import substring_dedup
@@ -57,6 +58,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(documents(spark, sf_dir))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_license_scan": op2_license_scan,
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_line_dedup": op7_line_dedup,
     "op8_media_columns": op8_media_columns,
     "op9_simhash": op9_simhash,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {"op7_line_dedup": lines.ORACLE}
