@@ -41,12 +41,12 @@ SQL: dict[str, str] = {
     "hits": "SELECT query_id, rank, article_id, van_ban_id, article_id || '_K' || (1 + rank % 2) AS chunk_id, 1.0 / (1 + rank) AS score FROM (SELECT o_custkey AS query_id, dieu_id AS article_id, van_ban_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INT) AS rank FROM {order_ids}) x WHERE rank <= 3",
     "focus": "SELECT query_id, article_id FROM {hits} WHERE rank <= 2",
     "judgments": "SELECT o_custkey AS query_id, dieu_id AS unit_id, o_orderkey % 3 <> 0 AS relevant FROM {order_ids} WHERE o_orderkey % 5 <> 0",
-    "article_text": "SELECT dieu_id AS article_id, '[Điều ' || o_orderkey || ', Luật ' || van_ban_id || '] giá ' || CAST(o_totalprice AS INT) AS content FROM {order_ids} WHERE o_orderkey % 11 <> 0",
+    "article_text": "SELECT dieu_id AS article_id, '[Điều ' || o_orderkey || ', Luật ' || van_ban_id || '] giá ' || CAST(floor(o_totalprice) AS INT) AS content FROM {order_ids} WHERE o_orderkey % 11 <> 0",
     # evaluation rows: a case for each document that has labels, a mode for each source
     "cases": "SELECT d.doc_id AS case_id, lang AS category, 'm' || (d.doc_id % 3) AS mode, quality, toxic, n_chars FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id",
     "gold": "SELECT o_custkey AS case_id, dieu_id, 'D' || (o_orderkey % 4) AS category FROM {order_ids} WHERE o_orderkey % 4 <> 3",
-    "llm_calls": "SELECT user_id AS query_id, 'm' || (user_id % 3) AS mode, event_type AS tag, CAST(value * 100 AS INT) AS prompt, CAST(value * 10 AS INT) AS completion FROM {events}",
-    "judged": "SELECT event_id, user_id AS case_id, 'k' || (user_id % 4) AS category, event_type AS metric, CASE WHEN event_id % 17 = 0 THEN NULL ELSE value END AS score, CAST(event_id / 100 AS INT) AS batch FROM {events}",
+    "llm_calls": "SELECT user_id AS query_id, 'm' || (user_id % 3) AS mode, event_type AS tag, CAST(floor(value * 100) AS INT) AS prompt, CAST(floor(value * 10) AS INT) AS completion FROM {events}",
+    "judged": "SELECT event_id, user_id AS case_id, 'k' || (user_id % 4) AS category, event_type AS metric, CASE WHEN event_id % 17 = 0 THEN NULL ELSE value END AS score, CAST(floor(event_id / 100) AS INT) AS batch FROM {events}",
 }
 
 
