@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -125,12 +126,14 @@ def marks(docs: DataFrame, kind: Kind) -> DataFrame:
     """doc_id and its anchors that occur again: shared and, for over kind.hot occurrences, hot. Documents without any have no row.
 
     A task writes one row for an anchor and all documents of a piece that have it. These rows are dealt once, for the
-    counts as well as for the way back to the documents.
+    counts as well as for the way back to the documents (both read n and docs, though one of them would do, since the exchange
+    is only shared if neither has a column less).
     """
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            ids = rows.column("doc_id").to_numpy(zero_copy_only=False)
+            rows = rows.filter(pc.is_valid(rows.column("doc_id")))
+            ids = rows.column("doc_id").to_numpy()
             for i, _, p in each_piece(rows, kind.of_words):
                 row, anchor, _, _ = anchors(p, kind)
                 order = np.lexsort((row, anchor))
@@ -143,8 +146,8 @@ def marks(docs: DataFrame, kind: Kind) -> DataFrame:
                 yield batch(MARKS, anchor[edge], docs_of, n)
 
     dealt = docs.mapInArrow(found, "anchor long, docs array<long>, n long").repartition("anchor")
-    shared = dealt.groupBy("anchor").agg(F.sum("n").alias("total")).filter("total > 1").select("anchor", (F.col("total") > kind.hot).alias("hot"))
-    own = dealt.join(shared, "anchor").select("anchor", "hot", F.explode("docs").alias("doc_id"))
+    shared = dealt.groupBy("anchor").agg(F.sum(F.greatest("n", F.size("docs"))).alias("total")).filter("total > 1").select("anchor", (F.col("total") > kind.hot).alias("hot"))
+    own = dealt.join(shared, "anchor").select("anchor", "hot", F.explode_outer(F.when(F.col("n") > 0, F.col("docs"))).alias("doc_id"))
     return own.groupBy("doc_id").agg(F.collect_set(F.when(~F.col("hot"), F.col("anchor"))).alias("shared"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
 
 
@@ -207,6 +210,7 @@ def segments(marked: DataFrame, kind: Kind) -> DataFrame:
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
+            rows = rows.filter(pc.is_valid(rows.column("doc_id")))
             ids, shared, hot = rows.column("doc_id").to_numpy(), lists(rows.column("shared")), lists(rows.column("hot"))
             for i, j, p in each_piece(rows, kind.of_words):
                 r = runs_of(p, kind, shared[i:j], hot[i:j])
@@ -279,25 +283,36 @@ def with_repeats(docs: DataFrame, kind: Kind, repeated: Matcher) -> DataFrame:
 
     What a copied text has, its first copy has: it is repeated as a whole and takes no part in the search.
     """
-    dealt = docs.withColumn("digest", F.md5(F.col("text").cast("binary"))).repartition("doc_id")
-    of_doc = copies(docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))).hint("shuffle_hash")
-    told = dealt.join(of_doc, "doc_id", "left").select("doc_id", "text", F.coalesce(F.array_contains("copied", F.col("digest")), F.lit(False)).alias("copied"))
-    firsts = told.filter("NOT copied AND doc_id IS NOT NULL").select("doc_id", "text")
-    of_anchors = marks(firsts, kind).hint("shuffle_hash")
-    kept = matched(segments(firsts.join(of_anchors, "doc_id"), kind), kind, repeated).hint("shuffle_hash")
-    return told.join(of_anchors, "doc_id", "left").join(kept, "doc_id", "left")
+    # a key that can't be null, and no filter on what is dealt: so all uses are of one exchange of the texts
+    docs = docs.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), "text", F.md5(F.col("text").cast("binary")).alias("digest"))
+    dealt = docs.repartition("key")
+
+    def by_key(df: DataFrame) -> DataFrame:
+        return df.withColumnRenamed("doc_id", "key").hint("shuffle_hash")
+
+    told = dealt.join(by_key(copies(docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "digest"))), "key", "left")
+    told = told.select("key", "doc_id", "text", F.coalesce(F.array_contains("copied", F.col("digest")), F.lit(False)).alias("copied"))
+    firsts = told.filter("NOT copied")
+    of_anchors = by_key(marks(firsts, kind))
+    kept = by_key(matched(segments(firsts.join(of_anchors, "key"), kind), kind, repeated))
+    return told.join(of_anchors, "key", "left").join(kept, "key", "left")
+
+
+#: Stands for a null doc_id where rows are dealt.
+NO_ID = -(1 << 63)
 
 
 def repeated_windows(rows: pa.RecordBatch, kind: Kind) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[np.ndarray]]]:
     """rows as of ``with_repeats``. For pieces of them: first and last row, bytes, each row's first byte, and for each row a flag for each token: a window that occurs earlier starts here."""
     shared, hot, kept = lists(rows.column("shared")), lists(rows.column("hot")), rows.column("kept")
-    copied = rows.column("copied").to_numpy(zero_copy_only=False)
+    rows_without_id = rows.column("doc_id").is_null().to_numpy(zero_copy_only=False)
+    copied = rows.column("copied").to_numpy(zero_copy_only=False) & ~rows_without_id
     data, off = utf8(rows.column("text"))
     for i, j in pieces(off, PIECE):
         part, edges = data[off[i] : off[j]], off[i : j + 1] - off[i]
         first = words(part, edges, ~SPACE)[2] if kind.of_words else edges
         flags = [np.full(n, c) for n, c in zip(np.diff(first), copied[i:j], strict=True)]
-        marked = [r for r in range(j - i) if not copied[i + r] and (len(shared[i + r]) or len(hot[i + r]))]
+        marked = [r for r in range(j - i) if not copied[i + r] and not rows_without_id[i + r] and (len(shared[i + r]) or len(hot[i + r]))]
         if marked:
             own = np.concatenate([part[edges[r] : edges[r + 1]] for r in marked])
             p = tokens(own, np.r_[0, np.cumsum(edges[1:][marked] - edges[:-1][marked])], kind.of_words)
