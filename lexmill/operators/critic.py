@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.operators.graph_query import closure, hop, joined
+from lexmill.session import cut
 
 #: The order in which kinds of gaps are looked at.
 PRIORITY = {"reference": 0, "compound": 1, "structural": 2}
@@ -102,8 +103,7 @@ def multi_hop(fetched: DataFrame, hits: DataFrame, edges: DataFrame, judgments:
     Each step looks at references out of what the step before accepted, except what the query knows already (retrieved,
     fetched or rejected). A query takes no more once it has 2 x most fetched articles.
     """
-    e = article_edges(edges).persist()
-    fetched = fetched.persist()  # read by each step; a plan that derived it anew each time would double with every hop
+    e, fetched = cut(article_edges(edges)), cut(fetched)  # read by each step; plans would double with every hop
     known = hits.select("query_id", "article_id").unionByName(fetched.select("query_id", "article_id")).distinct()
     counts = fetched.groupBy("query_id").agg(F.count("*").alias("had"))
     frontier, out = fetched.select("query_id", "article_id"), None
@@ -111,7 +111,8 @@ def multi_hop(fetched: DataFrame, hits: DataFrame, edges: DataFrame, judgments:
         new = frontier.join(e.withColumnRenamed("a", "article_id"), "article_id").select("query_id", F.col("b").alias("article_id")).distinct().join(known, ["query_id", "article_id"], "left_anti")
         judged = gated(new, judgments, texts)
         before = F.coalesce(F.sum(F.col("accepted").cast("int")).over(Window.partitionBy("query_id").orderBy("article_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        step = judged.join(counts, "query_id", "left").withColumn("before", before + F.coalesce("had", F.lit(0))).filter(F.col("before") < 2 * most).select("query_id", "article_id", F.lit(h).alias("hop"), "accepted").persist()
+        step = judged.join(counts, "query_id", "left").withColumn("before", before + F.coalesce("had", F.lit(0))).filter(F.col("before") < 2 * most).select("query_id", "article_id", F.lit(h).alias("hop"), "accepted")
+        step = cut(step)
         out = step if out is None else out.unionByName(step)
         known = known.unionByName(step.select("query_id", "article_id"))
         frontier = step.filter("accepted").select("query_id", "article_id")

@@ -10,6 +10,7 @@ from lexmill.operators import graph_build as G
 from lexmill.operators import graph_query as Q
 from lexmill.plans.registry import Tables, query
 from lexmill.plans.texts import LAW_CTE, law_chunks
+from lexmill.session import cut
 
 # --- building -------------------------------------------------------------------------------------------------------
 
@@ -157,7 +158,7 @@ def orphans(t: Tables) -> DataFrame:
 
 
 PEN = """WITH pen AS (SELECT id, 'h' || (CAST(substr(id, 2) AS INT) * 3) AS chunk_id, ten AS mo_ta FROM {nodes} WHERE label = 'CheTai'), beh AS (SELECT id, 'h' || (CAST(substr(id, 2) AS INT) / 2 * 2)::INT AS chunk_id FROM {nodes} WHERE label = 'HanhVi'),
-ed AS (SELECT * FROM {edges} WHERE NOT (rel IN ('CHE_TAI_CHINH', 'CHE_TAI_BO_SUNG') AND CAST(substr(dst, 2) AS INT) % 3 = 1)),
+ed AS (SELECT * FROM {edges} WHERE NOT (rel IN ('CHE_TAI_CHINH', 'CHE_TAI_BO_SUNG') AND coalesce(TRY_CAST(substr(dst, 2) AS INT), 0) % 3 = 1)),
 lost AS (SELECT *, CASE WHEN mo_ta LIKE 'Phạt tiền%' THEN 'CHE_TAI_CHINH' WHEN mo_ta LIKE 'Tịch thu%' OR mo_ta LIKE 'Buộc %' THEN 'CHE_TAI_BO_SUNG' END AS kind FROM pen WHERE id NOT IN (SELECT dst FROM ed WHERE rel IN ('CHE_TAI_CHINH', 'CHE_TAI_BO_SUNG'))),
 fix AS (SELECT DISTINCT beh.id AS src, kind AS rel, lost.id AS dst FROM lost JOIN beh USING (chunk_id) WHERE kind IS NOT NULL)
 """.replace("(CAST(substr(id, 2) AS INT) / 2 * 2)::INT", "(CAST(substr(id, 2) AS INT) - CAST(substr(id, 2) AS INT) % 2)")
@@ -167,7 +168,7 @@ def penalties(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     n = F.substring("id", 2, 20).cast("int")
     pen = t.nodes.filter("label = 'CheTai'").select("id", F.concat(F.lit("h"), (n * 3).cast("string")).alias("chunk_id"), F.col("ten").alias("mo_ta"))
     beh = t.nodes.filter("label = 'HanhVi'").select("id", F.concat(F.lit("h"), (n - n % 2).cast("string")).alias("chunk_id"))
-    return pen, beh, t.edges.filter(~(F.col("rel").isin(*G.PENALTIES) & (F.expr("try_cast(substring(dst, 2, 20) AS INT)") % 3 == 1)))
+    return pen, beh, t.edges.filter(~(F.col("rel").isin(*G.PENALTIES) & (F.expr("coalesce(try_cast(substring(dst, 2, 20) AS INT), 0) % 3 = 1"))))
 
 
 @query("classify_penalty", LAW_CTE + "SELECT chunk_id, CASE WHEN body LIKE 'Phạt tiền%' THEN 'CHE_TAI_CHINH' WHEN body LIKE 'Tịch thu%' OR body LIKE 'Buộc %' THEN 'CHE_TAI_BO_SUNG' END AS kind FROM (SELECT chunk_id, regexp_replace(content, '^(Điều[^\\n]*\\n)?[0-9]+\\. ', '') AS body FROM chunks WHERE chunk_type = 'khoan') x")
@@ -315,38 +316,38 @@ r1 AS (SELECT query_id, article_id, gap_type, accepted FROM (SELECT *, row_numbe
 
 
 def totals(t: Tables) -> DataFrame:
-    return Q.part_count(t.nodes, t.edges)
+    return Q.part_count(t.nodes, t.kept("edges"))
 
 
 def all_gaps(t: Tables) -> DataFrame:
-    focus = t.focus
-    compound = focus.join(K.compound_penalties(focus.select("article_id").distinct(), t.edges), "article_id")
-    return K.gaps(K.missing_references(focus, t.hits, t.edges), compound, K.structural_gaps(t.hits, focus, totals(t))).persist()
+    focus = t.kept("focus")
+    compound = focus.join(K.compound_penalties(focus.select("article_id").distinct(), t.kept("edges")), "article_id")
+    return cut(K.gaps(K.missing_references(focus, t.kept("hits"), t.kept("edges")), compound, K.structural_gaps(t.kept("hits"), focus, totals(t))))
 
 
 def chunk_judgments(t: Tables) -> DataFrame:
     """Verdicts on articles, and on every second chunk of them."""
-    j = t.judgments
+    j = t.kept("judgments")
     return j.unionByName(j.withColumn("unit_id", F.concat("unit_id", F.lit("_K2"))))
 
 
 def first_round(t: Tables) -> DataFrame:
-    return K.round_one(all_gaps(t), t.hits, chunk_judgments(t), t.article_text)
+    return cut(K.round_one(all_gaps(t), t.kept("hits"), chunk_judgments(t), t.kept("article_text")))
 
 
 @query("missing_refs", "WITH base AS (SELECT 1)" + REFS + "SELECT query_id, article_id, CASE d WHEN 0 THEN 'outgoing' ELSE 'incoming' END AS direction, related FROM refs")
 def missing_refs(t: Tables) -> DataFrame:
-    return K.missing_references(t.focus, t.hits, t.edges)
+    return K.missing_references(t.kept("focus"), t.kept("hits"), t.kept("edges"))
 
 
 @query("compound_penalty", "WITH base AS (SELECT 1)" + COMPOUND + "SELECT * FROM cp")
 def compound_penalty(t: Tables) -> DataFrame:
-    return K.compound_penalties(t.focus.select("article_id").distinct(), t.edges)
+    return K.compound_penalties(t.kept("focus").select("article_id").distinct(), t.kept("edges"))
 
 
 @query("structural_gaps", "WITH base AS (SELECT 1)" + STRUCT + "SELECT * FROM sg")
 def structural_gaps(t: Tables) -> DataFrame:
-    return K.structural_gaps(t.hits, t.focus, totals(t))
+    return K.structural_gaps(t.kept("hits"), t.kept("focus"), totals(t))
 
 
 @query("critic_report", GAPS + """, sug AS (SELECT query_id FROM gaps WHERE gap_type <> 'structural' UNION ALL SELECT query_id FROM gaps g WHERE gap_type = 'structural' AND (query_id, article_id) NOT IN (SELECT (query_id, article_id) FROM gaps WHERE gap_type = 'compound')),
@@ -354,17 +355,17 @@ q AS (SELECT DISTINCT query_id FROM {hits})
 SELECT q.query_id, count(g.query_id) = 0 AS is_complete, string_agg(DISTINCT article_id, ',' ORDER BY article_id) FILTER (gap_type = 'reference') AS reference, string_agg(DISTINCT article_id, ',' ORDER BY article_id) FILTER (gap_type = 'compound') AS compound,
 string_agg(DISTINCT article_id, ',' ORDER BY article_id) FILTER (gap_type = 'structural') AS structural, coalesce(any_value(n), 0) AS n_suggestions FROM q LEFT JOIN gaps g ON g.query_id = q.query_id LEFT JOIN (SELECT query_id, count(*) AS n FROM sug GROUP BY 1) s ON s.query_id = q.query_id GROUP BY 1""")
 def critic_report(t: Tables) -> DataFrame:
-    return K.report(t.hits, all_gaps(t))
+    return K.report(t.kept("hits"), all_gaps(t))
 
 
 @query("gate_apply", GAPS + "SELECT query_id, gap_type, article_id, by_text AS accepted FROM gt")
 def gate_apply(t: Tables) -> DataFrame:
-    return K.gated(all_gaps(t), t.judgments, t.article_text)
+    return K.gated(all_gaps(t), t.kept("judgments"), t.kept("article_text"))
 
 
 @query("gate_any", GAPS + "SELECT * FROM ch")
 def gate_any(t: Tables) -> DataFrame:
-    return K.any_relevant(t.hits, chunk_judgments(t))
+    return K.any_relevant(t.kept("hits"), chunk_judgments(t))
 
 
 @query("critic_round1", GAPS + "SELECT * FROM r1")
@@ -383,12 +384,12 @@ f{n} AS (SELECT * FROM s{n} WHERE accepted)"""
     + ", kn1 AS (SELECT * FROM kn0 UNION SELECT query_id, article_id FROM s1), h1 AS (SELECT query_id, count(*) AS had FROM (SELECT query_id FROM ft UNION ALL SELECT query_id FROM f1) y GROUP BY 1)" + hop_sql(2, "f1", "kn1", "h1")
     + " SELECT query_id, article_id, 1 AS hop, accepted FROM s1 UNION ALL SELECT query_id, article_id, 2, accepted FROM s2")
 def multi_hop(t: Tables) -> DataFrame:
-    return K.multi_hop(first_round(t).filter("accepted"), t.hits, t.edges, t.judgments, t.article_text, most=2)
+    return K.multi_hop(first_round(t).filter("accepted"), t.kept("hits"), t.kept("edges"), t.kept("judgments"), t.kept("article_text"), most=2)
 
 
 @query("mixed_doc_guard", GAPS + "SELECT query_id, count(DISTINCT van_ban_id) AS n_documents, arg_min(article_id, rank) AS article_id FROM (SELECT h.query_id, rank, h.article_id, CASE WHEN rank = 3 THEN 'v' || (query_id % 5) ELSE van_ban_id END AS van_ban_id FROM {hits} h) z WHERE query_id NOT IN (SELECT query_id FROM r1 WHERE accepted) GROUP BY 1 HAVING count(DISTINCT van_ban_id) >= 2")
 def mixed_doc_guard(t: Tables) -> DataFrame:
-    hits = t.hits.withColumn("van_ban_id", F.when(F.col("rank") == 3, F.concat(F.lit("v"), (F.col("query_id") % 5).cast("string"))).otherwise(F.col("van_ban_id")))
+    hits = t.kept("hits").withColumn("van_ban_id", F.when(F.col("rank") == 3, F.concat(F.lit("v"), (F.col("query_id") % 5).cast("string"))).otherwise(F.col("van_ban_id")))
     return K.mixed_document_guard(hits, first_round(t).filter("accepted"))
 
 
@@ -398,7 +399,7 @@ CONTEXT = ", cx AS (SELECT query_id, string_agg(CASE gap_type WHEN 'reference' T
 
 @query("critic_context", GAPS + CONTEXT + " SELECT * FROM cx")
 def critic_context(t: Tables) -> DataFrame:
-    return K.critic_context(first_round(t), t.article_text, HEADERS)
+    return K.critic_context(first_round(t), t.kept("article_text"), HEADERS)
 
 
 @query("mode_contexts", GAPS + CONTEXT + """, nv AS (SELECT query_id, string_agg(chunk_id, chr(10) ORDER BY rank) AS context FROM {hits} GROUP BY 1), ex AS (SELECT query_id, string_agg(article_id, chr(10) ORDER BY rank) AS context FROM {hits} GROUP BY 1)
@@ -406,7 +407,7 @@ SELECT query_id, 'naive' AS mode, context, false AS regenerate FROM nv UNION ALL
 def mode_contexts(t: Tables) -> DataFrame:
     from lexmill.operators.retrieval import ordered_text
 
-    return K.mode_contexts(ordered_text(t.hits, ["query_id"], "rank", "chunk_id", "\n"), ordered_text(t.hits, ["query_id"], "rank", "article_id", "\n"), K.critic_context(first_round(t), t.article_text, HEADERS))
+    return K.mode_contexts(ordered_text(t.kept("hits"), ["query_id"], "rank", "chunk_id", "\n"), ordered_text(t.kept("hits"), ["query_id"], "rank", "article_id", "\n"), K.critic_context(first_round(t), t.kept("article_text"), HEADERS))
 
 
 @query("trace_evidence", GAPS + """, cd AS (SELECT query_id, article_id, min(CASE gap_type WHEN 'reference' THEN 0 WHEN 'compound' THEN 1 ELSE 2 END) AS r FROM gaps GROUP BY 1, 2), cl AS (SELECT query_id, string_agg(article_id, ',' ORDER BY r, article_id) AS candidates FROM cd GROUP BY 1),
@@ -414,7 +415,7 @@ kd AS (SELECT query_id, string_agg(DISTINCT gap_type, ',' ORDER BY gap_type) AS
 fn AS (SELECT query_id, string_agg(article_id, ',' ORDER BY article_id) AS final FROM (SELECT query_id, article_id FROM {hits} UNION SELECT query_id, article_id FROM r1 WHERE accepted) z GROUP BY 1)
 SELECT fn.query_id, final, gap_types, candidates, accepted, rejected FROM fn LEFT JOIN kd USING (query_id) LEFT JOIN cl USING (query_id) LEFT JOIN vd USING (query_id)""")
 def trace_evidence(t: Tables) -> DataFrame:
-    return K.trace_evidence(all_gaps(t), first_round(t), t.hits)
+    return K.trace_evidence(all_gaps(t), first_round(t), t.kept("hits"))
 
 
 CITES = "SELECT query_id, rank AS pos, article_id, 'Điều ' || split_part(article_id, '_D', 2) AS label, 'lý do ' || rank AS reason FROM {hits} UNION ALL SELECT query_id, rank + 10, article_id, 'Điều ' || split_part(article_id, '_D', 2), 'sau' FROM {hits}"
@@ -423,7 +424,7 @@ ANSWERS = "SELECT query_id, string_agg(CASE rank WHEN 1 THEN 'điều ' || split
 
 def citations(t: Tables) -> DataFrame:
     label = F.concat(F.lit("Điều "), F.element_at(F.split("article_id", "_D"), 2))
-    h = t.hits
+    h = t.kept("hits")
     first = h.select("query_id", F.col("rank").alias("pos"), "article_id", label.alias("label"), F.concat(F.lit("lý do "), F.col("rank").cast("string")).alias("reason"))
     return first.unionByName(h.select("query_id", (F.col("rank") + 10).alias("pos"), "article_id", label.alias("label"), F.lit("sau").alias("reason")))
 
@@ -437,7 +438,7 @@ def citation_dedup(t: Tables) -> DataFrame:
 def missing_citations(t: Tables) -> DataFrame:
     number = F.element_at(F.split("article_id", "_D"), 2)
     said = F.when(F.col("rank") == 1, F.concat(F.lit("điều "), number)).when(F.col("rank") == 2, F.concat(F.lit("Điều "), number, F.lit("0"))).otherwise("")
-    answers = t.hits.withColumn("t", said).groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "t"))), lambda x: x["t"]), "; ").alias("answer"))
+    answers = t.kept("hits").withColumn("t", said).groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "t"))), lambda x: x["t"]), "; ").alias("answer"))
     return K.missing_citations(K.required_citations(citations(t)), answers)
 
 

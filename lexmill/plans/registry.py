@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lexmill.plans.inputs import table, with_inputs
+from lexmill.session import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -18,10 +19,17 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
+        self._kept: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name)
 
+    def kept(self, name: str) -> DataFrame:
+        """A derived table that a query reads several times, computed once."""
+        if name not in self._kept:
+            self._kept[name] = cut(table(self.spark, self.sf_dir, name))
+        return self._kept[name]
+
 
 def query(name: str, oracle: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], Callable[[Tables], DataFrame]]:
     """Registers a function of Tables under a name, with DuckDB SQL in which {x} stands for a table."""
