@@ -8,6 +8,7 @@ import uuid
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Accented letters by the letter that replaces them in folded ids.
 FOLDED = {
@@ -114,7 +115,7 @@ def tokens(text: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(_col(text)), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _normal(text: pd.Series, form: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else unicodedata.normalize(f, t) for t, f in zip(text, form, strict=True)], dtype=object)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -26,7 +26,8 @@ STATUTE = Markers(
     note=r"(?iu)^(?:\d+\s+|\[\d+\]\s*)(?:Tên|Luật|Nghị định|Thông tư|Quyết định|Điểm|Khoản|Điều|Cụm từ|Từ|Các|Mục)(?![\p{L}\p{N}_])",
 )
 
-_DOC = Window.partitionBy("doc_id").orderBy("line_no")
+def _doc() -> WindowSpec:
+    return Window.partitionBy("doc_id").orderBy("line_no")
 
 
 def lines_of(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -38,7 +39,7 @@ def lines_of(docs: DataFrame, text: str = "text") -> DataFrame:
 def classified(lines: DataFrame, markers: Markers) -> DataFrame:
     """lines with cls: article, clause, point, text, or none before the first article; lines from the ending note on are dropped."""
     art = F.col("line").rlike(markers.article)
-    seen = F.max(art).over(_DOC)
+    seen = F.max(art).over(_doc())
     with_end = lines.withColumn("in_article", seen).withColumn("end", F.min(F.when(F.col("in_article") & ~art & F.col("line").rlike(markers.note), F.col("line_no"))).over(Window.partitionBy("doc_id")))
     kept = with_end.filter("end IS NULL OR line_no < end")
     cls = F.when(art, "article").when(~F.col("in_article"), "none").when(F.col("line").rlike(markers.clause), "clause").when(F.col("line").rlike(markers.point), "point").otherwise("text")
@@ -53,8 +54,8 @@ def filled(lines: DataFrame, markers: Markers) -> DataFrame:
     """Classified lines within articles, with the article (and which of the same number it is), clause and point that each stands in, and chunk_seq."""
     lines = lines.filter("cls <> 'none'")
     count = lambda kind, w: F.sum(F.when(F.col("cls") == kind, 1).otherwise(0)).over(w)
-    out = lines.withColumn("article_seq", count("article", _DOC)).withColumn("chunk_seq", F.sum(F.when(F.col("cls") != "text", 1).otherwise(0)).over(_DOC))
-    out = out.withColumn("article", F.last(number("article", markers.article), True).over(_DOC))
+    out = lines.withColumn("article_seq", count("article", _doc())).withColumn("chunk_seq", F.sum(F.when(F.col("cls") != "text", 1).otherwise(0)).over(_doc()))
+    out = out.withColumn("article", F.last(number("article", markers.article), True).over(_doc()))
     in_article = Window.partitionBy("doc_id", "article_seq").orderBy("line_no")
     out = out.withColumn("clause", F.last(number("clause", markers.clause), True).over(in_article)).withColumn("clause_run", count("clause", in_article))
     in_clause = Window.partitionBy("doc_id", "article_seq", "clause_run").orderBy("line_no")

@@ -113,11 +113,14 @@ def wrong_cardinality(gold: DataFrame, many: list[str]) -> DataFrame:
 def near_duplicates(texts: DataFrame, threshold: float = 0.9, k: int = 3) -> DataFrame:
     """Pairs a < b of rows (id, text) whose sets of k-character shingles have a Jaccard similarity of threshold or more.
 
-    Prefix filtering: shingles are ordered from rare to frequent, and two sets so similar share one of each other's first
-    ones. Only pairs that do are compared, by the sizes of their sets and of what is shared.
+    Equal texts (case and spacing apart) are one: each copy is paired with the first of them, which stands for them in all
+    other pairs. Prefix filtering then: shingles are ordered from rare to frequent, and two sets so similar share one of
+    each other's first ones. Only pairs that do are compared, by the sizes of their sets and of what is shared.
     """
-    flat = F.lower(F.trim(F.regexp_replace("text", r"\s+", " ")))
-    sets = texts.select("id", F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(flat) - (k - 1), F.lit(1))), lambda i: F.substring(flat, i, F.lit(k)))).alias("s"))
+    flat = texts.select("id", F.lower(F.trim(F.regexp_replace("text", r"\s+", " "))).alias("t")).filter("t IS NOT NULL")
+    first = flat.groupBy("t").agg(F.min("id").alias("rep"))
+    copies = flat.join(first, "t").filter("id > rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
+    sets = first.select(F.col("rep").alias("id"), F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - (k - 1), F.lit(1))), lambda i: F.substring("t", i, F.lit(k)))).alias("s"))
     each = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("sh"))
     freq = each.groupBy("sh").agg(F.count("*").alias("df"))
     ordered = each.join(freq, "sh").withColumn("p", F.row_number().over(Window.partitionBy("id").orderBy("df", "sh")))
@@ -126,7 +129,7 @@ def near_duplicates(texts: DataFrame, threshold: float = 0.9, k: int = 3) -> Dat
     pairs = head.withColumnRenamed("id", "a").join(b, "sh").filter((F.col("a") < F.col("b")) & (F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9)).select("a", "b").distinct()
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    return both.select("a", "b", (shared / (F.size("x") + F.size("y") - shared)).alias("jaccard")).filter(F.col("jaccard") >= threshold)
+    return both.select("a", "b", (shared / (F.size("x") + F.size("y") - shared)).alias("jaccard")).filter(F.col("jaccard") >= threshold).unionByName(copies)
 
 
 def exact_ratio(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -142,7 +145,8 @@ def exact_ratio(pairs: DataFrame, threshold: float) -> DataFrame:
 
 def case_source(gold: DataFrame, texts: DataFrame, missing: str = "[không có văn bản]") -> DataFrame:
     """The texts (item, content) of a case's gold items (case_id, pos, item) in order, with a marker for those without."""
-    of = gold.join(texts.withColumn("item", F.lower("item")), F.lower(gold["item"]) == F.lower(texts["item"]), "left").select(gold["case_id"], gold["pos"], F.coalesce("content", F.lit(missing)).alias("t"))
+    keyed = texts.select(F.lower("item").alias("key"), "content")
+    of = gold.withColumn("key", F.lower("item")).join(keyed, "key", "left").select("case_id", "pos", F.coalesce("content", F.lit(missing)).alias("t"))
     return of.groupBy("case_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda x: x["t"]), "\n\n").alias("source"))
 
 

@@ -18,9 +18,9 @@ def json_text(output: Column) -> Column:
     return F.trim(F.when(fenced != "", fenced).otherwise(loose))
 
 
-def closed(text: str) -> str | None:
-    """A JSON text whose end is missing, closed after its last whole value; null if nothing of it can be read."""
-    for end in range(len(text), 0, -1):
+def closed(text: str, most: int = 400) -> str | None:
+    """A JSON text whose end is missing, closed after its last whole value; null if its last most characters don't hold the end of one."""
+    for end in range(len(text), max(0, len(text) - most), -1):
         part, stack, quoted, skip = text[:end].rstrip().rstrip(","), [], False, False
         for c in part:
             if skip or (quoted and c == "\\"):
@@ -31,18 +31,14 @@ def closed(text: str) -> str | None:
                 stack.append("}" if c == "{" else "]")
             elif not quoted and c in "}]" and stack:
                 stack.pop()
-        if quoted or not stack:
-            if quoted or not part:
-                continue
+        if quoted or not part or part[-1] in "{[":
+            continue
+        whole = part + "".join(reversed(stack))
         try:
-            whole = part + "".join(reversed(stack))
             json.loads(whole)
-            return whole
         except ValueError:
             continue
-        finally:
-            if len(text) - end > 400:
-                return None
+        return whole
     return None
 
 
@@ -57,7 +53,7 @@ def parsed_outputs(outputs: DataFrame) -> DataFrame:
             fixed = [closed(x) if x else None for x in b.json]
             yield pd.DataFrame({"id": b.id, "json": fixed, "status": ["failed" if x is None else "repaired" for x in fixed]})
 
-    return good.unionByName(tried.filter("NOT whole").select("id", "json").mapInPandas(repaired, good.schema))
+    return good.unionByName(tried.filter("NOT whole").select("id", "json").mapInPandas(repaired, "id long, json string, status string"))
 
 
 def verdicts(answers: DataFrame, text: str = "text") -> DataFrame:
