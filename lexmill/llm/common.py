@@ -1,39 +1,20 @@
-"""What the operators of this subpackage share: checkpoints, Arrow text access, hashing of words and windows in numpy."""
+"""What the operators of this subpackage share: Arrow text access, hashing of words and windows in numpy."""
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.session import cut  # noqa: F401
+
 #: Bytes of text that a task turns into numpy arrays at once (a longer document is a piece of its own).
 PIECE = 2 << 20
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where neither that nor a checkpoint folder is set (tests), a new local one."""
-    sc = spark.sparkContext
-    if (kept := sc.getCheckpointDir()) is not None:
-        return kept
-    path = spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
-    if not path:
-        os.makedirs("/tmp/checkpoints", exist_ok=True)
-        path = "file://" + tempfile.mkdtemp(dir="/tmp/checkpoints")
-    sc.setCheckpointDir(path)
-    return path
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, kept in the checkpoint folder: lost executors don't make Spark go back further than this."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def columns(docs: DataFrame, **kinds: str) -> DataFrame:
     """Only the named columns, cast; columns that docs hasn't are null. Extra columns can't clash with the operators' own."""
     have = {c.lower(): c for c in docs.columns}
