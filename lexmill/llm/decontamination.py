@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import batched, chain
 
 import numpy as np
 import pyarrow as pa
@@ -230,10 +231,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     reported once; equal items are reported each; items with one item_id are items of their own, of which the best is
     reported; empty tables give an empty table; other columns are ignored.
     """
-    items = [(r["item_id"], r["text"]) for r in columns(benchmark, item_id="long", text="string").filter("text IS NOT NULL").orderBy("item_id", "text").toLocalIterator()]
+    rows = columns(benchmark, item_id="long", text="string").filter("text IS NOT NULL").orderBy("item_id", "text").toLocalIterator()
     found = None
-    for a in range(0, max(1, len(items)), BLOCK):
-        ix = docs.sparkSession.sparkContext.broadcast(index(items[a : a + BLOCK], 1 - similarity, recall))
+    for block in chain(batched(rows, BLOCK), [()]):  # never more than a block of items at once
+        if not block and found is not None:
+            break
+        ix = docs.sparkSession.sparkContext.broadcast(index([(r["item_id"], r["text"]) for r in block], 1 - similarity, recall))
 
         def search(batches: Iterator[pa.RecordBatch], ix=ix) -> Iterator[pa.RecordBatch]:
             ix = ix.value
