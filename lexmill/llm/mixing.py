@@ -15,62 +15,111 @@ from lexmill.llm.common import ALNUM, LOWER, SPACE, batch, columns, cut, mix, pi
 MARGINS = ("source", "lang", "topic")
 #: Buckets that words are hashed to for topics.
 DIM = 512
-VECTORS = pa.schema([("v", pa.binary())])
+#: A bag's entry: a bucket and how many words are in it.
+BAG = np.dtype([("bucket", "<u2"), ("n", "<u4")])
+#: What vectors are multiplied by before they are added up.
+FIXED = float(1 << 30)
+SUMS = pa.schema([("centre", pa.int32()), ("bucket", pa.int32()), ("total", pa.int64())])
+COUNTED = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("lang", pa.string()), ("n_tokens", pa.int64()), ("bag", pa.binary())])
 OUT = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("lang", pa.string()), ("topic", pa.int32()), ("n_tokens", pa.int64())])
 
 
-def bags(part: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Unit vectors of logarithmic counts of hashed words of four bytes or more, one for each text; zero for a text without."""
+def counted(docs: DataFrame) -> DataFrame:
+    """doc_id, source, lang (null: empty), n_tokens (words between ASCII whitespace) and bag (see ``bags``) of each row; texts are read once."""
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            data, off = utf8(rows.column("text"))
+            for i, j in pieces(off):
+                part, edges = data[off[i] : off[j]], off[i : j + 1] - off[i]
+                first = words(part, edges, ~SPACE)[2]
+                own = [rows.column(c).slice(i, j - i) for c in ("doc_id", "source", "lang")]
+                yield batch(COUNTED, own[0], own[1].fill_null(""), own[2].fill_null(""), np.diff(first), bags(part, edges))
+
+    docs = columns(docs, doc_id="long", text="string", source="string", lang="string")
+    return docs.mapInArrow(told, "doc_id long, source string, lang string, n_tokens long, bag binary")
+
+
+def bags(part: np.ndarray, off: np.ndarray) -> list[bytes]:
+    """The buckets of hashed words of four bytes or more and their counts, for each text."""
     low = LOWER[part]
     starts, ends, first = words(low, off, ALNUM)
     bucket = (mix(word_hashes(low, starts, ends)) % np.uint64(DIM)).astype(np.int64)
     row = np.repeat(np.arange(len(off) - 1), np.diff(first))
     use = ends - starts >= 4
-    v = np.log1p(np.bincount(row[use] * DIM + bucket[use], minlength=(len(off) - 1) * DIM)).reshape(-1, DIM).astype(np.float32)
+    n = np.bincount(row[use] * DIM + bucket[use], minlength=(len(off) - 1) * DIM)
+    at = np.flatnonzero(n)
+    out = np.empty(len(at), BAG)
+    out["bucket"], out["n"] = at % DIM, n[at]
+    edges = np.searchsorted(at, np.arange(len(off)) * DIM)
+    return [out[a:b].tobytes() for a, b in zip(edges, edges[1:])]
+
+
+def vectors(column: pa.Array) -> np.ndarray:
+    """Unit vectors of logarithmic counts; zero for an empty bag."""
+    data, off = utf8(column)
+    entries = np.frombuffer(data[off[0] : off[-1]].tobytes(), BAG)
+    row = np.repeat(np.arange(len(off) - 1), np.diff(off) // BAG.itemsize)
+    v = np.bincount(row * DIM + entries["bucket"], weights=np.log1p(entries["n"]), minlength=(len(off) - 1) * DIM).reshape(-1, DIM)
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
 
 
-def topic_centres(docs: DataFrame, topics: int = 8, sample_rows: int = 4000, rounds: int = 12) -> np.ndarray:
-    """Centres of a spherical k-means fitted on a bounded sample: the sample_rows texts with the smallest hash of doc_id. docs: doc_id, text."""
-    # hashes only are sorted; texts are read again for the rows chosen, which a broadcast of sample_rows numbers names
-    docs = docs.filter("text <> ''")
-    keys = [F.xxhash64("doc_id").alias("k1"), F.xxhash64("text").alias("k2")]
-    named = docs.select(*keys).distinct().orderBy("k1", "k2").limit(sample_rows)
-    chosen = docs.select("text", *keys).join(F.broadcast(named), ["k1", "k2"]).select("text")
+def chunks(rows: pa.RecordBatch, size: int = 2048) -> Iterator[pa.RecordBatch]:
+    return (rows.slice(k, size) for k in range(0, len(rows), size))
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            data, off = utf8(rows.column("text"))
-            for i, j in pieces(off):
-                yield batch(VECTORS, [v.tobytes() for v in bags(data[off[i] : off[j]], off[i : j + 1] - off[i])])
 
-    v = np.frombuffer(b"".join(r["v"] for r in chosen.mapInArrow(vectors, "v binary").collect()), np.float32).reshape(-1, DIM)
-    v = v[np.lexsort(v.T[::-1])] if len(v) else np.zeros((1, DIM), np.float32)
-    c = v[np.sort(np.random.default_rng(5).choice(len(v), min(topics, len(v)), replace=False))]
+def topic_seeds(of: DataFrame, topics: int) -> np.ndarray:
+    """Vectors of the topics distinct bags with the smallest hashes."""
+    keyed = of.filter(F.length("bag") > 0).select(F.xxhash64("bag").alias("h"), "bag")
+    least = [r["h"] for r in keyed.select("h").distinct().orderBy("h").limit(topics).collect()]
+    found = keyed.filter(F.col("h").isin(least)).groupBy("h").agg(F.min("bag").alias("bag")).orderBy("h").collect() if least else []
+    return vectors(pa.array([bytes(r["bag"]) for r in found], pa.binary())) if found else np.zeros((1, DIM))
+
+
+def topic_centres(of: DataFrame, topics: int = 8, rounds: int = 12) -> np.ndarray:
+    """Centres of a spherical k-means over all rows of of (bag): each round is a job over them, and only centres are collected.
+
+    Sums are of whole numbers (vectors times 2**30), so they don't depend on how rows are dealt to tasks.
+    """
+    c = topic_seeds(of, topics)
     for _ in range(rounds):
-        of = (v @ c.T).argmax(1)
-        for k in range(len(c)):
-            if (of == k).any():
-                c[k] = v[of == k].sum(0)
-        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
+
+        def summed(batches: Iterator[pa.RecordBatch], c: np.ndarray = c) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros(c.shape, np.int64)
+            for rows in batches:
+                for some in chunks(rows):
+                    v = vectors(some.column("bag"))
+                    nearest = (v @ c.T).argmax(1)
+                    whole = np.rint(v * FIXED).astype(np.int64)
+                    for k in range(len(c)):
+                        sums[k] += whole[nearest == k].sum(0)
+            k, bucket = np.nonzero(sums)
+            yield batch(SUMS, k.astype(np.int32), bucket.astype(np.int32), sums[k, bucket])
+
+        total = of.select("bag").mapInArrow(summed, "centre int, bucket int, total long").groupBy("centre", "bucket").agg(F.sum("total").alias("total")).collect()
+        new = np.zeros(c.shape)
+        for r in total:
+            new[r["centre"], r["bucket"]] = r["total"] / FIXED
+        size = np.linalg.norm(new, axis=1, keepdims=True)
+        new = np.where(size > 0, new / np.maximum(size, 1e-9), c)
+        if np.array_equal(new, c):
+            break
+        c = new
     return c
 
 
-def described(docs: DataFrame, topics: int = 8, sample_rows: int = 4000) -> DataFrame:
+def described(docs: DataFrame, topics: int = 8) -> DataFrame:
     """doc_id, source, lang (null: empty), topic and n_tokens (words between ASCII whitespace) of each row."""
-    docs = columns(docs, doc_id="long", text="string", source="string", lang="string")
-    centres = topic_centres(docs, topics, sample_rows)
+    of = cut(counted(docs))
+    centres = topic_centres(of, topics)
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            data, off = utf8(rows.column("text"))
-            for i, j in pieces(off):
-                part, edges = data[off[i] : off[j]], off[i : j + 1] - off[i]
-                first = words(part, edges, ~SPACE)[2]
-                own = [rows.column(c).slice(i, j - i) for c in ("doc_id", "source", "lang")]
-                yield batch(OUT, own[0], own[1].fill_null(""), own[2].fill_null(""), (bags(part, edges) @ centres.T).argmax(1).astype(np.int32), np.diff(first))
+            for some in chunks(rows):
+                topic = (vectors(some.column("bag")) @ centres.T).argmax(1).astype(np.int32)
+                yield batch(OUT, some.column("doc_id"), some.column("source"), some.column("lang"), topic, some.column("n_tokens"))
 
-    return docs.mapInArrow(told, "doc_id long, source string, lang string, topic int, n_tokens long")
+    return of.mapInArrow(told, "doc_id long, source string, lang string, topic int, n_tokens long")
 
 
 def tempered(cells: DataFrame, column: str, power: float) -> DataFrame:
@@ -147,13 +196,13 @@ def calibrated(cells: DataFrame, keep: float, rounds: int = 50) -> DataFrame:
     return cells.withColumn("p", F.least(F.lit(1.0), F.col("weight") * scale))
 
 
-def mixture(docs: DataFrame, targets: DataFrame | None = None, keep: float = 0.5, power: float = 0.7, topics: int = 8, sample_rows: int = 4000, seed: int = 17) -> DataFrame:
+def mixture(docs: DataFrame, targets: DataFrame | None = None, keep: float = 0.5, power: float = 0.7, topics: int = 8, seed: int = 17) -> DataFrame:
     """Which documents to take so that sources, languages and topics get their target shares of the tokens.
 
     Tokens are counted over all documents, for each combination of source, language and topic; these cells are raked to
     the targets (margin, value, share; by default each margin's own shares to a power). A document's probability is its
     cell's weight, scaled so that keep of all tokens are expected, and 1 at most; it is taken if a hash of its doc_id
-    falls below. Topics are the nearest of a k-means fitted on sample_rows texts at most; all else sees every document.
+    falls below. Topics are the nearest centres of a k-means over all documents.
     Returns a row for each row of docs: doc_id, source, lang, topic, n_tokens, weight, probability, taken.
 
     Defined cases: a null source or lang is the empty one; null and empty texts have no tokens, are of topic 0, weigh
@@ -161,7 +210,7 @@ def mixture(docs: DataFrame, targets: DataFrame | None = None, keep: float = 0.5
     with one doc_id share their chance, a null doc_id has one too; an empty table gives an empty table; other columns
     are ignored.
     """
-    told = cut(described(docs, topics, sample_rows))
+    told = cut(described(docs, topics))
     cells = cut(told.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")))
     if targets is None:
         targets = tempered(cells, "source", power).unionByName(tempered(cells, "lang", power)).unionByName(tempered(cells, "topic", power))

@@ -64,3 +64,23 @@ def test_defined_cases(spark):
     assert mixture(docs.limit(0)).collect() == [] and mixed(docs.limit(0)).collect() == []
     rows = mixture(docs, spark.createDataFrame([("lang", "en", 1.0)], "margin string, value string, share double")).collect()
     assert len(rows) == 5
+
+
+def test_topics_are_fitted_on_every_text(spark):
+    from lexmill.llm.mixing import DIM, counted, topic_centres, topic_seeds, vectors
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    vocab = [f"word{i}" for i in range(400)]
+    rows = [(i, " ".join(rng.choice(vocab[40 * (i % 9) :][:60], 12))) for i in range(5000)]
+    of = counted(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).cache()
+    v = vectors(pa.array([bytes(r.bag) for r in of.select("bag").collect()], pa.binary()))
+    assert v.shape == (5000, DIM)
+    want = topic_seeds(of, 8)
+    for _ in range(3):
+        nearest = (v @ want.T).argmax(1)
+        sums = np.array([v[nearest == k].sum(0) if (nearest == k).any() else want[k] for k in range(8)])
+        want = sums / np.linalg.norm(sums, axis=1, keepdims=True)
+    got = topic_centres(of, 8, rounds=3)
+    assert np.allclose(got, want, atol=1e-6)
+    assert np.array_equal(got, topic_centres(of.repartition(3), 8, rounds=3))
