@@ -18,11 +18,15 @@ OUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.i
 BLOCK = 20_000
 #: Coordinates of the embedding that are sampled together.
 SAMPLED = 3
+#: Longer items are searched for by overlapping pieces of so many words; some piece of a near copy has no more than its share of the edits.
+PIECE_WORDS = 30
+#: Repetitions beyond which a recall counts as out of reach (an error), and made-up copies by which they are counted.
+MOST_REPETITIONS, TRIALS = 2000, 400
 
 
 @dataclass
 class Group:
-    """Items of about one length: the shortest and longest, which words they have, and, for each repetition, its coordinates and the items by key."""
+    """Pieces of about one length: the shortest and longest, which words they have, and, for each repetition, its coordinates and the pieces by key. Of a piece: its item and its place in that."""
 
     least: int
     most: int
@@ -30,6 +34,8 @@ class Group:
     steps: np.ndarray
     keys: list[np.ndarray]
     owners: list[np.ndarray]
+    item: np.ndarray
+    place: np.ndarray
 
 
 @dataclass
@@ -73,28 +79,63 @@ def keyed(sampled: np.ndarray) -> np.ndarray:
     return h
 
 
-def repetitions(rate: float, recall: float, rng: np.random.Generator) -> int:
-    """How often to sample so that a text at the limit of rate edits is met with the wanted chance, by trial on made-up texts."""
-    hits, trials = 0, 400
-    for t in range(trials):
-        n = 30
-        a = rng.integers(0, 1 << 40, n)
-        b = a.tolist()
-        for _ in range(budget(n, rate)):
-            k = int(rng.integers(0, len(b)))
-            what = rng.integers(0, 3)
-            if what == 0:
-                b[k] = int(rng.integers(0, 1 << 40))
-            elif what == 1 and len(b) > 1:
-                del b[k]
-            else:
-                b.insert(k, int(rng.integers(0, 1 << 40)))
-        steps = np.sort(rng.choice(int(1.5 * n), SAMPLED, replace=False))
-        x = np.r_[a, b]
-        w = walk(x, np.array([0, n]), np.array([n, len(x)]), t * 104729, steps)
-        hits += bool((w[0] == w[1]).all())
-    p = max(hits, 1) / trials
-    return max(1, int(np.ceil(np.log(1 - recall) / np.log(1 - min(p, 0.999)))))
+def edited(words: np.ndarray, edits: int, rng: np.random.Generator) -> list[int]:
+    b = words.tolist()
+    for _ in range(edits):
+        k = int(rng.integers(0, len(b)))
+        what = rng.integers(0, 3)
+        if what == 0:
+            b[k] = int(rng.integers(0, 1 << 40))
+        elif what == 1 and len(b) > 1:
+            del b[k]
+        else:
+            b.insert(k, int(rng.integers(0, 1 << 40)))
+    return b
+
+
+def repetitions(least: int, most: int, rate: float, recall: float, seeds: np.ndarray, steps: np.ndarray) -> int:
+    """How many of seeds and steps meet the wanted share of made-up copies at the limit of rate edits, of pieces of most words in longer texts.
+
+    All starts from which a window can meet the copy are tried, as in the search, so what is counted is what is met: copies
+    that are hard to meet by any repetition count as such.
+    """
+    edits = budget(most, rate)
+    if not edits:
+        return 1
+    rng = np.random.default_rng(most)
+    own, at, stop, of = [], [], [], []
+    begins, ends, place = [], [], 0
+    for t in range(TRIALS):
+        a = rng.integers(0, 1 << 40, most)
+        b = edited(a, edits, rng)
+        text = np.r_[a, rng.integers(0, 1 << 40, edits), b, rng.integers(0, 1 << 40, most)]
+        begins.append(place)
+        ends.append(place + most)
+        first = place + most + edits
+        for k in range(max(0, edits // 2), -1, -1):
+            starts = {first - k, first + k}
+            for i in starts:
+                at.append(i)
+                stop.append(min(i + int(most * (1 + rate)), place + len(text)))
+                of.append(t)
+        place += len(text)
+        own.append(text)
+    x, met = np.concatenate(own), np.zeros(TRIALS, bool)
+    at, stop, of = np.array(at), np.array(stop), np.array(of)
+    for r in range(len(steps)):
+        w = keyed(walk(x, np.array(begins), np.array(ends), int(seeds[r]), steps[r]))
+        met[of[keyed(walk(x, at, stop, int(seeds[r]), steps[r])) == w[of]]] = True
+        if met.mean() >= recall:
+            return r + 1
+    raise ValueError(f"{len(steps)} repetitions do not reach a recall of {recall} for {most} words")
+
+
+def cut_up(n: int) -> list[tuple[int, int]]:
+    """First and last word of each piece of an item of n words: the item itself, or pieces that overlap by half at least."""
+    if n <= PIECE_WORDS * 3 // 2:
+        return [(0, n)]
+    k = -(-2 * (n - PIECE_WORDS) // PIECE_WORDS) + 1
+    return [(i, i + PIECE_WORDS) for i in np.linspace(0, n - PIECE_WORDS, k).astype(int).tolist()]
 
 
 def index(items: list[tuple[int, str]], rate: float, recall: float) -> Index:
@@ -111,28 +152,38 @@ def index(items: list[tuple[int, str]], rate: float, recall: float) -> Index:
             ids.append(i)
             seqs.append(np.searchsorted(vocabulary, h[first[k] : first[k + 1]]))
     rng = np.random.default_rng(11)
-    n_rep = repetitions(rate, recall, rng)
-    seeds = rng.integers(1, 1 << 62, n_rep)
+    seeds = rng.integers(1, 1 << 62, MOST_REPETITIONS)
+
+    def sampled(least: int, most: int) -> np.ndarray:
+        """Coordinates for as many repetitions as pieces of that length need."""
+        span = max(1, int(1.5 * least))
+        steps = np.stack([np.sort(rng.choice(span, min(SAMPLED, span), replace=False)) for _ in range(MOST_REPETITIONS)])
+        return steps[: repetitions(least, most, rate, recall, seeds, steps)]
+
+    used = len(sampled(PIECE_WORDS, PIECE_WORDS))
     groups = []
-    by_length = sorted(range(len(seqs)), key=lambda k: len(seqs[k]))
-    while by_length:
-        least = len(seqs[by_length[0]])
-        own = [k for k in by_length if len(seqs[k]) <= max(least, int(least * 1.25))]
-        by_length = by_length[len(own) :]
+    cuts = [(b - a, k, a) for k, s in enumerate(seqs) for a, b in cut_up(len(s))]
+    cuts.sort()
+    while cuts:
+        least = cuts[0][0]
+        own = [c for c in cuts if c[0] <= max(least, int(least * 1.25))]
+        cuts = cuts[len(own) :]
+        most = own[-1][0]
+        parts = [seqs[k][a : a + n] for n, k, a in own]
+        x = np.concatenate(parts)
         has = np.zeros(len(vocabulary) + 1, bool)
-        for k in own:
-            has[seqs[k]] = True
-        span = max(1, int(1.5 * least))
-        steps = np.stack([np.sort(rng.choice(span, min(SAMPLED, span), replace=False)) for _ in range(n_rep)])
-        x = np.concatenate([seqs[k] for k in own])
-        at = np.cumsum([0] + [len(seqs[k]) for k in own])
+        has[x] = True
+        steps = sampled(least, most)
+        used = max(used, len(steps))
+        at = np.cumsum([0] + [n for n, _, _ in own])
         keys, owners = [], []
-        for r in range(n_rep):
+        for r in range(len(steps)):
             key = keyed(walk(x, at[:-1], at[1:], int(seeds[r]), steps[r]))
             order = np.argsort(key, kind="stable")
             keys.append(key[order])
-            owners.append(np.array(own)[order])
-        groups.append(Group(least, len(seqs[own[-1]]), has, steps, keys, owners))
+            owners.append(order)
+        groups.append(Group(least, most, has, steps, keys, owners, np.array([k for _, k, _ in own]), np.array([a for _, _, a in own])))
+    seeds = seeds[:used]
     return Index(vocabulary, np.array(ids, np.int64), seqs, seeds, groups, rate)
 
 
@@ -162,7 +213,7 @@ def nearest(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 
 
 def candidates(x: np.ndarray, first: np.ndarray, ix: Index) -> np.ndarray:
-    """x: words of some texts as places in the vocabulary (its length for others). Rows of text, start and item, each once.
+    """x: words of some texts as places in the vocabulary (its length for others). Rows of text, where the item would start, and item, each once.
 
     A window can be within the edits allowed only if that many of its words less are words of the group's items; windows
     that aren't are never embedded.
@@ -178,7 +229,7 @@ def candidates(x: np.ndarray, first: np.ndarray, ix: Index) -> np.ndarray:
         if not len(at):
             continue
         stop = np.minimum(at + int(g.most * (1 + ix.rate)), first[1:][row[at]])
-        for r, seed in enumerate(ix.seeds.tolist()):
+        for r, seed in enumerate(ix.seeds[: len(g.steps)].tolist()):
             for a in range(0, len(at), 1 << 18):
                 part = slice(a, a + (1 << 18))
                 key = keyed(walk(x, at[part], stop[part], seed, g.steps[r]))
@@ -187,7 +238,8 @@ def candidates(x: np.ndarray, first: np.ndarray, ix: Index) -> np.ndarray:
                 if n.any():
                     which = np.repeat(np.arange(len(n)), n)
                     of = lo[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-                    found.append(np.stack([row[at[part]][which], at[part][which], g.owners[r][of]], 1))
+                    piece = g.owners[r][of]
+                    found.append(np.stack([row[at[part]][which], at[part][which] - g.place[piece], g.item[piece]], 1))
     return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
 
 
@@ -200,11 +252,11 @@ def verified(x: np.ndarray, first: np.ndarray, pairs: np.ndarray, ix: Index) ->
         row, at, item = pairs[k].tolist()
         seq = ix.items[item]
         spare = budget(len(seq), ix.rate)
-        lo = max(int(first[row]), at - spare)
-        hi = at + len(seq) + spare
+        lo = max(int(first[row]), at - 2 * spare)
+        hi = at + len(seq) + 2 * spare
         k += 1
         while k < len(pairs) and pairs[k, 0] == row and pairs[k, 2] == item and pairs[k, 1] <= hi:
-            hi = int(pairs[k, 1]) + len(seq) + spare
+            hi = int(pairs[k, 1]) + len(seq) + 2 * spare
             k += 1
         hi = min(hi, int(first[row + 1]))
         if np.isin(x[lo:hi], seq).sum() < len(seq) - spare:
@@ -223,7 +275,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     document has a near copy of an item of n words if the item is at most (1 - similarity) n word edits away from some
     stretch of it. CGK's random walk embeds each item and each window of an item's size so that few edits are few
     differing coordinates; a few sampled coordinates are a key, and keys are drawn as often as a near copy at the limit
-    needs to be met with chance recall. Each meeting is verified by edit distance, so nothing wrong is reported.
+    needs to be met with chance recall (counted for each length by trial; long items by pieces). Each meeting is verified by edit distance, so nothing wrong is reported.
     Returns doc_id, item_id, start and n (the stretch, in words), distance and similarity.
 
     Defined cases: null and empty texts have no windows; items that are null or without words are in no document, those

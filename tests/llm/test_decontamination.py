@@ -81,3 +81,19 @@ def test_defined_cases(spark):
 
 def test_more_repetitions_for_more_recall():
     assert len(index([(1, "a b")], 0.2, 0.99).seeds) > len(index([(1, "a b")], 0.2, 0.5).seeds)
+
+
+def test_recall_at_the_limit_of_edits(spark):
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(5000)]
+    docs, items, of = [], [], {}
+    for n in (30, 45, 60, 120, 250):
+        for _ in range(60):
+            it = [rng.choice(vocab) for _ in range(n)]
+            w = [rng.choice(vocab) for _ in range(rng.randint(0, 40))] + edited(rng, it, n // 5, vocab) + [rng.choice(vocab) for _ in range(rng.randint(0, 40))]
+            of[len(items)] = n
+            docs.append((len(items), " ".join(w)))
+            items.append((len(items), " ".join(it)))
+    got = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = {n: sum(r.doc_id == r.item_id and of[r.item_id] == n for r in got) / 60 for n in (30, 45, 60, 120, 250)}
+    assert min(found.values()) >= 0.97, found
