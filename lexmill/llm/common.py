@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -98,3 +98,18 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 def batch(schema: pa.Schema, *arrays: object) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a, f.type) for a, f in zip(arrays, schema, strict=True)], schema=schema)
+
+
+def rows_by_text(docs: DataFrame, stays: Callable[[pa.RecordBatch], object]) -> DataFrame:
+    """The rows of docs that stay by what their own text says: stays gets rows of text and gives a truth value for each. Nothing is joined by an id."""
+    whole = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"))
+    text = next((c for c in docs.columns if c.lower() == "text"), None)
+    whole = whole.withColumn("text", (F.col("row").getField(text) if text else F.lit(None)).cast("string"))
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            good = rows.filter(pa.array(stays(rows.select(["text"])), pa.bool_()))
+            if len(good):
+                yield good.select(["row"])
+
+    return whole.mapInArrow(kept, whole.select("row").schema).select("row.*")

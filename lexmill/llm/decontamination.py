@@ -8,10 +8,11 @@ from itertools import batched, chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import ALNUM, LOWER, batch, columns, mix, pieces, utf8, word_hashes, words
+from lexmill.llm.common import ALNUM, LOWER, batch, columns, mix, pieces, rows_by_text, utf8, word_hashes, words
 
 OUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("distance", pa.int64()), ("n_item", pa.int64())])
 #: Items that are searched for at once; more are searched for in several passes, each with a broadcast of this size at most.
@@ -268,6 +269,32 @@ def verified(x: np.ndarray, first: np.ndarray, pairs: np.ndarray, ix: Index) ->
     return [(row, item, s, n, d) for (row, item), (d, s, n) in out.items()]
 
 
+def indexes(docs: DataFrame, benchmark: DataFrame, similarity: float, recall: float) -> Iterator[Broadcast]:
+    """An index of each block of items; one of no items if there are none."""
+    rows = columns(benchmark, item_id="long", text="string").filter("text IS NOT NULL").orderBy("item_id", "text").toLocalIterator()
+    any_yet = False
+    for block in chain(batched(rows, BLOCK), [()]):  # never more than a block of items at once
+        if not block and any_yet:
+            break
+        any_yet = True
+        yield docs.sparkSession.sparkContext.broadcast(index([(r["item_id"], r["text"]) for r in block], 1 - similarity, recall))
+
+
+def searched(texts: pa.Array, ix: Index) -> Iterator[list[tuple[int, int, int, int, int]]]:
+    """Row, item, start, words and edits of what is found in texts, a list for each piece of them with any."""
+    if not len(ix.vocabulary):
+        return
+    data, off = utf8(texts)
+    for i, j in pieces(off):
+        part = LOWER[data[off[i] : off[j]]]
+        starts, ends, first = words(part, off[i : j + 1] - off[i], ALNUM)
+        h = word_hashes(part, starts, ends)
+        at = np.minimum(np.searchsorted(ix.vocabulary, h), len(ix.vocabulary) - 1)
+        x = np.where(ix.vocabulary[at] == h, at, len(ix.vocabulary))
+        if hits := verified(x, first, candidates(x, first, ix), ix):
+            yield [(i + row, *rest) for row, *rest in hits]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.99) -> DataFrame:
     """Pairs of a document and a benchmark item of which it has a near copy.
 
@@ -283,28 +310,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     reported once; equal items are reported each; items with one item_id are items of their own, of which the best is
     reported; empty tables give an empty table; other columns are ignored.
     """
-    rows = columns(benchmark, item_id="long", text="string").filter("text IS NOT NULL").orderBy("item_id", "text").toLocalIterator()
     found = None
-    for block in chain(batched(rows, BLOCK), [()]):  # never more than a block of items at once
-        if not block and found is not None:
-            break
-        ix = docs.sparkSession.sparkContext.broadcast(index([(r["item_id"], r["text"]) for r in block], 1 - similarity, recall))
+    for ix in indexes(docs, benchmark, similarity, recall):
 
         def search(batches: Iterator[pa.RecordBatch], ix=ix) -> Iterator[pa.RecordBatch]:
             ix = ix.value
             for rows in batches:
                 ids = rows.column("doc_id")
-                data, off = utf8(rows.column("text"))
-                for i, j in pieces(off):
-                    part = LOWER[data[off[i] : off[j]]]
-                    starts, ends, first = words(part, off[i : j + 1] - off[i], ALNUM)
-                    h = word_hashes(part, starts, ends)
-                    at = np.minimum(np.searchsorted(ix.vocabulary, h), max(0, len(ix.vocabulary) - 1))
-                    x = np.where(ix.vocabulary[at] == h, at, len(ix.vocabulary)) if len(ix.vocabulary) else at
-                    hits = verified(x, first, candidates(x, first, ix), ix) if len(ix.vocabulary) else []
-                    if hits:
-                        row, item, start, n, d = zip(*hits, strict=True)
-                        yield batch(OUT, ids.take(pa.array([i + r for r in row])), ix.ids[list(item)], start, n, d, [len(ix.items[k]) for k in item])
+                for hits in searched(rows.column("text"), ix):
+                    row, item, start, n, d = zip(*hits, strict=True)
+                    yield batch(OUT, ids.take(pa.array(row)), ix.ids[list(item)], start, n, d, [len(ix.items[k]) for k in item])
 
         hits = columns(docs, doc_id="long", text="string").mapInArrow(search, "doc_id long, item_id long, start long, n long, distance long, n_item long")
         found = hits if found is None else found.unionByName(hits)
@@ -313,6 +328,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.99) -> DataFrame:
-    """The rows of docs without a near copy of any benchmark item."""
-    hit = contaminated(docs, benchmark, similarity, recall).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_hit"]), "left_anti")
+    """The rows of docs without a near copy of any benchmark item, each by its own text: rows that share a doc_id, or have none, are judged one by one."""
+    for ix in indexes(docs, benchmark, similarity, recall):
+
+        def clean(rows: pa.RecordBatch, ix: Broadcast = ix) -> np.ndarray:
+            stays = np.ones(len(rows), bool)
+            for hits in searched(rows.column("text"), ix.value):
+                stays[[row for row, *_ in hits]] = False
+            return stays
+
+        docs = rows_by_text(docs, clean)
+    return docs

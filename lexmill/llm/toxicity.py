@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import ALNUM, LOWER, batch, columns, cut, pieces, utf8, word_hashes, words
+from lexmill.llm.common import ALNUM, LOWER, batch, columns, cut, pieces, rows_by_text, utf8, word_hashes, words
 from lexmill.llm.crf import Chain, fit, marginals
 
 FOLDS = 5
@@ -206,6 +206,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> D
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> DataFrame:
-    """The rows of docs that are not predicted to be toxic. Rows with a null doc_id go only if all of those are toxic."""
-    clean = toxicity(docs, labels, sample_rows).groupBy("doc_id").agg(F.min("predicted").alias("p")).filter("p = 0").select(F.col("doc_id").alias("_clean"))
-    return docs.join(clean, docs["doc_id"].eqNullSafe(clean["_clean"]), "left_semi")
+    """The rows of docs that are not predicted to be toxic, each by its own text: rows that share a doc_id, or have none, are judged one by one."""
+    model = train(docs, labels, sample_rows)
+    return rows_by_text(docs, lambda rows: np.concatenate([s < 0.5 for _, _, _, s, _ in tagged(model, rows)] or [np.zeros(0, bool)]))

@@ -1,8 +1,10 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
-from lexmill.llm.decontamination import contaminated
-from lexmill.llm.near_copies import near_copies
+from lexmill.llm.decontamination import contaminated, decontaminate
+from lexmill.llm.near_copies import near_copies, without_near_copies
 from lexmill.llm.sharding import shard_documents
-from lexmill.llm.toxicity import toxicity
+from lexmill.llm.toxicity import toxicity, without_toxic
 
 DIR = "/root/testdata/sf0.001"
 
@@ -37,3 +39,20 @@ def test_run(spark):
     assert out.columns == shard_documents(spark.read.parquet(f"{DIR}/documents.parquet")).columns
     n = [sum(r.shard == s for r in rows) for s in range(8)]
     assert rows and max(n) - min(n) <= 1 and P.ORACLE_SQL is None
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    labels, bench = spark.read.parquet(f"{DIR}/labels.parquet"), spark.read.parquet(f"{DIR}/benchmark.parquet")
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    verdict = {r.doc_id: r.predicted for r in toxicity(docs, labels).collect()}
+    rows = docs.collect()
+    toxic = {r.text for r in rows if verdict[r.doc_id]}
+    assert toxic
+    half = docs.withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")))
+    extra = docs.unionByName(docs.withColumn("doc_id", F.lit(None).cast("long"))).unionByName(docs.withColumn("doc_id", F.lit(10**9)))
+    left = without_toxic(extra, labels).collect()
+    assert sorted(r.text for r in left) == sorted(t for t in (r.text for r in rows if r.text not in toxic) for _ in range(3))
+    hit = {r.doc_id for r in contaminated(docs, bench).collect()}
+    assert {r.text for r in decontaminate(half, bench).collect()} == {r.text for r in rows if r.doc_id not in hit}
+    two = spark.createDataFrame([(1, "one two three four five six"), (1, "other words of another text here"), (1, "other words of another text here")], "doc_id long, text string")
+    assert len(without_near_copies(two).collect()) == 2
