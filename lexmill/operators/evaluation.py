@@ -132,6 +132,39 @@ def near_duplicates(texts: DataFrame, threshold: float = 0.9, k: int = 3) -> Dat
     return both.select("a", "b", (shared / (F.size("x") + F.size("y") - shared)).alias("jaccard")).filter(F.col("jaccard") >= threshold).unionByName(copies)
 
 
+def ratio_duplicates(texts: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """Pairs a < b of rows (id, text) whose matching-block ratio is threshold or more, of the texts as they are.
+
+    Equal texts are one: each copy is paired with the first of them, which stands for them in all other pairs. Of texts of
+    m and n characters with such a ratio, threshold (m + n) / 2 match, in at most one block more than there are
+    characters left over; so they share (2.5 threshold - 2) (m + n) - 2 trigrams at least, repeats counted (threshold over
+    0.8), and n is within threshold / (2 - threshold) of m. Prefix filtering by that bound loses no pair. Where it says
+    nothing, in very short texts, a shared character is enough.
+    """
+    slope, least = 2.5 * threshold - 2, threshold / (2 - threshold)
+    first = texts.filter("text IS NOT NULL").groupBy("text").agg(F.min("id").alias("rep"))
+    copies = texts.join(first, "text").filter("id > rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("ratio"))
+    sized = first.filter("text <> ''").select(F.col("rep").alias("id"), "text", F.length("text").alias("n"))
+    # how many trigrams a text shares with any partner, at least
+    sized = sized.withColumn("need", F.ceil(slope * (1 + least) * F.col("n") - 2 - 1e-9))
+    each = sized.filter("n >= 3").select("id", "n", "need", F.explode(F.transform(F.sequence(F.lit(1), F.col("n") - 2), lambda i: F.substring("text", i, F.lit(3)))).alias("sh"))
+    each = each.groupBy("id", "n", "need", "sh").agg(F.count("*").alias("c")).select("id", "n", "need", F.explode(F.transform(F.sequence(F.lit(1), F.col("c").cast("int")), lambda i: F.concat("sh", i.cast("string")))).alias("sh"))
+    ordered = each.join(each.groupBy("sh").agg(F.count("*").alias("df")), "sh").withColumn("p", F.row_number().over(Window.partitionBy("id").orderBy("df", "sh")))
+    head = ordered.filter((F.col("need") >= 1) & (F.col("p") <= F.col("n") - 2 - F.col("need") + 1)).select("sh", "id", "n")
+    # a text without need may meet one with it: all texts up to the largest such partner's size
+    short = 3 / (slope * (1 + least)) / least
+    chars = sized.filter(F.col("n") <= short).select(F.explode(F.array_distinct(F.split("text", ""))).alias("sh"), "id", "n").filter("sh <> ''")
+    head = head.unionByName(chars)
+    other = head.select("sh", F.col("id").alias("b"), F.col("n").alias("m"))
+    pairs = head.withColumnRenamed("id", "a").join(other, "sh").filter((F.col("a") < F.col("b")) & (F.least("n", "m") >= least * F.greatest("n", "m") - 1e-9)).select("a", "b").distinct()
+    whole = sized.join(each.groupBy("id").agg(F.collect_list("sh").alias("s")), "id", "left").select("id", "text", "n", "s")
+    named = lambda x: whole.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"), F.col("n").alias(f"n_{x}"), F.col("s").alias(f"s_{x}"))
+    both = pairs.join(named("a"), "a").join(named("b"), "b")
+    shared = F.coalesce(F.size(F.array_intersect("s_a", "s_b")), F.lit(0))
+    enough = shared >= slope * (F.col("n_a") + F.col("n_b")) - 2 - 1e-9
+    return exact_ratio(both.filter(enough).select("a", "b", "text_a", "text_b"), threshold).unionByName(copies)
+
+
 def exact_ratio(pairs: DataFrame, threshold: float) -> DataFrame:
     """pairs (a, b, text_a, text_b) whose matching-block ratio is threshold or more."""
 
