@@ -159,7 +159,7 @@ def slug_id(t: Tables) -> DataFrame:
 
 @query("fold_id", f"""SELECT doc_id, trim(regexp_replace(regexp_replace(lower(translate(left(text, 200), '{T.ACCENTED}', '{T.PLAIN}')), '[^a-z0-9_]', '_', 'g'), '_+', '_', 'g'), '_') AS folded FROM {{documents}}""")
 def fold_id(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", T.fold_id(F.substring("text", 1, 200)).alias("folded"))
+    return t.documents.select("doc_id", T.fold_id("text").alias("folded"))
 
 
 @query("article_no", LAW_CTE + r"SELECT chunk_id, nullif(regexp_extract(article_id, '_D(\d+[a-zA-Z]*)(?:_O\d+)?$', 1), '') AS own, nullif(regexp_extract(parent_id, '_D(\d+[a-zA-Z]*)(?:_O\d+)?_PARENT$', 1), '') AS of_parent, CASE WHEN regexp_matches(chunk_id, '_D\d+[a-zA-Z]*(_O\d+)?$') THEN 'x' END AS of_chunk FROM chunks")
