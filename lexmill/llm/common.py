@@ -85,11 +85,20 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of values[start:end] for each start and end."""
+def sums_of(values: np.ndarray) -> np.ndarray:
+    """Running sums from which ``span_of`` hashes any part of values."""
     sums = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * powers(BASE, len(values)), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * powers(INVERSE, len(values) + 1)[starts] + (ends - starts).astype(np.uint64))
+    return sums
+
+
+def span_of(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of values[start:end] for each start and end."""
+    return mix((sums[ends] - sums[starts]) * powers(INVERSE, len(sums))[starts] + (ends - starts).astype(np.uint64))
+
+
+def spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return span_of(sums_of(values), starts, ends)
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -9,55 +9,63 @@ import numpy as np
 
 @dataclass
 class Chain:
-    """Log potentials: trans[a, b] from state a to b; word[w] of state 1 for word w (0: a word that the model hasn't; its weight is the bias)."""
+    """Log potentials: trans[a, b] from state a to b; state 1 has the bias at every token, and word[f] for each of its features f."""
 
     trans: np.ndarray
     word: np.ndarray
+    bias: float
 
 
-def emissions(model: Chain, x: np.ndarray) -> np.ndarray:
-    return np.stack([np.zeros(x.shape), model.word[x]], -1)
+def fit(y: np.ndarray, token: np.ndarray, feature: np.ndarray, size: int, start: Chain | None = None, steps: int = 80, rate: float = 0.2, prior: float = 0.5) -> tuple[Chain, np.ndarray]:
+    """Maximum likelihood with an L2 prior by Adam; also the marginals of state 1 under the result.
 
-
-def fit(x: np.ndarray, y: np.ndarray, size: int, steps: int = 150, rate: float = 0.15, prior: float = 0.02) -> Chain:
-    """Maximum likelihood with an L2 prior by Adam. x, y: windows x tokens, words and their labels."""
-    n, length = x.shape
-    model = Chain(np.zeros((2, 2)), np.zeros(size))
-    params = [model.trans, model.word]
+    y: labels of windows x tokens. token, feature: which token (counted through all windows) has which feature, of size many.
+    """
+    n, length = y.shape
+    trans, bias, word = (start.trans.copy(), np.array([start.bias]), start.word.copy()) if start else (np.zeros((2, 2)), np.zeros(1), np.zeros(size))
+    params = [trans, bias, word]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    label = y.astype(float)
     seen = np.zeros((2, 2))
-    np.add.at(seen, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1)
-    ones = np.bincount(x[y == 1].ravel(), minlength=size).astype(float)
-    for t in range(1, steps + 1):
-        e = np.exp(emissions(model, x))
-        a = np.exp(model.trans)
-        alpha, beta = np.empty((length, n, 2)), np.empty((length, n, 2))
-        alpha[0] = e[:, 0]
-        alpha[0] /= alpha[0].sum(1, keepdims=True)
+    np.add.at(seen, (y[:, :-1].ravel().astype(int), y[:, 1:].ravel().astype(int)), 1)
+    alpha, beta, p = np.empty((length, n)), np.empty((length, n)), np.empty((length, n))
+    for t in range(1, steps + 2):
+        # alpha and beta hold the share of state 1: both states add up to one after each step
+        e = np.exp(np.clip(bias[0] + np.bincount(token, weights=word[feature], minlength=n * length), -30, 30)).reshape(n, length).T
+        a = np.exp(trans)
+        alpha[0] = e[0] / (1 + e[0])
         for k in range(1, length):
-            alpha[k] = alpha[k - 1] @ a * e[:, k]
-            alpha[k] /= alpha[k].sum(1, keepdims=True)
-        beta[-1] = 1
+            one = (alpha[k - 1] * a[1, 1] + (1 - alpha[k - 1]) * a[0, 1]) * e[k]
+            alpha[k] = one / (one + alpha[k - 1] * a[1, 0] + (1 - alpha[k - 1]) * a[0, 0])
+        beta[-1] = 0.5
         for k in range(length - 2, -1, -1):
-            beta[k] = (beta[k + 1] * e[:, k + 1]) @ a.T
-            beta[k] /= beta[k].sum(1, keepdims=True)
-        p = alpha * beta
-        p /= p.sum(2, keepdims=True)
+            one, none = beta[k + 1] * e[k + 1], 1 - beta[k + 1]
+            to_one, to_none = one * a[1, 1] + none * a[1, 0], one * a[0, 1] + none * a[0, 0]
+            beta[k] = to_one / (to_one + to_none)
+        np.multiply(alpha, beta, out=p)
+        p /= p + (1 - alpha) * (1 - beta)
+        if t > steps:
+            break
         pair = np.zeros((2, 2))
-        for k in range(length - 1):
-            q = alpha[k][:, :, None] * a * (beta[k + 1] * e[:, k + 1])[:, None, :]
-            pair += (q / q.sum((1, 2), keepdims=True)).sum(0)
-        expected = np.bincount(x.ravel(), weights=p[:, :, 1].T.ravel(), minlength=size)
-        for i, g in enumerate(((seen - pair) / n - prior * model.trans, (ones - expected) / np.sqrt(n) / 10 - prior * model.word)):
+        one, none = beta[1:] * e[1:], 1 - beta[1:]
+        q = [[(1 - alpha[:-1]) * a[0, 0] * none, (1 - alpha[:-1]) * a[0, 1] * one], [alpha[:-1] * a[1, 0] * none, alpha[:-1] * a[1, 1] * one]]
+        total = q[0][0] + q[0][1] + q[1][0] + q[1][1]
+        for i in (0, 1):
+            for j in (0, 1):
+                pair[i, j] = (q[i][j] / total).sum()
+        off = label - p.T
+        grads = seen - pair - prior * trans, np.array([off.sum() - prior * bias[0]]), np.bincount(feature, weights=off.ravel()[token], minlength=size) - prior * word
+        pace = rate * (1 - 0.9 * t / steps)
+        for i, g in enumerate(grads):
             m[i] = 0.9 * m[i] + 0.1 * g
             v[i] = 0.99 * v[i] + 0.01 * g * g
-            params[i] += rate * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.99**t)) + 1e-8)
-    return model
+            params[i] += pace * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.99**t)) + 1e-8)
+    return Chain(trans, word, float(bias[0])), p.T
 
 
 def neutral(model: Chain, n: np.ndarray) -> np.ndarray:
-    """The product of n steps through words that the model hasn't, scaled; by eigenvalues, so a long run costs what a short one does."""
-    step = np.exp(model.trans) * np.array([1.0, np.exp(model.word[0])])
+    """The product of n steps through words without known features, scaled; by eigenvalues, so a long run costs what a short one does."""
+    step = np.exp(model.trans) * np.array([1.0, np.exp(model.bias)])
     values, left = np.linalg.eig(step)
     values, left = values.real, left.real
     order = np.argsort(-values)
@@ -67,23 +75,23 @@ def neutral(model: Chain, n: np.ndarray) -> np.ndarray:
     return np.clip(left[None, :, :1] @ right[None, :1, :] + ratio[:, None, None] * (left[None, :, 1:] @ right[None, 1:, :]), 0, None)
 
 
-def marginals(model: Chain, word: np.ndarray, gap: np.ndarray, first: np.ndarray, tail: np.ndarray) -> np.ndarray:
-    """Probability of state 1 at each known word of some texts, by forward-backward over the whole texts.
+def marginals(model: Chain, score: np.ndarray, gap: np.ndarray, first: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """Probability of state 1 at each known word (one with known features) of some texts, by forward-backward over the whole texts.
 
-    word, gap: the known words of all texts and how many unknown words stand before each (since the one before it);
+    score, gap: sum of the weights of each known word's features, and how many other words stand before it (since the one before it);
     first: each text's first in them (one more at the end); tail: the unknown words after each text's last.
     """
-    p = np.zeros(len(word))
+    p = np.zeros(len(score))
     count = np.diff(first)
-    if not len(word):
+    if not len(score):
         return p
-    emit = np.exp(np.stack([np.zeros(len(word)), model.word[word]], 1))
+    emit = np.exp(np.stack([np.zeros(len(score)), np.clip(model.bias + score, -30, 30)], 1))
     a = np.exp(model.trans)
     before = neutral(model, gap)
     order = np.argsort(-count, kind="stable")
     n_live = np.searchsorted(-count[order], -np.arange(1, count.max() + 1), "right")
-    alpha, beta = np.empty((len(word), 2)), np.empty((len(word), 2))
-    start = np.exp(np.array([0.0, model.word[0]]))
+    alpha, beta = np.ones((len(score), 2)), np.ones((len(score), 2))
+    start = np.exp(np.array([0.0, model.bias]))
     for k in range(int(count.max())):
         at = first[:-1][order[: n_live[k]]] + k
         g = gap[at]
@@ -98,7 +106,7 @@ def marginals(model: Chain, word: np.ndarray, gap: np.ndarray, first: np.ndarray
         own = order[: n_live[k]]
         at = first[:-1][own] + k
         is_last = count[own] == k + 1
-        nxt = np.minimum(at + 1, len(word) - 1)
+        nxt = np.minimum(at + 1, len(score) - 1)
         via = (beta[nxt] * emit[nxt]) @ a.T
         via = np.einsum("ijk,ik->ij", before[nxt], np.where(is_last[:, None], 1.0, via))
         beta[at] = np.where(is_last[:, None], neutral(model, tail[own]).sum(2), via)

@@ -13,7 +13,7 @@ def brute(model, x):
     """Marginals by all labellings."""
     p, total = np.zeros(len(x)), 0.0
     for y in itertools.product((0, 1), repeat=len(x)):
-        s = sum(model.word[w] for w, t in zip(x, y) if t) + sum(model.trans[a, b] for a, b in zip(y, y[1:]))
+        s = sum(model.bias + (model.word[w - 1] if w else 0) for w, t in zip(x, y) if t) + sum(model.trans[a, b] for a, b in zip(y, y[1:]))
         total += np.exp(s)
         p += np.exp(s) * np.array(y)
     return p / total
@@ -22,7 +22,7 @@ def brute(model, x):
 def test_marginals_as_brute_force():
     rng = np.random.default_rng(1)
     for _ in range(10):
-        model = Chain(rng.normal(size=(2, 2)), rng.normal(size=4))
+        model = Chain(rng.normal(size=(2, 2)), rng.normal(size=3), rng.normal())
         texts = [rng.integers(0, 4, rng.integers(0, 9)) * (rng.random() < 0.8) for _ in range(6)]
         word, gap, first, tail = [], [], [0], []
         for x in texts:
@@ -32,7 +32,7 @@ def test_marginals_as_brute_force():
             first.append(len(word))
             tail.append(len(x) - 1 - (at[-1] if len(at) else -1))
         gap = np.array(gap, int) - 1
-        got = marginals(model, np.array(word, int), gap, np.array(first), np.array(tail))
+        got = marginals(model, model.word[np.array(word, int) - 1], gap, np.array(first), np.array(tail))
         want = np.concatenate([brute(model, x)[np.flatnonzero(x)] if len(x) else [] for x in texts])
         assert np.allclose(got, want)
 
@@ -40,9 +40,10 @@ def test_marginals_as_brute_force():
 def test_fit_learns():
     rng = np.random.default_rng(2)
     x = rng.integers(0, 3, (400, 21))
-    y = (x == 2).astype(int)
-    model = fit(x, y, 3)
-    assert model.word[2] > 1 > -1 > model.word[1] - model.word[2]
+    token = np.flatnonzero(x.ravel())
+    chain, p = fit(x == 2, token, x.ravel()[token] - 1, 2)
+    assert chain.word[1] + chain.bias > 1 > -1 > chain.word[0] + chain.bias
+    assert ((p > 0.5) == (x == 2)).all()
 
 
 def test_held_out_accuracy_and_spans(spark):
@@ -69,3 +70,34 @@ def test_defined_cases(spark):
     assert {r.doc_id for r in without_toxic(docs, labels).collect()} == {r.doc_id for r in got if not r.predicted}
     none = toxicity(docs, labels.limit(0)).collect()
     assert len({r.score for r in none}) == 1 and toxicity(docs.limit(0), labels).collect() == []
+
+
+def test_stems_tell_unseen_endings_and_copies_teach_nothing(spark):
+    """Toxic words are a stem with many endings; most endings are in a few labelled texts only, some in none. A clean word that copies of one toxic text repeat isn't learnt."""
+    rng = np.random.default_rng(7)
+    plain = ["".join(rng.choice(list("abcdeghilmnorstu"), rng.integers(3, 8))) for _ in range(400)]
+    texts, toxic = [], []
+    for i in range(900):
+        ws = rng.choice(plain, 60).tolist()
+        if i % 5 == 0:
+            for _ in range(3):
+                ws[rng.integers(60)] = "vexqu" + "".join(rng.choice(list("aeiou"), 3))
+        texts.append(" ".join(ws))
+        toxic.append(int(i % 5 == 0))
+    one = texts[0].replace(" ", " harmlessly ", 2)
+    texts += [one] * 200
+    toxic += [1] * 200
+    new = [" ".join([*rng.choice(plain, 40).tolist(), "vexquzzz", "vexquyyy"]), " ".join([*rng.choice(plain, 40).tolist(), "harmlessly"])]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(10_001, new[0]), (10_002, new[1])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(y)) for i, y in enumerate(toxic)], "doc_id long, toxic int")
+    by = {r.doc_id: r for r in toxicity(docs, labels).collect()}
+    held = [i for i in range(900) if by[i].held_out]
+    assert sum(by[i].predicted == toxic[i] for i in held) / len(held) > 0.97
+    assert by[10_001].predicted == 1 and by[10_002].predicted == 0
+
+
+def test_recall_by_language(spark):
+    docs, labels = spark.read.parquet("/root/testdata/check_s/documents.parquet"), spark.read.parquet("/root/testdata/check_s/labels.parquet")
+    got = toxicity(docs, labels).filter("held_out").join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
+    for r in got.groupBy("lang", "toxic").agg({"predicted": "avg", "*": "count"}).collect():
+        assert r["avg(predicted)"] > 0.9 if r["toxic"] else r["avg(predicted)"] < 0.01, r
