@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import string
-from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from lexmill.llm.common import columns, cut
 from lexmill.llm.components import components
@@ -22,7 +20,7 @@ def lower_ascii(text: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id and fingerprint (long) of each distinct doc_id and text; fingerprint zero without words.
+    """doc_id, copy (a hash of the text) and fingerprint (long) of each distinct doc_id and text; fingerprint zero without words.
 
     A shingle is a row only between a scan and the partial sums over it: what is shuffled is a row of 32 sums for each
     document. Each sum counts two bits, 32 apart, in the halves of a long.
@@ -41,56 +39,112 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     bits = low[0]
     for b in low[1:] + high:
         bits = bits.bitwiseOR(b)
-    return sums.select("doc_id", F.coalesce(bits, F.lit(0)).cast("long").alias("fingerprint"))
+    return sums.select("doc_id", "copy", F.coalesce(bits, F.lit(0)).cast("long").alias("fingerprint"))
 
 
-def parts(blocks: int) -> list[int]:
-    """Masks of blocks groups of neighbouring bits, as signed longs."""
-    edges = [BITS * k // blocks for k in range(blocks + 1)]
-    return [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
+#: Bits that the tries go down by at once, so that a node's children are a mask of 16 bits.
+STEP = 4
+HALF = BITS // 2
+CHILDREN = 1 << STEP
+PREFIX = "CASE WHEN {0} = 0 THEN 0L ELSE shiftrightunsigned(ord, 64 - {0}) END"
 
 
-def signed(x: int) -> int:
-    return x - (1 << BITS) if x >= 1 << (BITS - 1) else x
+def moved(mask: Column, by: int) -> Column:
+    """The mask of children with each child x in the place of x XOR by."""
+    for bit, low in ((1, 0x5555), (2, 0x3333), (4, 0x0F0F), (8, 0x00FF)):
+        if by & bit:
+            mask = F.shiftleft(mask.bitwiseAND(F.lit(low)), bit).bitwiseOR(F.shiftright(mask, bit).bitwiseAND(F.lit(low)))
+    return mask
 
 
-def links(nodes: DataFrame, budget: int, blocks: int) -> DataFrame:
-    """Binary trie self-join: edges(a, b) that connect what fingerprints within budget differing bits connect.
+def near(a: str, b: str, budget: int) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= budget
 
-    Of blocks parts of the bits, two such fingerprints agree in blocks - budget at least. So there is a trie for each
-    choice of that many parts, whose bits come first: down to there only node pairs without differing bits are
-    followed, that is, a node with itself; from there to the leaves differing bits add up, and a pair that has over
-    budget is dropped. First each leaf meets its neighbours in the order of its trie. What is connected then is one
-    class, and below a node only pairs of different classes are left to compare; of those, pairs within the node's
-    largest class are never formed, so a large group of near copies isn't squared.
-    """
-    masks = [signed(sum(m)) for m in combinations(parts(blocks), blocks - budget)]
 
-    def tries(leaves: DataFrame) -> DataFrame:
-        """trie (which, and the node that has the leaf below it as a value of the leading bits)."""
-        return leaves.withColumn("trie", F.explode(F.array(*(F.struct(F.lit(i).alias("no"), F.col("fp").bitwiseAND(F.lit(m)).alias("node")) for i, m in enumerate(masks))))).select("trie.no", "trie.node", *leaves.columns)
+def trie_nodes(leaves: DataFrame, depth: int) -> DataFrame:
+    """The nodes of that depth: a mask of their children, how many leaves they have (and the only one), and the least and largest class of these."""
+    child = F.shiftrightunsigned("ord", BITS - depth - STEP).bitwiseAND(F.lit(CHILDREN - 1)).cast("int") if depth < BITS else F.lit(0)
+    one = F.call_function("shiftleft", F.lit(1), child)
+    return leaves.select("trie", F.expr(PREFIX.format(depth)).alias("node"), one.alias("child"), "fp", "cls").groupBy("trie", "node").agg(F.bit_or("child").alias("kids"), F.count("*").alias("n"), F.min("fp").alias("leaf"), F.min("cls").alias("least"), F.max("cls").alias("most"))
 
-    def near(a: str, b: str) -> Column:
-        return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= budget
 
-    order = Window.partitionBy("no", "node").orderBy("fp")
-    ordered = tries(nodes.select("fp")).select("fp", *(F.lead("fp", k).over(order).alias(f"next{k}") for k in (1, 2, 3)))
-    beside = ordered.select("fp", F.explode(F.array("next1", "next2", "next3")).alias("b")).filter(near("fp", "b")).select(F.col("fp").alias("a"), "b").distinct()
-    beside = cut(beside)
-    classes = components(beside)
-    leaves = cut(nodes.select("fp").join(classes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("cls")))
-    below = tries(leaves)
-    of_node = below.groupBy("no", "node", "cls").agg(F.count("*").alias("n")).groupBy("no", "node").agg(F.max(F.struct("n", "cls")).alias("most"), F.count("*").alias("k")).filter("k > 1").select("no", "node", F.col("most.cls").alias("largest"))
-    mixed = below.join(of_node, ["no", "node"])
-    minor = mixed.filter("cls <> largest").select("no", "node", F.col("fp").alias("a"), F.col("cls").alias("of_a"))
-    across = minor.join(mixed.select("no", "node", F.col("fp").alias("b"), F.col("cls").alias("of_b")), ["no", "node"]).filter((F.col("of_a") != F.col("of_b")) & near("a", "b"))
-    # an edge between each two classes is enough
-    return beside.unionByName(across.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct())
+def below(pairs: DataFrame, nodes: DataFrame, depth: int, budget: int, meet: bool = True) -> DataFrame:
+    """One step down from pairs of nodes (trie, a, b, off: differing bits so far) of that depth: pairs of their children that are still within the budget, and pairs of leaves, told by ``met``.
 
+    A pair whose leaves are all of one class has nothing left to find. Two nodes of one leaf each are compared at once (if meet is set).
+    For each way e in which the next bits may differ, one AND of two masks gives all children that have a partner.
+    """
+    limit = budget // 2 if depth < HALF else budget
+
+    def of(side: str) -> DataFrame:
+        return nodes.select("trie", F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("kids", "n", "leaf", "least", "most")))
+
+    both = pairs.join(of("a").hint("shuffle_hash"), ["trie", "a"]).join(of("b").hint("shuffle_hash"), ["trie", "b"])
+    both = both.filter("least_a <> most_a OR least_b <> most_b OR least_a <> least_b")
+    single = (F.col("n_a") == 1) & (F.col("n_b") == 1) & F.lit(meet)
+    ways = [e for e in range(CHILDREN) if e.bit_count() <= limit]
+    made = [F.struct(F.when(~single & (F.col("off") + e.bit_count() <= limit), F.col("kids_a").bitwiseAND(moved(F.col("kids_b"), e))).otherwise(0).alias("mask"), F.lit(e).alias("e")) for e in ways]
+    leaf = F.struct(F.when(single & near("leaf_a", "leaf_b", budget), 1).otherwise(0).alias("mask"), F.lit(-1).alias("e"))
+    ways_down = both.select("*", F.explode(F.array(leaf, *made)).alias("way")).filter("way.mask <> 0")
+    each = ways_down.select("*", F.explode(F.filter(F.array(*(F.lit(x) for x in range(CHILDREN))), lambda x: F.call_function("getbit", F.col("way.mask"), x) == 1)).alias("x"))
+    met = F.col("way.e") < 0
+    down = each.select(
+        "trie", met.alias("met"), F.when(met, F.col("leaf_a")).otherwise(F.shiftleft("a", STEP).bitwiseOR(F.col("x"))).alias("a"), F.when(met, F.col("leaf_b")).otherwise(F.shiftleft("b", STEP).bitwiseOR(F.col("x").bitwiseXOR(F.col("way.e")))).alias("b"),
+        F.when(met, 0).otherwise(F.col("off") + F.bit_count("way.e")).alias("off"), (F.col("a") == F.col("b")).alias("self"), F.col("least_a").alias("of_a"), F.col("least_b").alias("of_b"),
+    )
+    return down.filter("met OR NOT self OR a <= b").drop("self")
+
+
+def links(nodes: DataFrame, budget: int) -> DataFrame:
+    """Binary trie self-join: edges(a, b) of fingerprints (fp) within budget differing bits that connect all that such pairs connect.
+
+    Of two such fingerprints, one half of the bits differs in budget // 2 at most. So there are two tries, each with
+    another half of the bits first. Pairs of nodes go down a trie together, four bits at a time, from the root paired
+    with itself; differing bits add up, and a pair is pruned when it has over budget // 2 in the first half of the way
+    or over budget later. Both tries go down in the same jobs.
+
+    First each leaf meets the next three in the order of its trie (below one node half-way down). What is connected then
+    is one class, and node pairs with leaves of one class only are pruned too, so a large group of near copies isn't
+    squared. Between two classes one edge is kept.
+    """
+    turned = F.shiftleft("fp", HALF).bitwiseOR(F.shiftrightunsigned("fp", HALF))
+    tries = [(0, F.col("fp")), (1, turned)]
+
+    def ordered(leaves: DataFrame) -> DataFrame:
+        return leaves.select("*", F.explode(F.array(*(F.struct(F.lit(i).alias("trie"), o.alias("ord")) for i, o in tries))).alias("t")).select("t.trie", "t.ord", *leaves.columns)
 
-def tries_for(n: int) -> int:
-    """Parts of the bits: more of them (so more tries with fewer leaves below a node) for more fingerprints; the links are the same."""
-    return 6 if n < 2_000_000 else 7 if n < 100_000_000 else 8
+    order = Window.partitionBy("trie", F.shiftrightunsigned("ord", HALF)).orderBy("ord")
+    beside = ordered(nodes.select("fp")).select("fp", *(F.lead("fp", k).over(order).alias(f"next{k}") for k in (1, 2, 3)))
+    beside = beside.select(F.col("fp").alias("a"), F.explode(F.array("next1", "next2", "next3")).alias("b")).filter(near("a", "b", budget)).distinct()
+    beside = cut(beside)
+    classes = components(beside)
+    leaves = cut(ordered(nodes.select("fp").join(classes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("cls"))))
+    found = beside
+    pairs = nodes.sparkSession.range(len(tries)).select(F.col("id").cast("int").alias("trie"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).alias("off"))
+    for depth in range(0, BITS + 1, STEP):
+        # the first levels have 16 ** 2 nodes at most; they are one job
+        small = depth < 2 * STEP
+        down = below(pairs, trie_nodes(leaves, depth), depth, budget, meet=not small)
+        if not small:
+            down = cut(down)
+            met = down.filter("met").groupBy(F.least("of_a", "of_b").alias("x"), F.greatest("of_a", "of_b").alias("y")).agg(F.min(F.struct("a", "b")).alias("pair"))
+            found = found.unionByName(met.select("pair.a", "pair.b"))
+            down = down.filter("NOT met")
+            if down.isEmpty():
+                break
+        pairs = down.select("trie", "a", "b", "off")
+    return found
+
+
+def _labelled(docs: DataFrame, shingle: int, budget: int) -> DataFrame:
+    """doc_id, copy (a hash of the text), fingerprint, and first: of all in the component, the least doc_id that isn't null, and its least copy."""
+    prints = cut(fingerprints(columns(docs, doc_id="long", text="string"), shingle))
+    nodes = cut(prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "copy")).alias("least")))
+    classes = components(links(nodes, budget))
+    labels = nodes.join(classes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
+    of_class = labels.groupBy("label").agg(F.min("least").alias("first"))
+    of_print = cut(labels.join(of_class, "label").select(F.col("fp").alias("fingerprint"), "first"))
+    return prints.join(of_print, "fingerprint")
 
 
 def simhash_components(docs: DataFrame, shingle: int = 4, budget: int = 4) -> DataFrame:
@@ -103,17 +157,14 @@ def simhash_components(docs: DataFrame, shingle: int = 4, budget: int = 4) -> Da
     shingle is one shingle; repeated rows (same doc_id and text) are one; a null doc_id is the smallest of a component
     only if it has no other; an empty table gives an empty table; other columns are ignored.
     """
-    prints = cut(fingerprints(columns(docs, doc_id="long", text="string"), shingle))
-    nodes = prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("least"))
-    nodes = cut(nodes)
-    classes = components(links(nodes, budget, tries_for(nodes.count())))
-    labels = nodes.join(classes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    least = labels.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_print = cut(labels.join(least, "label").select(F.col("fp").alias("fingerprint"), "component_id"))
-    return prints.join(of_print, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+    return _labelled(docs, shingle, budget).select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
 def simhash_dedup(docs: DataFrame, shingle: int = 5, budget: int = 4) -> DataFrame:
-    """The rows of docs, one of each component: the one with the smallest doc_id. Rows with the same doc_id are one document."""
-    first = simhash_components(docs, shingle, budget).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_first")).distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["_first"]), "left_semi").dropDuplicates(["doc_id"])
+    """The rows of docs, one of each component: the one with the smallest doc_id, and of those the one with the smallest hash of its text.
+
+    Each row is judged by its own text. Rows with the same doc_id and text are one row; a component of rows without a doc_id keeps one of them.
+    """
+    kept = _labelled(docs, shingle, budget).filter((F.col("doc_id").eqNullSafe(F.col("first.doc_id"))) & (F.col("copy") == F.col("first.copy"))).select(F.col("doc_id").alias("_id"), F.col("copy").alias("_of")).distinct()
+    keyed = docs.withColumn("_copy", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    return keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["_id"]) & (keyed["_copy"] == kept["_of"]), "left_semi").dropDuplicates(["doc_id", "_copy"]).drop("_copy")

@@ -3,7 +3,7 @@ import random
 import xxhash
 
 from lexmill.llm.components import components
-from lexmill.llm.simhash import fingerprints, links, simhash_components, simhash_dedup
+from lexmill.llm.simhash import below, links, simhash_components, simhash_dedup, trie_nodes
 
 
 def fingerprint(text, k=4):
@@ -50,7 +50,6 @@ def test_fingerprints_and_components(spark):
     got = {(r.doc_id, r.fingerprint): r.component_id for r in simhash_components(df).collect()}
     fp = {d: fingerprint(d[1]) for d in dict.fromkeys(docs)}
     assert {(d[0], f"{f:016x}") for d, f in fp.items()} == set(got)
-    of = labels(fp, lambda a, b: bin(fp[a] ^ fp[b]).count("1") <= 4) if False else None
     nodes = sorted(set(fp.values()))
     of = labels(nodes, lambda a, b: bin(a ^ b).count("1") <= 4)
     least = {}
@@ -64,21 +63,47 @@ def test_fingerprints_and_components(spark):
 
 def test_links_lose_none(spark):
     rng = random.Random(5)
-    for blocks in (6, 7, 8):
+    for spread in (64, 20):
         fps = set()
         for _ in range(12):
             x = rng.getrandbits(64)
             for _ in range(15):
                 fps.add(x)
                 for _ in range(rng.randint(1, 6)):
-                    x ^= 1 << rng.randrange(64)
+                    x ^= 1 << rng.randrange(64) if spread == 64 else 1 << (rng.randrange(spread) * 3)
         fps = {x - (1 << 64) if x >> 63 else x for x in fps}
         df = spark.createDataFrame([(x,) for x in fps], "fp long")
-        got = {r.node: r.label for r in components(links(df, 4, blocks)).collect()}
+        got = {r.node: r.label for r in components(links(df, 4)).collect()}
         want = labels(sorted(fps), lambda a, b: bin((a ^ b) & (2**64 - 1)).count("1") <= 4)
         assert {x: got.get(x, x) for x in fps} == want
 
 
+def test_trie_prunes(spark):
+    """Node pairs that the tries follow, and that a large group of near copies isn't squared."""
+    rng = random.Random(6)
+    fps = {rng.getrandbits(64) - 2**63 for _ in range(2000)}
+    leaves = spark.createDataFrame([(0, x, x, x) for x in fps], "trie int, ord long, fp long, cls long")
+    pairs = spark.createDataFrame([(0, 0, 0, 0)], "trie int, a long, b long, off int")
+    want = {(0, 0)}
+    for depth in (0, 4, 8):
+        down = below(pairs, trie_nodes(leaves, depth), depth, 4, meet=False)
+        got = {(r.a, r.b): r.off for r in down.collect()}
+        tops = sorted({(x & (2**64 - 1)) >> (60 - depth) for x in fps})
+        want = {(a, b): (a ^ b).bit_count() for a in tops for b in tops if a <= b and (a ^ b).bit_count() <= 2}
+        assert {(min(k), max(k)): v for k, v in got.items()} == want and len(got) == len(want)
+        pairs = down.select("trie", "a", "b", "off")
+    base = rng.getrandbits(60)
+    near = {base ^ (1 << rng.randrange(60)) for _ in range(300)} | {base}
+    found = links(spark.createDataFrame([(x,) for x in near], "fp long"), 4)
+    assert found.count() < 8 * len(near)
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    docs = [(1, "a b c d e f"), (1, "u v w x y z"), (2, "a b c d e f"), (3, "u v w x y z"), (None, "a b c d e f"), (None, "k l m n o p"), (None, "k l m n o p")]
+    kept = sorted((r.doc_id or 0, r.text) for r in simhash_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert kept == [(0, "k l m n o p"), (1, "a b c d e f"), (1, "u v w x y z")]
+
+
 def test_empty(spark):
     assert simhash_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
