@@ -42,11 +42,12 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     return sums.select("doc_id", "copy", F.coalesce(bits, F.lit(0)).cast("long").alias("fingerprint"))
 
 
-#: Bits that the tries go down by at once, so that a node's children are a mask of 16 bits.
-STEP = 4
+#: Bits of the tries' first step and of later ones; a node's children are then a mask of 16 bits.
+TOP, STEP = 12, 4
 HALF = BITS // 2
 CHILDREN = 1 << STEP
-PREFIX = "CASE WHEN {0} = 0 THEN 0L ELSE shiftrightunsigned(ord, 64 - {0}) END"
+#: Node pairs with so many leaves together are finished leaf by leaf.
+FEW = 64
 
 
 def moved(mask: Column, by: int) -> Column:
@@ -61,51 +62,78 @@ def near(a: str, b: str, budget: int) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= budget
 
 
+def node_of(depth: int) -> Column:
+    """A leaf's node of that depth: its leading bits."""
+    return F.shiftrightunsigned("ord", BITS - depth).alias("node")
+
+
 def trie_nodes(leaves: DataFrame, depth: int) -> DataFrame:
     """The nodes of that depth: a mask of their children, how many leaves they have (and the only one), and the least and largest class of these."""
-    child = F.shiftrightunsigned("ord", BITS - depth - STEP).bitwiseAND(F.lit(CHILDREN - 1)).cast("int") if depth < BITS else F.lit(0)
+    child = F.shiftrightunsigned("ord", max(0, BITS - depth - STEP)).bitwiseAND(F.lit(CHILDREN - 1)).cast("int")
     one = F.call_function("shiftleft", F.lit(1), child)
-    return leaves.select("trie", F.expr(PREFIX.format(depth)).alias("node"), one.alias("child"), "fp", "cls").groupBy("trie", "node").agg(F.bit_or("child").alias("kids"), F.count("*").alias("n"), F.min("fp").alias("leaf"), F.min("cls").alias("least"), F.max("cls").alias("most"))
+    return leaves.select("trie", node_of(depth), one.alias("child"), "fp", "cls").groupBy("trie", "node").agg(F.bit_or("child").alias("kids"), F.count("*").alias("n"), F.min("fp").alias("leaf"), F.min("cls").alias("least"), F.max("cls").alias("most"))
 
 
-def below(pairs: DataFrame, nodes: DataFrame, depth: int, budget: int, meet: bool = True) -> DataFrame:
-    """One step down from pairs of nodes (trie, a, b, off: differing bits so far) of that depth: pairs of their children that are still within the budget, and pairs of leaves, told by ``met``.
+def top_pairs(nodes: DataFrame, limit: int) -> DataFrame:
+    """The first step: pairs (trie, a, b, off: differing bits) of nodes of depth TOP, each node with itself and with those that differ in limit bits at most. There are 2 ** TOP nodes a trie, whatever the input."""
+    ways = [e for e in range(1 << TOP) if e.bit_count() <= limit]
+    met = nodes.select("trie", F.col("node").alias("a"), F.explode(F.array(*(F.lit(e) for e in ways))).alias("e")).select("trie", "a", F.col("a").bitwiseXOR(F.col("e")).alias("b"), F.bit_count("e").alias("off")).filter("a <= b")
+    return met.join(nodes.select("trie", F.col("node").alias("b")), ["trie", "b"], "left_semi").select("trie", "a", "b", "off")
 
-    A pair whose leaves are all of one class has nothing left to find. Two nodes of one leaf each are compared at once (if meet is set).
-    For each way e in which the next bits may differ, one AND of two masks gives all children that have a partner.
-    """
-    limit = budget // 2 if depth < HALF else budget
+
+def followed(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """pairs with what their nodes are; without those whose leaves are all of one class: they have nothing left to find."""
 
     def of(side: str) -> DataFrame:
         return nodes.select("trie", F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("kids", "n", "leaf", "least", "most")))
 
     both = pairs.join(of("a").hint("shuffle_hash"), ["trie", "a"]).join(of("b").hint("shuffle_hash"), ["trie", "b"])
-    both = both.filter("least_a <> most_a OR least_b <> most_b OR least_a <> least_b")
-    single = (F.col("n_a") == 1) & (F.col("n_b") == 1) & F.lit(meet)
+    return both.filter("least_a <> most_a OR least_b <> most_b OR least_a <> least_b")
+
+
+def below(both: DataFrame, depth: int, budget: int) -> DataFrame:
+    """One step down from node pairs (see ``followed``) of that depth: pairs of their children that are still within the budget, and pairs of leaves, told by ``met``, with their classes.
+
+    Two nodes of one leaf each are compared at once. For each way e in which the next bits may differ, one AND of two
+    masks gives all children that have a partner.
+    """
+    limit = budget // 2 if depth < HALF else budget
+    single = (F.col("n_a") == 1) & (F.col("n_b") == 1)
     ways = [e for e in range(CHILDREN) if e.bit_count() <= limit]
     made = [F.struct(F.when(~single & (F.col("off") + e.bit_count() <= limit), F.col("kids_a").bitwiseAND(moved(F.col("kids_b"), e))).otherwise(0).alias("mask"), F.lit(e).alias("e")) for e in ways]
     leaf = F.struct(F.when(single & near("leaf_a", "leaf_b", budget), 1).otherwise(0).alias("mask"), F.lit(-1).alias("e"))
     ways_down = both.select("*", F.explode(F.array(leaf, *made)).alias("way")).filter("way.mask <> 0")
     each = ways_down.select("*", F.explode(F.filter(F.array(*(F.lit(x) for x in range(CHILDREN))), lambda x: F.call_function("getbit", F.col("way.mask"), x) == 1)).alias("x"))
     met = F.col("way.e") < 0
-    down = each.select(
-        "trie", met.alias("met"), F.when(met, F.col("leaf_a")).otherwise(F.shiftleft("a", STEP).bitwiseOR(F.col("x"))).alias("a"), F.when(met, F.col("leaf_b")).otherwise(F.shiftleft("b", STEP).bitwiseOR(F.col("x").bitwiseXOR(F.col("way.e")))).alias("b"),
-        F.when(met, 0).otherwise(F.col("off") + F.bit_count("way.e")).alias("off"), (F.col("a") == F.col("b")).alias("self"), F.col("least_a").alias("of_a"), F.col("least_b").alias("of_b"),
-    )
-    return down.filter("met OR NOT self OR a <= b").drop("self")
+    child_a, child_b = F.shiftleft("a", STEP).bitwiseOR(F.col("x")), F.shiftleft("b", STEP).bitwiseOR(F.col("x").bitwiseXOR(F.col("way.e")))
+    # children of one node meet in both orders
+    each = each.filter(met | (F.col("a") != F.col("b")) | (child_a <= child_b))
+    return each.select("trie", met.alias("met"), F.when(met, F.col("leaf_a")).otherwise(child_a).alias("a"), F.when(met, F.col("leaf_b")).otherwise(child_b).alias("b"), F.when(met, 0).otherwise(F.col("off") + F.bit_count("way.e")).alias("off"), F.col("least_a").alias("of_a"), F.col("least_b").alias("of_b"))
+
+
+def leaf_pairs(both: DataFrame, leaves: DataFrame, depth: int, budget: int) -> DataFrame:
+    """a, b, of_a and of_b: leaves below node pairs with few leaves, of different classes and within the budget."""
+
+    def of(side: str) -> DataFrame:
+        return leaves.select("trie", node_of(depth).alias(f"node_{side}"), F.col("fp").alias(side), F.col("cls").alias(f"of_{side}"))
+
+    pairs = both.select("trie", F.col("a").alias("node_a"), F.col("b").alias("node_b"))
+    return pairs.join(of("a"), ["trie", "node_a"]).join(of("b"), ["trie", "node_b"]).filter((F.col("of_a") != F.col("of_b")) & near("a", "b", budget)).select("a", "b", "of_a", "of_b")
 
 
 def links(nodes: DataFrame, budget: int) -> DataFrame:
     """Binary trie self-join: edges(a, b) of fingerprints (fp) within budget differing bits that connect all that such pairs connect.
 
     Of two such fingerprints, one half of the bits differs in budget // 2 at most. So there are two tries, each with
-    another half of the bits first. Pairs of nodes go down a trie together, four bits at a time, from the root paired
-    with itself; differing bits add up, and a pair is pruned when it has over budget // 2 in the first half of the way
-    or over budget later. Both tries go down in the same jobs.
+    another half of the bits first. Pairs of nodes go down a trie together, four bits at a time; differing bits add up,
+    and a pair is pruned when it has over budget // 2 in the first half of the way or over budget later. From half-way
+    on, pairs with few leaves are finished at once, others go on. Both tries go down in the same jobs.
 
     First each leaf meets the next three in the order of its trie (below one node half-way down). What is connected then
     is one class, and node pairs with leaves of one class only are pruned too, so a large group of near copies isn't
-    squared. Between two classes one edge is kept.
+    squared. Between two classes one edge is kept. With random fingerprints each of n nodes about log2(n) bits down has
+    1 + l + l (l - 1) / 2 partners (l = log2(n)), so the work is n log2(n) ** 2; many fingerprints that are similar but not linked make
+    more pairs than that.
     """
     turned = F.shiftleft("fp", HALF).bitwiseOR(F.shiftrightunsigned("fp", HALF))
     tries = [(0, F.col("fp")), (1, turned)]
@@ -119,21 +147,24 @@ def links(nodes: DataFrame, budget: int) -> DataFrame:
     beside = cut(beside)
     classes = components(beside)
     leaves = cut(ordered(nodes.select("fp").join(classes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("cls"))))
-    found = beside
-    pairs = nodes.sparkSession.range(len(tries)).select(F.col("id").cast("int").alias("trie"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).alias("off"))
-    for depth in range(0, BITS + 1, STEP):
-        # the first levels have 16 ** 2 nodes at most; they are one job
-        small = depth < 2 * STEP
-        down = below(pairs, trie_nodes(leaves, depth), depth, budget, meet=not small)
-        if not small:
-            down = cut(down)
-            met = down.filter("met").groupBy(F.least("of_a", "of_b").alias("x"), F.greatest("of_a", "of_b").alias("y")).agg(F.min(F.struct("a", "b")).alias("pair"))
-            found = found.unionByName(met.select("pair.a", "pair.b"))
-            down = down.filter("NOT met")
-            if down.isEmpty():
+    across = []
+    pairs = top_pairs(trie_nodes(leaves, TOP), budget // 2)
+    for depth in range(TOP, BITS + 1, STEP):
+        both = followed(pairs, trie_nodes(leaves, depth))
+        if depth >= HALF:
+            both = cut(both)
+            across.append(leaf_pairs(both.filter(F.col("n_a") + F.col("n_b") <= FEW), leaves, depth, budget))
+            both = both.filter(F.col("n_a") + F.col("n_b") > FEW)
+            if both.isEmpty():
                 break
-        pairs = down.select("trie", "a", "b", "off")
-    return found
+        down = cut(below(both, depth, budget))
+        across.append(down.filter("met").select("a", "b", "of_a", "of_b"))
+        pairs = down.filter("NOT met").select("trie", "a", "b", "off")
+    met = across[0]
+    for more in across[1:]:
+        met = met.unionByName(more)
+    met = met.groupBy(F.least("of_a", "of_b"), F.greatest("of_a", "of_b")).agg(F.min(F.struct("a", "b")).alias("pair"))
+    return beside.unionByName(met.select("pair.*"))
 
 
 def _labelled(docs: DataFrame, shingle: int, budget: int) -> DataFrame:

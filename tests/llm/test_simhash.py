@@ -1,9 +1,11 @@
+import collections
 import random
 
 import xxhash
 
 from lexmill.llm.components import components
-from lexmill.llm.simhash import below, links, simhash_components, simhash_dedup, trie_nodes
+from lexmill.llm import simhash
+from lexmill.llm.simhash import below, followed, links, simhash_components, simhash_dedup, top_pairs, trie_nodes
 
 
 def fingerprint(text, k=4):
@@ -61,9 +63,10 @@ def test_fingerprints_and_components(spark):
     assert sorted(map(str, kept)) == sorted({str(k[0]) for k, c in got.items() if k[0] == c})
 
 
-def test_links_lose_none(spark):
+def test_links_lose_none(spark, monkeypatch):
     rng = random.Random(5)
-    for spread in (64, 20):
+    for spread, few in ((64, 64), (20, 2)):
+        monkeypatch.setattr(simhash, "FEW", few)  # 2: all the way down
         fps = set()
         for _ in range(12):
             x = rng.getrandbits(64)
@@ -83,15 +86,16 @@ def test_trie_prunes(spark):
     rng = random.Random(6)
     fps = {rng.getrandbits(64) - 2**63 for _ in range(2000)}
     leaves = spark.createDataFrame([(0, x, x, x) for x in fps], "trie int, ord long, fp long, cls long")
-    pairs = spark.createDataFrame([(0, 0, 0, 0)], "trie int, a long, b long, off int")
-    want = {(0, 0)}
-    for depth in (0, 4, 8):
-        down = below(pairs, trie_nodes(leaves, depth), depth, 4, meet=False)
-        got = {(r.a, r.b): r.off for r in down.collect()}
-        tops = sorted({(x & (2**64 - 1)) >> (60 - depth) for x in fps})
+    pairs = top_pairs(trie_nodes(leaves, 12), 2)
+    for depth in (12, 16):
+        got = {(r.a, r.b): r.off for r in pairs.collect()}
+        tops = sorted({(x & (2**64 - 1)) >> (64 - depth) for x in fps})
         want = {(a, b): (a ^ b).bit_count() for a in tops for b in tops if a <= b and (a ^ b).bit_count() <= 2}
+        if depth == 16:  # pairs of single leaves have met instead
+            n = collections.Counter((x & (2**64 - 1)) >> 52 for x in fps)
+            want = {(a, b): k for (a, b), k in want.items() if n[a >> 4] > 1 or n[b >> 4] > 1}
         assert {(min(k), max(k)): v for k, v in got.items()} == want and len(got) == len(want)
-        pairs = down.select("trie", "a", "b", "off")
+        pairs = below(followed(pairs, trie_nodes(leaves, depth)), depth, 4).filter("NOT met").select("trie", "a", "b", "off")
     base = rng.getrandbits(60)
     near = {base ^ (1 << rng.randrange(60)) for _ in range(300)} | {base}
     found = links(spark.createDataFrame([(x,) for x in near], "fp long"), 4)
