@@ -25,6 +25,10 @@ PIECE_WORDS = 30
 MOST_REPETITIONS, TRIALS = 2000, 400
 
 
+#: Stretches that are verified together.
+TOGETHER = 64
+
+
 @dataclass
 class Group:
     """Pieces of about one length: the shortest and longest, which words they have, and, for each repetition, its coordinates and the pieces by key. Of a piece: its item and its place in that."""
@@ -188,29 +192,36 @@ def index(items: list[tuple[int, str]], rate: float, recall: float) -> Index:
     return Index(vocabulary, np.array(ids, np.int64), seqs, seeds, groups, rate)
 
 
-def nearest(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
-    """Least edit distance of item to a stretch of text, and that stretch's first word and length (the first and then shortest of ties)."""
-    n, m = len(item), len(text)
-    cost = np.arange(n + 1)
-    begin = np.zeros(n + 1, np.int64)
-    best = (n, 0, 0)
-    for j in range(1, m + 1):
-        c, b = np.empty(n + 1, np.int64), np.empty(n + 1, np.int64)
-        c[0], b[0] = 0, j
-        differs = (item != text[j - 1]).astype(np.int64)
-        diag, up = cost[:-1] + differs, cost[1:] + 1
-        take = np.minimum(diag, up)
-        from_ = np.where(diag <= up, begin[:-1], begin[1:])
-        # what remains are steps along the item alone: a running minimum of take[i] - i
-        ramp = np.r_[0, take - np.arange(1, n + 1)]
-        low = np.minimum.accumulate(ramp)
-        last = np.maximum.accumulate(np.where(ramp == low, np.arange(n + 1), 0))
-        c = low + np.arange(n + 1)
-        b = np.r_[j, from_][last]
-        cost, begin = c, b
-        if (int(c[n]), int(b[n])) < best[:2]:
-            best = (int(c[n]), int(b[n]), j - int(b[n]))
-    return best
+def nearest(items: list[np.ndarray], texts: list[np.ndarray]) -> list[tuple[int, int, int]]:
+    """For each item and text: least edit distance of the item to a stretch of the text, and that stretch's first word and length (the first and then shortest of ties). All pairs go through the dynamic programme together."""
+    size = np.array([len(t) for t in texts])
+    order = np.argsort(-size, kind="stable")
+    size = size[order]
+    n = np.array([len(items[k]) for k in order])
+    item, text = np.full((len(n), n.max()), -2), np.full((len(n), max(1, size.max())), -3)
+    for r, k in enumerate(order.tolist()):
+        item[r, : n[r]], text[r, : size[r]] = items[k], texts[k]
+    ramp_of = np.arange(n.max() + 1)
+    cost, begin = np.tile(ramp_of, (len(n), 1)), np.zeros((len(n), len(ramp_of)), np.int64)
+    least, first, stop = n.copy(), np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+    for j in range(1, int(size.max()) + 1):
+        live = int(np.searchsorted(-size, -j, "right"))
+        own = np.arange(live)
+        diag, up = cost[:live, :-1] + (item[:live] != text[:live, j - 1 : j]), cost[:live, 1:] + 1
+        # what remains are steps along the item alone: a running minimum of the cost less the place
+        ramp, came = np.zeros((live, len(ramp_of)), np.int64), np.full((live, len(ramp_of)), j)
+        ramp[:, 1:] = np.minimum(diag, up) - ramp_of[1:]
+        came[:, 1:] = np.where(diag <= up, begin[:live, :-1], begin[:live, 1:])
+        low = np.minimum.accumulate(ramp, axis=1)
+        last = np.maximum.accumulate(np.where(ramp == low, ramp_of, 0), axis=1)
+        cost, begin = low + ramp_of, np.take_along_axis(came, last, 1)
+        d, at = cost[own, n[:live]], begin[own, n[:live]]
+        good = (d < least[:live]) | ((d == least[:live]) & (at < first[:live]))
+        least[:live][good], first[:live][good], stop[:live][good] = d[good], at[good], j
+    out: list[tuple[int, int, int]] = [(0, 0, 0)] * len(n)
+    for r, k in enumerate(order.tolist()):
+        out[k] = int(least[r]), int(first[r]), int(stop[r] - first[r])
+    return out
 
 
 def candidates(x: np.ndarray, first: np.ndarray, ix: Index) -> np.ndarray:
@@ -244,28 +255,43 @@ def candidates(x: np.ndarray, first: np.ndarray, ix: Index) -> np.ndarray:
     return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
 
 
-def verified(x: np.ndarray, first: np.ndarray, pairs: np.ndarray, ix: Index) -> list[tuple[int, int, int, int, int]]:
-    """Row, item, start, words and edits of each row's best stretch for an item, of those within its edits. Windows that overlap are looked at together."""
-    out: dict[tuple[int, int], tuple[int, int, int]] = {}
-    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 2], pairs[:, 0]))]
+def stretches(x: np.ndarray, first: np.ndarray, pairs: np.ndarray, ix: Index) -> Iterator[tuple[int, int, int, int]]:
+    """Row, item, first and last word of what candidates leave to be looked at; windows that overlap are one stretch, cut to where enough of the item's words stand close enough together."""
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 2], pairs[:, 0]))].tolist()
+    of_item = np.zeros(len(ix.vocabulary) + 1, bool)
     k = 0
     while k < len(pairs):
-        row, at, item = pairs[k].tolist()
+        row, at, item = pairs[k]
         seq = ix.items[item]
         spare = budget(len(seq), ix.rate)
         lo = max(int(first[row]), at - 2 * spare)
         hi = at + len(seq) + 2 * spare
         k += 1
-        while k < len(pairs) and pairs[k, 0] == row and pairs[k, 2] == item and pairs[k, 1] <= hi:
-            hi = int(pairs[k, 1]) + len(seq) + 2 * spare
+        while k < len(pairs) and pairs[k][0] == row and pairs[k][2] == item and pairs[k][1] <= hi:
+            hi = pairs[k][1] + len(seq) + 2 * spare
             k += 1
         hi = min(hi, int(first[row + 1]))
-        if np.isin(x[lo:hi], seq).sum() < len(seq) - spare:
-            continue
-        d, s, n = nearest(seq, x[lo:hi])
-        if d <= spare:
-            mine = (d, lo + s - int(first[row]), n)
-            out[row, item] = min(out.get((row, item), mine), mine)
+        of_item[seq] = True
+        sums = np.r_[0, np.cumsum(of_item[x[lo:hi]])]
+        of_item[seq] = False
+        # a stretch within the edits has at most so many words, and all but spare of the item's
+        wide = min(len(seq) + spare, hi - lo)
+        enough = np.flatnonzero(sums[wide:] - sums[: len(sums) - wide] >= len(seq) - spare)
+        if len(enough):
+            yield row, item, lo + int(enough[0]), lo + int(enough[-1]) + wide
+
+
+def verified(x: np.ndarray, first: np.ndarray, pairs: np.ndarray, ix: Index) -> list[tuple[int, int, int, int, int]]:
+    """Row, item, start, words and edits of each row's best stretch for an item, of those within its edits."""
+    out: dict[tuple[int, int], tuple[int, int, int]] = {}
+    # alike in size, so that little is padded
+    todo = sorted(stretches(x, first, pairs, ix), key=lambda t: (len(ix.items[t[1]]) // 8, t[3] - t[2]))
+    for some in batched(todo, TOGETHER):
+        got = nearest([ix.items[item] for _, item, _, _ in some], [x[lo:hi] for _, _, lo, hi in some])
+        for (row, item, lo, _), (d, s, n) in zip(some, got, strict=True):
+            if d <= budget(len(ix.items[item]), ix.rate):
+                mine = (d, lo + s - int(first[row]), n)
+                out[row, item] = min(out.get((row, item), mine), mine)
     return [(row, item, s, n, d) for (row, item), (d, s, n) in out.items()]
 
 

@@ -39,7 +39,7 @@ def test_nearest_as_brute_force():
     rng = random.Random(1)
     for _ in range(300):
         a, b = [rng.randrange(4) for _ in range(rng.randint(1, 8))], [rng.randrange(4) for _ in range(rng.randint(0, 14))]
-        d, s, n = nearest(np.array(a), np.array(b, int))
+        [(d, s, n)] = nearest([np.array(a)], [np.array(b, int)])
         assert d == distance(a, b)
         assert distance(a, b[s : s + n]) == d
 
