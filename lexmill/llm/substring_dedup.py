@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lexmill.llm.common import batch, columns, spans
+from lexmill.llm.common import batch, columns, span_of, sums_of
 from lexmill.llm.repeats import Kind, Piece, covered, repeated_windows, runs_of_true, with_repeats
 
 OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string()), ("spans", pa.list_(pa.list_(pa.int64())))])
@@ -20,28 +20,51 @@ def kind(width: int = 50, hot: int = 4096) -> Kind:
 
 
 def parse(p: Piece, anchor: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
-    """Relative Lempel-Ziv parse of a block's segments against the block, which is the reference of each of them.
-
-    The index has for each phrase of width words its first occurrence, by document. A segment is read from left to
-    right: where the index has the phrase in a smaller document, a factor opens with that occurrence as its source and
-    grows as long as source and segment go on alike; where it ends, the next one opens. Phrases that lie across the
-    end of a factor are looked up too, so that none is missed there. Returns a flag for each window (it starts in a
-    smaller document) and the factors: segment, first word, words, source segment.
+    """Relative Lempel-Ziv parse of a block's segments against the block, whose segments of smaller documents are the reference.
+
+    The index has each phrase of width words and its first occurrence, by document. A segment is factored greedily from
+    left to right (all segments at once): if the phrase at the cursor is in a smaller document, a factor with that
+    source opens and grows as long as source and segment go on alike; the cursor then stands at its end, at the first
+    phrase that crosses this boundary, so that what another source has across it opens the next factor. Else the word at
+    the cursor is a literal. Factors alone decide: a window is repeated if a factor holds it. Returns a flag for each
+    window (repeated) and the factors: segment, first word, words, source segment.
     """
     n = np.diff(p.first) - width + 1
     seg = np.repeat(np.arange(len(n)), n)
     at = np.arange(len(seg)) - np.repeat(np.cumsum(n) - n, n) + p.first[seg]
-    phrase = spans(p.values, at, at + width) ^ anchor.view(np.uint64)[seg]
+    sums = sums_of(p.values)
+    phrase = span_of(sums, at, at + width) ^ anchor.view(np.uint64)[seg]
     order = np.lexsort((at, doc[seg], phrase))
-    new = np.r_[True, phrase[order][1:] != phrase[order][:-1]] if len(order) else np.zeros(0, bool)
-    source = np.empty(len(seg), np.int64)
-    source[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-    hit = doc[seg[source]] < doc[seg]
-    goes_on = np.r_[False, hit[1:] & hit[:-1] & (seg[1:] == seg[:-1]) & (source[1:] == source[:-1] + 1) & (seg[source[1:]] == seg[source[:-1]])] if len(seg) else hit
-    opens = np.flatnonzero(hit & ~goes_on)
-    ends = np.searchsorted(np.flatnonzero(~goes_on), opens, "right")
-    stops = np.r_[np.flatnonzero(~goes_on), len(seg)][ends]
-    return hit, [(int(seg[a]), int(at[a] - p.first[seg[a]]), int(b - a + width - 1), int(seg[source[a]])) for a, b in zip(opens, stops, strict=True)]
+    head = order[np.r_[True, phrase[order][1:] != phrase[order][:-1]]] if len(order) else order
+    index, source, of = phrase[head], at[head], seg[head]
+    own = np.flatnonzero(n > 0)
+    cursor, stop = p.first[:-1][own], p.first[1:][own]
+    factors = [np.zeros((4, 0), np.int64)]
+    while len(own):
+        here = np.searchsorted(index, span_of(sums, cursor, cursor + width) ^ anchor.view(np.uint64)[own])
+        opens = doc[of[here]] < doc[own]
+        step = np.ones(len(own), np.int64)
+        if opens.any():
+            a, b, src = cursor[opens], source[here[opens]], of[here[opens]]
+            # the factor's length: alike up to least words, and not up to most + 1
+            least, most = np.full(len(a), width), np.minimum(stop[opens] - a, p.first[1:][src] - b)
+            while (least < most).any():
+                mid = (least + most + 1) // 2
+                alike = span_of(sums, a, a + mid) == span_of(sums, b, b + mid)
+                least, most = np.where(alike, mid, least), np.where(alike, most, mid - 1)
+            factors.append(np.stack([own[opens], a, least, src]))
+            step[opens] = least - width + 1
+        cursor = cursor + step
+        more = cursor + width <= stop
+        own, cursor, stop = own[more], cursor[more], stop[more]
+    found = np.concatenate(factors, 1)
+    found = found[:, np.lexsort((found[1], found[0]))]
+    first = found[1] - p.first[found[0]]
+    change = np.zeros(len(seg) + 1, np.int64)
+    begin = np.cumsum(n) - n
+    np.add.at(change, begin[found[0]] + first, 1)
+    np.add.at(change, begin[found[0]] + first + found[2] - width + 1, -1)
+    return np.cumsum(change)[: len(seg)] > 0, list(zip(found[0].tolist(), first.tolist(), found[2].tolist(), found[3].tolist(), strict=True))
 
 
 def substring_dedup(docs: DataFrame, width: int = 50, hot: int = 4096) -> DataFrame:

@@ -108,3 +108,28 @@ def test_factors_name_their_source():
     p = tokens(np.frombuffer("".join(segs).encode().replace(b"w29x", b"w29x"), np.uint8), np.r_[0, np.cumsum([len(s) for s in segs])], True)
     hit, factors = parse(p, np.zeros(3, np.int64), np.array([1, 2, 3]), 10)
     assert factors == [(1, 1, 30, 0), (2, 0, 30, 0)] and hit.sum() == 42
+
+
+def test_production_widths_as_brute_force(spark):
+    """Fifty words and a hundred bytes, with passages that are shared in part, and a very long text."""
+    rng = random.Random(11)
+    vocab = ["".join(rng.choice("abcdefé") for _ in range(rng.randint(1, 8))) for _ in range(500)]
+    passage = [rng.choice(vocab) for _ in range(140)]
+    docs = [(7, " ".join(rng.choice(vocab) for _ in range(30_000)))]
+    for i in range(20, 60):
+        lo, n = rng.randint(0, 60), rng.randint(40, 140)
+        docs.append((i, " ".join([*(rng.choice(vocab) for _ in range(rng.randint(0, 40))), *passage[lo : lo + n], *(rng.choice(vocab) for _ in range(rng.randint(0, 40)))])))
+    docs += [(70, docs[0][1][5000:9000]), (71, docs[5][1]), (71, docs[5][1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = substring_dedup(df).collect()
+    assert sorted([(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got], key=str) == brute_words(docs, 50)
+    got = suffix_dedup(df).collect()
+    assert sorted([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got], key=str) == brute_bytes(docs, 100)
+
+
+def test_a_phrase_across_two_factors_opens_the_next():
+    w = [f"w{i}" for i in range(60)]
+    segs = [" ".join(w[:35]), " ".join(["x", *w[20:], "y"]), " ".join(w)]
+    p = tokens(np.frombuffer("".join(segs).encode(), np.uint8), np.r_[0, np.cumsum([len(s) for s in segs])], True)
+    hit, factors = parse(p, np.zeros(3, np.int64), np.array([1, 2, 3]), 10)
+    assert factors[-2:] == [(2, 0, 35, 0), (2, 26, 34, 1)] and hit[-51:].all()
