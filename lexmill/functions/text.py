@@ -111,8 +111,8 @@ def humanize(text: Column | str, labels: Column | str) -> Column:
 
 
 def tokens(text: Column | str) -> Column:
-    """Lower-case runs of letters, digits and underscores of any script."""
-    return F.regexp_extract_all(F.lower(_col(text)), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    """Lower-case runs of letters, digits and underscores of any script, in Unicode form NFKC."""
+    return F.regexp_extract_all(F.lower(normalized(text)), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
 @F.pandas_udf(StringType())
@@ -120,7 +120,12 @@ def _normal(text: pd.Series, form: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else unicodedata.normalize(f, t) for t, f in zip(text, form, strict=True)], dtype=object)
 
 
+#: Characters that NFC and NFKC leave alone, whatever stands beside them: ASCII, letters of Latin-1, composed Vietnamese ones, dashes and quotes.
+STABLE = r"^[\x00-\x7F\u00C0-\u00FF\u0102\u0103\u0110\u0111\u0128\u0129\u0168\u0169\u01A0\u01A1\u01AF\u01B0\u1EA0-\u1EF9\u2013\u2014\u2018\u2019\u201C\u201D]*$"
+
+
 def normalized(text: Column | str, form: str = "NFKC") -> Column:
-    """Unicode normal form. Spark has no such function; texts of ASCII only, which every form leaves alone, skip Python's answer."""
+    """Unicode normal form (NFC or NFKC). Spark has no such function; of texts that both leave alone Python sees a null."""
     c = _col(text)
-    return F.when(F.octet_length(c) == F.length(c), c).otherwise(_normal(c, F.lit(form)))
+    other = ~c.rlike(STABLE)
+    return F.when(other, _normal(F.when(other, c), F.lit(form))).otherwise(c)

@@ -52,6 +52,11 @@ def structural_gaps(hits: DataFrame, focus: DataFrame, totals: DataFrame) -> Dat
     return of.select("query_id", "article_id", "parts", F.coalesce("retrieved", F.lit(0)).cast("long").alias("retrieved")).filter("parts > 1 AND retrieved < parts")
 
 
+def total_parts(graph: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Parts of each article: the larger count of the graph's and the chunk index's (each article_id, parts), as either may lack some."""
+    return graph.unionByName(chunks).groupBy("article_id").agg(F.max("parts").alias("parts"))
+
+
 def gaps(refs: DataFrame, compound: DataFrame, structural: DataFrame) -> DataFrame:
     """All gaps of all queries: query_id, gap_type, article_id."""
     one = lambda df, kind: df.select("query_id", F.lit(kind).alias("gap_type"), "article_id").distinct()
@@ -65,6 +70,30 @@ def suggestions(found: DataFrame) -> DataFrame:
     return found.filter("gap_type <> 'structural'").unionByName(structural)
 
 
+def report_text(queries: DataFrame, refs: DataFrame, compound: DataFrame) -> DataFrame:
+    """query_id and report, the text that a model is given: what is missing by references (see ``missing_references``), behaviours with two kinds of penalties (query_id and ``compound_penalties``), and what to fetch."""
+    article, related = F.col("article_id"), F.col("related")
+    # The sentences of the report
+    outgoing = F.concat(F.lit("Đã lấy '"), related, F.lit("' nhưng nó tham chiếu tới '"), article, F.lit("' (Điều "), article, F.lit(") chưa được lấy."))
+    incoming = F.concat(F.lit("'"), article, F.lit("' (Điều "), article, F.lit(") tham chiếu áp dụng vào '"), related, F.lit("' đã lấy, nhưng "), article, F.lit(" chưa được lấy — có thể chứa hình phạt bổ sung/điều kiện liên quan."))
+    twofold = F.concat(F.lit("Hành vi '"), F.col("behaviour"), F.lit("' trong Điều "), article, F.lit(" có CẢ hình phạt chính lẫn bổ sung trong tri thức đồ thị — 2 phần này thường nằm ở 2 Khoản khác nhau nên top-k dễ chỉ lấy được 1 phần, cần lấy lại toàn văn Điều."))
+    detail = F.concat(F.lit("• Điều "), article, F.lit(" - Hành vi: "), F.col("behaviour"), F.lit("\n  Chính: "), F.coalesce("main", F.lit("(không có trong graph)")), F.lit("\n  Bổ sung: "), F.coalesce("additional", F.lit("(không có trong graph)")))
+    lines = refs.select("query_id", F.struct(F.lit(0).alias("kind"), article.alias("article"), F.lit("").alias("behaviour"), F.when(F.col("direction") == "outgoing", outgoing).otherwise(incoming).alias("reason"), F.lit("").alias("detail")).alias("line"))
+    lines = lines.unionByName(compound.select("query_id", F.struct(F.lit(1).alias("kind"), article.alias("article"), "behaviour", twofold.alias("reason"), detail.alias("detail")).alias("line")))
+    of = lines.groupBy("query_id").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    missed, both = F.filter("lines", lambda x: x["kind"] == 0), F.filter("lines", lambda x: x["kind"] == 1)
+
+    def part(title: str, some: Column) -> Column:
+        return F.when(F.size(some) > 0, F.concat(F.lit(f"\n\n--- {title} ---\n"), F.array_join(some, "\n"))).otherwise("")
+
+    advice = F.transform("lines", lambda x, i: F.concat((i + 1).cast("string"), F.lit(". [retrieve] "), x["reason"], F.lit(" (Điều: "), x["article"], F.lit(")")))
+    found = F.concat(F.lit("⚠️ Phát hiện "), F.size(missed).cast("string"), F.lit(" Điều cần retrieve thêm, "), F.size(both).cast("string"), F.lit(" hành vi có chế tài kép (chính+bổ sung) cần lấy lại toàn văn Điều:\n"))
+    found = F.concat(found, part("Các tham chiếu bị thiếu", F.transform(missed, lambda x: F.concat(F.lit("• "), x["reason"]))), part("Hành vi có chế tài kép chính+bổ sung (cần lấy lại toàn văn Điều)", F.transform(both, lambda x: x["detail"])), part("Khuyến nghị", advice))
+    complete = F.lit("✅ Retrieval đầy đủ: Không phát hiện thông tin bị thiếu từ graph.\n")
+    said = F.concat(F.lit("=== KNOWLEDGE GRAPH ANALYSIS ===\n\n"), F.when(F.col("lines").isNull(), complete).otherwise(found))
+    return queries.select("query_id").distinct().join(of, "query_id", "left").select("query_id", said.alias("report"))
+
+
 def report(queries: DataFrame, found: DataFrame) -> DataFrame:
     """Of each query: whether its retrieval is complete, its gaps by kind, and how many suggestions follow."""
     by = found.groupBy("query_id").agg(*(joined(F.when(F.col("gap_type") == k, F.col("article_id"))).alias(k) for k in PRIORITY))

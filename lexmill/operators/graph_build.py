@@ -117,10 +117,21 @@ def article_references(chunks: DataFrame) -> DataFrame:
     return at.select("src", F.concat("doc_id", F.lit("_D"), "a").alias("dst"), F.lit("dieu_only_regex").alias("note"))
 
 
+#: The year in an official number.
+YEAR = r"/\d{4}/"
+
+
 def document_references(chunks: DataFrame, registry: DataFrame, around: int = 60) -> DataFrame:
-    """Official numbers (registry: number, document) in a text: an edge to the first article named within around characters of each occurrence."""
+    """Official numbers (registry: number, document) in a text: an edge to the first article named within around characters of each occurrence.
+
+    A text that holds a number holds its year too, so the two are joined by that; only the few numbers without one are
+    looked for in every text.
+    """
     located = _located(chunks)
-    met = located.join(registry, F.contains(F.col("body"), F.col("number")) & (F.col("doc_id") != F.col("document")))
+    keyed = registry.withColumn("year", F.regexp_extract("number", YEAR, 0))
+    of_text = located.withColumn("year", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit("(?=(" + YEAR + "))"), F.lit(1)))))
+    holds = F.contains(F.col("body"), F.col("number")) & (F.col("doc_id") != F.col("document"))
+    met = of_text.join(keyed.filter("year <> ''"), "year").filter(holds).drop("year").unionByName(located.join(keyed.filter("year = ''").drop("year"), holds))
     pieces = F.split(F.col("body"), F.concat(F.lit("\\Q"), F.col("number"), F.lit("\\E")))
     starts = F.transform(F.sequence(F.lit(1), F.size("pieces") - 1), lambda k: F.aggregate(F.slice("pieces", 1, k), F.lit(0), lambda n, x: n + F.length(x)) + (k - 1) * F.length("number"))
     at = met.withColumn("pieces", pieces).filter(F.size("pieces") > 1).select("src", "document", "number", "body", F.explode(starts).alias("at"))
@@ -142,6 +153,11 @@ def reference_edges(passes: list[DataFrame], nodes: DataFrame) -> DataFrame:
     return kept.select("src", F.lit("THAM_CHIEU").alias("rel"), "dst", F.lit(True).alias("auto_linked"), "method")
 
 
+def cleared(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Empty tables of the same columns, to be written over a graph's (see ``sources.tables.save_snapshot``)."""
+    return {name: df.limit(0) for name, df in tables.items()}
+
+
 def propagated(edges: DataFrame) -> DataFrame:
     """An additional penalty of a structure node also holds for the behaviours that it regulates: the new edges."""
     penalty = edges.filter("rel = 'CHE_TAI_BO_SUNG'").select("src", F.col("dst").alias("penalty"))

@@ -13,6 +13,8 @@ from lexmill.functions.text import tokens
 
 #: Query vectors that are sent to the tasks at once; more queries are searched for in several passes.
 QUERY_BLOCK = 4096
+#: Vectors that a block of queries is compared with at once.
+VECTOR_BLOCK = 1024
 
 
 def term_counts(texts: DataFrame, key: str) -> DataFrame:
@@ -68,7 +70,7 @@ def sparse_topk(queries: DataFrame, weights: DataFrame, key: str, n: int) -> Dat
 
 
 def dense_topk(queries: DataFrame, vectors: DataFrame, key: str, n: int) -> DataFrame:
-    """query_id, key, score and rank by cosine. queries (query_id, embedding) go to the tasks in blocks; a task keeps its n best of each query."""
+    """query_id, key, score and rank by cosine. queries (query_id, embedding) go to the tasks in blocks of QUERY_BLOCK; a task keeps the n best of each query over all its rows."""
     schema = pa.schema([("query_id", pa.int64()), (key, pa.int64()), ("score", pa.float64())])
     held = queries.select(F.col("query_id").cast("long"), "embedding").orderBy("query_id").toLocalIterator()
     out, block = None, []
@@ -82,15 +84,28 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, key: str, n: int) -> Data
 
         def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q = sent.value
+            # the best so far, a row for each query: scores, and their keys
+            scores, keys = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
             for rows in batches:
-                if not rows.num_rows:
-                    continue
-                v = unit(np.array(rows.column("embedding").to_pylist(), np.float64))
-                own = rows.column(key).to_numpy()
-                s = np.round(q @ v.T, 6)
-                for i in range(len(ids)):
-                    at = np.lexsort((own, -s[i]))[:n]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), ids[i])), pa.array(own[at]), pa.array(s[i][at])], schema=schema)
+                for lo in range(0, rows.num_rows, VECTOR_BLOCK):
+                    some = rows.slice(lo, VECTOR_BLOCK)
+                    own = some.column(key).to_numpy()
+                    order = np.argsort(own, kind="stable")
+                    v = unit(some.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(some), -1))[order]
+                    s = q @ v.T
+                    # the block's best: by score in millionths, then by key, in one number
+                    grade = np.rint(s * 1e6).astype(np.int64) * VECTOR_BLOCK - np.arange(len(order))
+                    if len(order) > n:
+                        best_n = np.argpartition(-grade, n - 1, axis=1)[:, :n]
+                        s, k = np.take_along_axis(s, best_n, 1), own[order][best_n]
+                    else:
+                        k = np.tile(own[order], (len(ids), 1))
+                    scores, keys = np.concatenate([scores, np.round(s, 6)], 1), np.concatenate([keys, k], 1)
+                    if scores.shape[1] > n:
+                        both = np.lexsort((keys, -scores), axis=1)[:, :n]
+                        scores, keys = np.take_along_axis(scores, both, 1), np.take_along_axis(keys, both, 1)
+            if scores.shape[1]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, scores.shape[1])), pa.array(keys.ravel()), pa.array(scores.ravel())], schema=schema)
 
         return vectors.select(F.col(key).cast("long"), "embedding").mapInArrow(best, f"query_id long, {key} long, score double")
 

@@ -45,6 +45,20 @@ def extraction_flatten(t: Tables) -> DataFrame:
     return ent.unionByName(S.relations_of(parsed).select("chunk_id", "van_ban_id", F.col("src").alias("id"), F.col("rel").alias("type"), F.lit("relation").alias("kind")))
 
 
+@query("test_set_head", "SELECT case_id, category FROM (SELECT case_id, category, row_number() OVER (ORDER BY category, case_id) AS k FROM {cases}) x WHERE k <= 20")
+def test_set_head(t: Tables) -> DataFrame:
+    return S.first_rows(t.cases, ["category", "case_id"], 20).select("case_id", "category")
+
+
+@query("scalar_props", """SELECT event_id, 'k' || (user_id % 3) AS k, CASE WHEN user_id % 2 = 0 THEN event_type END AS name, CASE WHEN event_id % 4 <> 0 THEN 'v' END AS tags, 1 + CAST(user_id % 2 = 0 AS INT) + CAST(event_id % 4 <> 0 AS INT) AS n FROM {events}""")
+def scalar_props(t: Tables) -> DataFrame:
+    key = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    tags = F.when(F.col("event_id") % 4 == 0, F.lit('["a", "b"]')).otherwise(F.lit('"v"'))
+    line = F.concat(F.lit('{"type": "HanhVi", "k": "k'), (F.col("user_id") % 3).cast("string"), F.lit('", "name": '), F.when(F.col("user_id") % 2 == 0, key(F.col("event_type"))).otherwise("null"), F.lit(', "tags": '), tags, F.lit(', "x": {"y": 1}}'))
+    p = t.events.select("event_id", S.scalar_props(F.from_json(line, "MAP<STRING, STRING>")).alias("p"))
+    return p.select("event_id", *(F.try_element_at("p", F.lit(k)).alias(k) for k in ("k", "name", "tags")), F.size("p").alias("n"))
+
+
 @query("upsert_latest", "WITH x AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM {events}) SELECT user_id, event_type, event_id FROM x WHERE k = 1")
 def upsert_latest(t: Tables) -> DataFrame:
     return S.latest(t.events, "user_id", [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_type", "event_id")
@@ -182,11 +196,7 @@ def check_cardinality(t: Tables) -> DataFrame:
     return E.wrong_cardinality(t.gold.withColumnRenamed("dieu_id", "item"), ["D0"])
 
 
-@query("near_dups", r"""WITH x AS (SELECT conv_id * 1000 + turn AS id, text FROM {conversations} UNION ALL SELECT conv_id * 1000 + turn + 500, text || ' Zz' FROM {conversations} WHERE conv_id % 3 = 0 UNION ALL SELECT conv_id * 1000 + turn + 700, '  ' || text FROM {conversations} WHERE conv_id % 7 = 0),
-f AS (SELECT id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS t FROM x), r AS (SELECT t, min(id) AS id FROM f GROUP BY 1),
-s AS (SELECT id, list_distinct(list_transform(range(1, greatest(length(t) - 2, 1) + 1), lambda i: substring(t, i, 3))) AS s FROM r),
-p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.s, b.s)) AS n, len(a.s) + len(b.s) AS m FROM s a JOIN s b ON a.id < b.id AND least(len(a.s), len(b.s)) >= 0.9 * greatest(len(a.s), len(b.s)))
-SELECT a, b, round(n / (m - n), 6) AS jaccard FROM p WHERE n / (m - n) >= 0.9 UNION ALL SELECT r.id, f.id, 1.0 FROM f JOIN r USING (t) WHERE f.id > r.id""")
+@query("near_dups")  # by a ratio that SQL hasn't; held against brute force in tests/test_near_dups.py
 def near_dups(t: Tables) -> DataFrame:
     c, key = t.conversations, F.col("conv_id") * 1000 + F.col("turn")
     texts = c.select(key.alias("id"), "text").unionByName(c.filter("conv_id % 3 = 0").select((key + 500).alias("id"), F.concat("text", F.lit(" Zz")).alias("text"))).unionByName(c.filter("conv_id % 7 = 0").select((key + 700).alias("id"), F.concat(F.lit("  "), "text").alias("text")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.operators import chunking as C
 from lexmill.operators import critic as K
 from lexmill.operators import graph_build as G
 from lexmill.operators import graph_query as Q
@@ -93,7 +94,7 @@ def graph_stats(t: Tables) -> DataFrame:
 
 KHOAN = r"(?i)khoản\s+([^\.;]{1,40}?)\s*Điều\s+(\d+[a-zA-Z]*|này)"
 OTHER = r"(?i)^\s*(?:của|thuộc)?\s*(?:Luật|Nghị định|Bộ luật|Pháp lệnh|Thông tư|Quyết định)"
-XREF = LAW_CTE + rf""", loc AS (SELECT doc_id, article AS own, content AS body,
+XREF = LAW_CTE + rf""", loc AS MATERIALIZED (SELECT doc_id, article AS own, content AS body,
   doc_id || '_D' || article || CASE WHEN chunk_type <> 'dieu_preamble' AND clause IS NOT NULL THEN '_K' || clause ELSE '' END || CASE WHEN chunk_type = 'diem' THEN '_P' || point ELSE '' END AS src FROM chunks),
 m1 AS (SELECT doc_id, src, own, unnest(regexp_extract_all(body, '{KHOAN}([\s\S]{{0,25}})', 0)) AS m FROM loc),
 m2 AS (SELECT *, regexp_extract(m, '{KHOAN}', 1) AS ks, regexp_extract(m, '{KHOAN}', 2) AS a, regexp_replace(m, '{KHOAN}', '') AS tail FROM m1),
@@ -303,7 +304,7 @@ below AS (SELECT DISTINCT article_id, article_id AS node FROM {focus} UNION SELE
 mn AS (SELECT src, string_agg(DISTINCT dst, ',' ORDER BY dst) AS v FROM {edges} WHERE rel = 'CHE_TAI_CHINH' GROUP BY 1), ad AS (SELECT src, string_agg(DISTINCT dst, ',' ORDER BY dst) AS v FROM {edges} WHERE rel = 'CHE_TAI_BO_SUNG' GROUP BY 1),
 cp AS (SELECT DISTINCT article_id, h.dst AS behaviour, mn.v AS main, ad.v AS additional FROM below JOIN {edges} h ON h.src = node AND h.rel = 'QUY_DINH_HANH_VI' JOIN mn ON mn.src = h.dst JOIN ad ON ad.src = h.dst)
 """
-STRUCT = """, tot AS (SELECT src AS article_id, count(DISTINCT dst) AS parts FROM {edges} WHERE rel = 'CO_KHOAN' GROUP BY 1),
+STRUCT = """, tot AS (SELECT article_id, max(parts) AS parts FROM (SELECT src AS article_id, count(DISTINCT dst) AS parts FROM {edges} WHERE rel = 'CO_KHOAN' GROUP BY 1 UNION ALL SELECT article_id, count(*) FROM {index_chunks} GROUP BY 1) y GROUP BY 1),
 sg AS (SELECT f.query_id, f.article_id, parts, count(DISTINCT chunk_id) AS retrieved FROM {focus} f JOIN tot ON tot.article_id = f.article_id LEFT JOIN {hits} h ON h.query_id = f.query_id AND h.article_id = f.article_id GROUP BY 1, 2, 3 HAVING parts > 1 AND count(DISTINCT chunk_id) < parts)
 """
 GAPS = "WITH base AS (SELECT 1)" + REFS + COMPOUND + STRUCT + """, gaps AS (SELECT DISTINCT query_id, 'reference' AS gap_type, article_id FROM refs UNION ALL SELECT DISTINCT query_id, 'compound', article_id FROM {focus} JOIN cp USING (article_id) UNION ALL SELECT DISTINCT query_id, 'structural', article_id FROM sg),
@@ -316,7 +317,7 @@ r1 AS (SELECT query_id, article_id, gap_type, accepted FROM (SELECT *, row_numbe
 
 
 def totals(t: Tables) -> DataFrame:
-    return Q.part_count(t.nodes, t.kept("edges"))
+    return K.total_parts(Q.part_count(t.nodes, t.kept("edges")), C.article_parts(t.index_chunks))
 
 
 def all_gaps(t: Tables) -> DataFrame:
@@ -350,6 +351,35 @@ def structural_gaps(t: Tables) -> DataFrame:
     return K.structural_gaps(t.kept("hits"), t.kept("focus"), totals(t))
 
 
+@query("report_text", "WITH base AS (SELECT 1)" + REFS + COMPOUND + """, missed AS (SELECT query_id, article_id, CASE WHEN d = 0 THEN 'Đã lấy ''' || related || ''' nhưng nó tham chiếu tới ''' || article_id || ''' (Điều ' || article_id || ') chưa được lấy.'
+ELSE '''' || article_id || ''' (Điều ' || article_id || ') tham chiếu áp dụng vào ''' || related || ''' đã lấy, nhưng ' || article_id || ' chưa được lấy — có thể chứa hình phạt bổ sung/điều kiện liên quan.' END AS reason FROM refs),
+twofold AS (SELECT query_id, cp.* FROM {focus} JOIN cp USING (article_id)),
+advice AS (SELECT query_id, article_id, 0 AS kind, '' AS behaviour, reason FROM missed UNION ALL SELECT query_id, article_id, 1, behaviour, 'Hành vi ''' || behaviour || ''' trong Điều ' || article_id || ' có CẢ hình phạt chính lẫn bổ sung trong tri thức đồ thị — 2 phần này thường nằm ở 2 Khoản khác nhau nên top-k dễ chỉ lấy được 1 phần, cần lấy lại toàn văn Điều.' FROM twofold),
+counted AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY kind, article_id, behaviour) AS i FROM advice),
+m AS (SELECT query_id, count(*) AS n, string_agg('• ' || reason, chr(10) ORDER BY article_id) AS said FROM missed GROUP BY 1),
+c AS (SELECT query_id, count(*) AS n, string_agg('• Điều ' || article_id || ' - Hành vi: ' || behaviour || chr(10) || '  Chính: ' || main || chr(10) || '  Bổ sung: ' || additional, chr(10) ORDER BY article_id, behaviour) AS said FROM twofold GROUP BY 1),
+a AS (SELECT query_id, string_agg(i || '. [retrieve] ' || reason || ' (Điều: ' || article_id || ')', chr(10) ORDER BY i) AS said FROM counted GROUP BY 1),
+q AS (SELECT DISTINCT query_id FROM {hits})
+SELECT q.query_id, '=== KNOWLEDGE GRAPH ANALYSIS ===' || chr(10) || chr(10) || CASE WHEN a.said IS NULL THEN '✅ Retrieval đầy đủ: Không phát hiện thông tin bị thiếu từ graph.' || chr(10)
+ELSE '⚠️ Phát hiện ' || coalesce(m.n, 0) || ' Điều cần retrieve thêm, ' || coalesce(c.n, 0) || ' hành vi có chế tài kép (chính+bổ sung) cần lấy lại toàn văn Điều:' || chr(10) END
+|| coalesce(chr(10) || chr(10) || '--- Các tham chiếu bị thiếu ---' || chr(10) || m.said, '') || coalesce(chr(10) || chr(10) || '--- Hành vi có chế tài kép chính+bổ sung (cần lấy lại toàn văn Điều) ---' || chr(10) || c.said, '') || coalesce(chr(10) || chr(10) || '--- Khuyến nghị ---' || chr(10) || a.said, '') AS report
+FROM q LEFT JOIN m ON m.query_id = q.query_id LEFT JOIN c ON c.query_id = q.query_id LEFT JOIN a ON a.query_id = q.query_id""")
+def report_text(t: Tables) -> DataFrame:
+    focus = t.kept("focus")
+    compound = focus.join(K.compound_penalties(focus.select("article_id").distinct(), t.kept("edges")), "article_id")
+    return K.report_text(t.kept("hits"), K.missing_references(focus, t.kept("hits"), t.kept("edges")), compound)
+
+
+@query("graph_cleared", "SELECT 'nodes' AS kind, CAST(0 AS BIGINT) AS n_left, count(*) AS n_before FROM {nodes} UNION ALL SELECT 'edges', CAST(0 AS BIGINT), count(*) FROM {edges}")
+def graph_cleared(t: Tables) -> DataFrame:
+    out = None
+    for kind, df in {"nodes": t.nodes, "edges": t.edges}.items():
+        left = G.cleared({kind: df})[kind].agg(F.count("*").alias("n_left"))
+        own = df.agg(F.count("*").alias("n_before")).crossJoin(left).select(F.lit(kind).alias("kind"), "n_left", "n_before")  # a row each
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 @query("critic_report", GAPS + """, sug AS (SELECT query_id FROM gaps WHERE gap_type <> 'structural' UNION ALL SELECT query_id FROM gaps g WHERE gap_type = 'structural' AND (query_id, article_id) NOT IN (SELECT (query_id, article_id) FROM gaps WHERE gap_type = 'compound')),
 q AS (SELECT DISTINCT query_id FROM {hits})
 SELECT q.query_id, count(g.query_id) = 0 AS is_complete, string_agg(DISTINCT article_id, ',' ORDER BY article_id) FILTER (gap_type = 'reference') AS reference, string_agg(DISTINCT article_id, ',' ORDER BY article_id) FILTER (gap_type = 'compound') AS compound,

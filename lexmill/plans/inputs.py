@@ -37,6 +37,10 @@ SQL: dict[str, str] = {
         UNION ALL SELECT DISTINCT dieu_id || '_K' || l_linenumber, 'QUY_DINH_HANH_VI', 'h' || l_partkey FROM {lineitem} JOIN {order_ids} ON l_orderkey = o_orderkey
         UNION ALL SELECT DISTINCT 'h' || l_partkey, CASE WHEN l_returnflag = 'A' THEN 'CHE_TAI_CHINH' ELSE 'CHE_TAI_BO_SUNG' END, 'c' || l_suppkey FROM {lineitem} WHERE l_discount >= 0.09 AND l_quantity >= 45 AND l_returnflag IN ('A', 'R')
         UNION ALL SELECT dieu_id, 'THAM_CHIEU', next_id FROM (SELECT dieu_id, lead(dieu_id) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS next_id FROM {order_ids}) x WHERE next_id IS NOT NULL""",
+    # the chunk index of the same articles: it has points, which the graph hasn't, and lacks late clauses
+    "index_chunks": """
+        SELECT dieu_id AS article_id, dieu_id || '_K' || l_linenumber AS chunk_id FROM {clause_rows} JOIN {order_ids} ON l_orderkey = o_orderkey WHERE l_linenumber < 6
+        UNION ALL SELECT dieu_id, dieu_id || '_K' || l_linenumber || '_Pa' FROM {clause_rows} JOIN {order_ids} ON l_orderkey = o_orderkey WHERE partkey % 3 = 0 AND o_orderkey % 2 = 0""",
     # what a search gave for each customer: a clause of each of the three largest orders
     "hits": "SELECT query_id, rank, article_id, van_ban_id, article_id || '_K' || (1 + rank % 2) AS chunk_id, 1.0 / (1 + rank) AS score FROM (SELECT o_custkey AS query_id, dieu_id AS article_id, van_ban_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INT) AS rank FROM {order_ids}) x WHERE rank <= 3",
     "focus": "SELECT query_id, article_id FROM {hits} WHERE rank <= 2",

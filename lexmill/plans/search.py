@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from lexmill.operators import retrieval as R
 from lexmill.plans.registry import Tables, query
 
-BM25 = r"""WITH toks AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM {documents}),
+BM25 = r"""WITH toks AS (SELECT doc_id, unnest(regexp_extract_all(lower(nfc_normalize(text)), '[\p{L}\p{N}_]+')) AS term FROM {documents}),
 tc AS (SELECT doc_id, term, count(*) AS tf FROM toks GROUP BY 1, 2),
 dl AS (SELECT doc_id, sum(tf) AS dl FROM tc GROUP BY 1),
 st AS (SELECT count(*) AS n, (SELECT sum(tf) FROM tc) / count(*) AS avgdl FROM {documents}),
 ix AS (SELECT term, count(*) AS df, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tc, st GROUP BY term, n),
 wt AS (SELECT tc.doc_id, term, idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)) AS weight FROM tc JOIN ix USING (term) JOIN dl ON tc.doc_id = dl.doc_id, st),
-qt AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM {benchmark}),
+qt AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(nfc_normalize(text)), '[\p{L}\p{N}_]+')) AS term FROM {benchmark}),
 qc AS (SELECT query_id, term, count(*) AS tf FROM qt GROUP BY 1, 2)
 """
 SPARSE = """, sp0 AS (SELECT query_id, doc_id, round(sum(tf * weight), 6) AS score FROM qc JOIN wt USING (term) WHERE weight > 0 GROUP BY 1, 2),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import text as T
 from lexmill.operators import chunking as C
 from lexmill.plans.registry import Tables, query
+from lexmill.sources import tables as S
 
 #: Markers that plain prose has: a line is an article, clause or point by its first letter.
 PROSE = C.Markers(article="^([AEIOU][a-z]?)", clause="^([BCDLMNPRST][a-z]?)", point="^([FGHJKQVWXYZ])", note="^Licen")
@@ -40,8 +41,9 @@ inside AS (SELECT *, last_value(CASE WHEN cls = 'point' THEN regexp_extract(line
   dense_rank() OVER (PARTITION BY doc_id, article ORDER BY article_seq) AS occurrence FROM claused),
 heads AS (SELECT doc_id, article_seq, chunk_seq, count(*) AS size, min_by(cls, line_no) AS opens, min_by(clause, line_no) AS clause, min_by(point, line_no) AS point, min(article) AS article, min(occurrence) AS occurrence FROM inside GROUP BY 1, 2, 3),
 moved AS (SELECT *, opens = 'article' AND size = 1 AND chunk_seq < max(chunk_seq) OVER (PARTITION BY doc_id, article_seq) AS title FROM heads),
+owned AS (SELECT doc_id, chunk_seq, string_agg(line, chr(10) ORDER BY line_no) AS own FROM inside GROUP BY 1, 2),
 made AS (SELECT m.doc_id, m.chunk_seq AS seq, m.opens, m.clause, m.point, m.article, '' || m.doc_id || '_D' || m.article || CASE WHEN m.occurrence > 1 THEN '_O' || m.occurrence ELSE '' END AS article_id,
-  (SELECT string_agg(line, chr(10) ORDER BY line_no) FROM inside i WHERE i.doc_id = m.doc_id AND i.chunk_seq = m.chunk_seq) AS own FROM moved m WHERE NOT title),
+  own FROM moved m JOIN owned o ON o.doc_id = m.doc_id AND o.chunk_seq = m.chunk_seq WHERE NOT title),
 titles AS (SELECT m.doc_id, m.chunk_seq + 1 AS seq, i.line FROM moved m JOIN inside i ON i.doc_id = m.doc_id AND i.chunk_seq = m.chunk_seq WHERE title),
 based AS (SELECT made.*, CASE WHEN t.line IS NULL THEN own ELSE t.line || chr(10) || own END AS body,
   article_id || CASE WHEN opens = 'article' THEN '_preamble' ELSE CASE WHEN clause IS NULL THEN '' ELSE '_K' || clause END || CASE WHEN opens = 'point' THEN '_P' || point ELSE '' END END AS base
@@ -157,7 +159,7 @@ def slug_id(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", F.expr(NAME).alias("name")).select("c_custkey", T.slug_id("name").alias("slug"), T.graph_document_id("name").alias("document"))
 
 
-@query("fold_id", f"""SELECT doc_id, trim(regexp_replace(regexp_replace(lower(translate(left(text, 200), '{T.ACCENTED}', '{T.PLAIN}')), '[^a-z0-9_]', '_', 'g'), '_+', '_', 'g'), '_') AS folded FROM {{documents}}""")
+@query("fold_id", f"""SELECT doc_id, trim(regexp_replace(regexp_replace(lower(translate(text, '{T.ACCENTED}', '{T.PLAIN}')), '[^a-z0-9_]', '_', 'g'), '_+', '_', 'g'), '_') AS folded FROM {{documents}}""")
 def fold_id(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", T.fold_id("text").alias("folded"))
 
@@ -184,6 +186,11 @@ def point_id(t: Tables) -> DataFrame:
     return t.pages.select("page_id", T.point_id("url").alias("point"))
 
 
+@query("payload_type", LAW_CTE + "SELECT chunk_id, CASE chunk_type WHEN 'dieu_preamble' THEN 'dieu' ELSE chunk_type END AS chunk_type FROM chunks")
+def payload_type(t: Tables) -> DataFrame:
+    return law_chunks(t).select("chunk_id", S.payload_type(F.col("chunk_type")).alias("chunk_type"))
+
+
 @query("nfkc", "SELECT doc_id, nfc_normalize(text) AS nfc FROM {documents}")
 def nfkc(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", T.normalized("text", "NFC").alias("nfc"))

@@ -29,6 +29,21 @@ def relations_of(extractions: DataFrame) -> DataFrame:
     return r.select(F.coalesce("r.chunk_id", "chunk_id").alias("chunk_id"), F.coalesce("r.van_ban_id", "van_ban_id").alias("van_ban_id"), "pos", F.col("r.source_id").alias("src"), F.col("r.relation_type").alias("rel"), F.col("r.target_id").alias("dst"))
 
 
+def scalar_props(parsed: Column) -> Column:
+    """A map of strings (as JSON has them) without nulls, the type, and values that are lists or objects."""
+    return F.map_filter(parsed, lambda k, v: v.isNotNull() & (k != "type") & ~F.ltrim(v).rlike(r"^[\[{]"))
+
+
+def payload_type(chunk_type: Column) -> Column:
+    """The type that an index has for a chunk: an article's opening counts as the article."""
+    return F.when(chunk_type == "dieu_preamble", "dieu").otherwise(chunk_type)
+
+
+def first_rows(rows: DataFrame, order: list[str], n: int | None = None) -> DataFrame:
+    """The first n rows in order, or all of them."""
+    return rows if n is None else rows.orderBy(*order).limit(n)
+
+
 def first_of_key(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The first row of each key; rows in which a part of it is null are all kept."""
     whole = F.lit(True)

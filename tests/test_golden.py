@@ -173,3 +173,45 @@ def test_smoke_summary_of_one_case(spark):
     total = {r.tag: r for r in E.token_usage(calls).collect()}["ALL"]
     assert (total.total, total.prompt, total.completion, total.calls, final.first().total) == (3715, 3284, 431, 3, 2109)
     assert not math.isnan(E.token_summary(E.token_usage(calls).filter("tag = 'ALL'").withColumn("mode", F.lit("critic")), final).first().value)
+
+
+def test_tokens_are_of_composed_text(spark):
+    """Expected tokens are written by hand: decomposed letters are one with composed ones, full-width and ligature forms with plain ones."""
+    decomposed = "Điều 5 phạt"
+    rows = [(1, decomposed), (2, "Điều 5 phạt"), (3, "ＡＢ１ ﬁle"), (4, "plain_text"), (5, None), (6, "")]
+    got = {r.i: r.t for r in spark.createDataFrame(rows, "i int, s string").select("i", T.tokens("s").alias("t")).collect()}
+    assert got == {1: ["điều", "5", "phạt"], 2: ["điều", "5", "phạt"], 3: ["ab1", "file"], 4: ["plain_text"], 5: None, 6: []}
+
+
+def test_larger_count_of_parts_wins(spark):
+    graph = spark.createDataFrame([("a", 1), ("b", 4), ("c", 0)], "article_id string, parts long")
+    index = spark.createDataFrame([("a", 3), ("b", 2), ("d", 5)], "article_id string, parts long")
+    assert {tuple(r) for r in K.total_parts(graph, index).collect()} == {("a", 3), ("b", 4), ("c", 0), ("d", 5)}
+
+
+def test_report_text(spark):
+    queries = spark.createDataFrame([(1,), (2,)], "query_id long")
+    refs = spark.createDataFrame([(1, "l_D2", "outgoing", "l_D1"), (1, "l_D1a", "incoming", "l_D1")], "query_id long, article_id string, direction string, related string")
+    compound = spark.createDataFrame([(1, "l_D1", "h1", "c1", None)], "query_id long, article_id string, behaviour string, main string, additional string")
+    got = {r.query_id: r.report.split("\n") for r in K.report_text(queries, refs, compound).collect()}
+    assert got[2] == ["=== KNOWLEDGE GRAPH ANALYSIS ===", "", "✅ Retrieval đầy đủ: Không phát hiện thông tin bị thiếu từ graph.", ""]
+    assert got[1][2] == "⚠️ Phát hiện 2 Điều cần retrieve thêm, 1 hành vi có chế tài kép (chính+bổ sung) cần lấy lại toàn văn Điều:"
+    assert got[1][6].startswith("• 'l_D1a' (Điều l_D1a) tham chiếu áp dụng vào 'l_D1' đã lấy") and got[1][7] == "• Đã lấy 'l_D1' nhưng nó tham chiếu tới 'l_D2' (Điều l_D2) chưa được lấy."
+    assert got[1][10:13] == ["• Điều l_D1 - Hành vi: h1", "  Chính: c1", "  Bổ sung: (không có trong graph)"]
+    assert [x[:13] for x in got[1][-3:]] == ["1. [retrieve]", "2. [retrieve]", "3. [retrieve]"]
+
+
+def test_scalars_types_and_first_rows(spark):
+    one = spark.createDataFrame([('{"type": "x", "id": "a", "n": 3, "none": null, "list": [1], "map": {"b": 1}, "ok": true}',)], "j string")
+    assert one.select(S.scalar_props(F.from_json("j", "MAP<STRING, STRING>")).alias("p")).first().p == {"id": "a", "n": "3", "ok": "true"}
+    kinds = spark.createDataFrame([("dieu_preamble",), ("khoan",)], "t string")
+    assert [r[0] for r in kinds.select(S.payload_type(F.col("t"))).collect()] == ["dieu", "khoan"]
+    assert [r.id for r in S.first_rows(spark.range(9).orderBy(F.desc("id")), ["id"], 3).collect()] == [0, 1, 2]
+    assert {k: (v.columns, v.count()) for k, v in G.cleared({"nodes": kinds}).items()} == {"nodes": (["t"], 0)}
+
+
+def test_best_vectors_over_batches_with_ties(spark):
+    vectors = [(i, [1.0, (i % 7) / 7]) for i in range(3000)]
+    got = R.dense_topk(spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "query_id long, embedding array<float>"), spark.createDataFrame(vectors, "doc_id long, embedding array<float>").repartition(3), "doc_id", 4)
+    of = {q: [r.doc_id for r in sorted(got.collect(), key=lambda r: r.rank) if r.query_id == q] for q in (1, 2)}
+    assert of == {1: [0, 7, 14, 21], 2: [6, 13, 20, 27]}

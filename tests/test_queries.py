@@ -14,4 +14,5 @@ def test_query_gives_the_rows_of_its_sql(spark, name):
 
 
 def test_each_query_has_sql():
-    assert set(plans.QUERIES) == set(plans.ORACLE_SQL)
+    # near_dups: see test_near_dups
+    assert set(plans.QUERIES) - set(plans.ORACLE_SQL) == {"near_dups"}
