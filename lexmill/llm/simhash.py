@@ -46,6 +46,8 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
 TOP, STEP = 12, 4
 HALF = BITS // 2
 CHILDREN = 1 << STEP
+#: From this depth on nodes have their classes with them; above it there are too few nodes of one class for that to prune.
+SPARSE = 24
 #: Node pairs with so many leaves together are finished leaf by leaf.
 FEW = 64
 
@@ -68,10 +70,12 @@ def node_of(depth: int) -> Column:
 
 
 def trie_nodes(leaves: DataFrame, depth: int) -> DataFrame:
-    """The nodes of that depth: a mask of their children, how many leaves they have (and the only one), and the least and largest class of these."""
+    """The nodes of that depth: a mask of their children, and from SPARSE on how many leaves they have and the least and largest class of these."""
     child = F.shiftrightunsigned("ord", max(0, BITS - depth - STEP)).bitwiseAND(F.lit(CHILDREN - 1)).cast("int")
     one = F.call_function("shiftleft", F.lit(1), child)
-    return leaves.select("trie", node_of(depth), one.alias("child"), "fp", "cls").groupBy("trie", "node").agg(F.bit_or("child").alias("kids"), F.count("*").alias("n"), F.min("fp").alias("leaf"), F.min("cls").alias("least"), F.max("cls").alias("most"))
+    kids = F.bit_or("child").alias("kids")
+    of = [F.count("*").alias("n"), F.min("cls").alias("least"), F.max("cls").alias("most")] if depth >= SPARSE else []
+    return leaves.select("trie", node_of(depth), one.alias("child"), "cls").groupBy("trie", "node").agg(kids, *of)
 
 
 def top_pairs(nodes: DataFrame, limit: int) -> DataFrame:
@@ -82,33 +86,29 @@ def top_pairs(nodes: DataFrame, limit: int) -> DataFrame:
 
 
 def followed(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """pairs with what their nodes are; without those whose leaves are all of one class: they have nothing left to find."""
+    """pairs with what their nodes are; without those whose leaves are all of one class, where nodes have classes: they have nothing left to find."""
 
     def of(side: str) -> DataFrame:
-        return nodes.select("trie", F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("kids", "n", "leaf", "least", "most")))
+        return nodes.select("trie", F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in nodes.columns if c not in ("trie", "node")))
 
     both = pairs.join(of("a").hint("shuffle_hash"), ["trie", "a"]).join(of("b").hint("shuffle_hash"), ["trie", "b"])
-    return both.filter("least_a <> most_a OR least_b <> most_b OR least_a <> least_b")
+    return both.filter("least_a <> most_a OR least_b <> most_b OR least_a <> least_b") if "least" in nodes.columns else both
 
 
 def below(both: DataFrame, depth: int, budget: int) -> DataFrame:
-    """One step down from node pairs (see ``followed``) of that depth: pairs of their children that are still within the budget, and pairs of leaves, told by ``met``, with their classes.
+    """One step down from node pairs (see ``followed``) of that depth: pairs of their children that are still within the budget.
 
-    Two nodes of one leaf each are compared at once. For each way e in which the next bits may differ, one AND of two
-    masks gives all children that have a partner.
+    For each way e in which the next bits may differ, one AND of two masks gives all children that have a partner.
     """
     limit = budget // 2 if depth < HALF else budget
-    single = (F.col("n_a") == 1) & (F.col("n_b") == 1)
     ways = [e for e in range(CHILDREN) if e.bit_count() <= limit]
-    made = [F.struct(F.when(~single & (F.col("off") + e.bit_count() <= limit), F.col("kids_a").bitwiseAND(moved(F.col("kids_b"), e))).otherwise(0).alias("mask"), F.lit(e).alias("e")) for e in ways]
-    leaf = F.struct(F.when(single & near("leaf_a", "leaf_b", budget), 1).otherwise(0).alias("mask"), F.lit(-1).alias("e"))
-    ways_down = both.select("*", F.explode(F.array(leaf, *made)).alias("way")).filter("way.mask <> 0")
+    made = [F.struct(F.when(F.col("off") + e.bit_count() <= limit, F.col("kids_a").bitwiseAND(moved(F.col("kids_b"), e))).otherwise(0).alias("mask"), F.lit(e).alias("e")) for e in ways]
+    ways_down = both.select("trie", "a", "b", "off", F.explode(F.array(*made)).alias("way")).filter("way.mask <> 0")
     each = ways_down.select("*", F.explode(F.filter(F.array(*(F.lit(x) for x in range(CHILDREN))), lambda x: F.call_function("getbit", F.col("way.mask"), x) == 1)).alias("x"))
-    met = F.col("way.e") < 0
     child_a, child_b = F.shiftleft("a", STEP).bitwiseOR(F.col("x")), F.shiftleft("b", STEP).bitwiseOR(F.col("x").bitwiseXOR(F.col("way.e")))
     # children of one node meet in both orders
-    each = each.filter(met | (F.col("a") != F.col("b")) | (child_a <= child_b))
-    return each.select("trie", met.alias("met"), F.when(met, F.col("leaf_a")).otherwise(child_a).alias("a"), F.when(met, F.col("leaf_b")).otherwise(child_b).alias("b"), F.when(met, 0).otherwise(F.col("off") + F.bit_count("way.e")).alias("off"), F.col("least_a").alias("of_a"), F.col("least_b").alias("of_b"))
+    each = each.filter((F.col("a") != F.col("b")) | (child_a <= child_b))
+    return each.select("trie", child_a.alias("a"), child_b.alias("b"), (F.col("off") + F.bit_count("way.e")).alias("off"))
 
 
 def leaf_pairs(both: DataFrame, leaves: DataFrame, depth: int, budget: int) -> DataFrame:
@@ -157,9 +157,7 @@ def links(nodes: DataFrame, budget: int) -> DataFrame:
             both = both.filter(F.col("n_a") + F.col("n_b") > FEW)
             if both.isEmpty():
                 break
-        down = cut(below(both, depth, budget))
-        across.append(down.filter("met").select("a", "b", "of_a", "of_b"))
-        pairs = down.filter("NOT met").select("trie", "a", "b", "off")
+        pairs = cut(below(both, depth, budget))
     met = across[0]
     for more in across[1:]:
         met = met.unionByName(more)
