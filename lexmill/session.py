@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -25,3 +26,9 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows, kept in the checkpoint folder: neither lost executors nor later plans go back further than this."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def release(spark: SparkSession) -> None:
+    """For loops of many rounds: what earlier rounds shuffled is removed once the driver's JVM has collected their plans, which it does seldom by itself."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
