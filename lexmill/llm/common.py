@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.session import cut  # noqa: F401
+from lexmill.session import cut, release  # noqa: F401
 
 #: Bytes of text that a task turns into numpy arrays at once (a longer document is a piece of its own).
 PIECE = 2 << 20

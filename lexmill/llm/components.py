@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import cut
+from lexmill.llm.common import cut, release
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -29,6 +29,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = larger.groupBy("a").agg(F.min("b").alias("m"))
         smaller = larger.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         edges = cut(smaller)
+        release(edges.sparkSession)
         after = _state(edges)
         if after == before:
             break

@@ -7,7 +7,7 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import columns, cut
+from lexmill.llm.common import columns, cut, release
 from lexmill.llm.components import components
 
 BITS = 64
@@ -145,6 +145,7 @@ def links(nodes: DataFrame, budget: int) -> DataFrame:
     beside = ordered(nodes.select("fp")).select("fp", *(F.lead("fp", k).over(order).alias(f"next{k}") for k in (1, 2, 3)))
     beside = beside.select(F.col("fp").alias("a"), F.explode(F.array("next1", "next2", "next3")).alias("b")).filter(near("a", "b", budget)).distinct()
     beside = cut(beside)
+    release(nodes.sparkSession)
     classes = components(beside)
     leaves = cut(ordered(nodes.select("fp").join(classes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("cls"))))
     across = []
@@ -158,6 +159,7 @@ def links(nodes: DataFrame, budget: int) -> DataFrame:
             if both.isEmpty():
                 break
         pairs = cut(below(both, depth, budget))
+        release(nodes.sparkSession)
     met = across[0]
     for more in across[1:]:
         met = met.unionByName(more)
