@@ -46,8 +46,6 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
 TOP, STEP = 12, 4
 HALF = BITS // 2
 CHILDREN = 1 << STEP
-#: From this depth on nodes have their classes with them; above it there are too few nodes of one class for that to prune.
-SPARSE = 24
 #: Node pairs with so many leaves together are finished leaf by leaf.
 FEW = 64
 
@@ -70,12 +68,11 @@ def node_of(depth: int) -> Column:
 
 
 def trie_nodes(leaves: DataFrame, depth: int) -> DataFrame:
-    """The nodes of that depth: a mask of their children, and from SPARSE on how many leaves they have and the least and largest class of these."""
+    """The nodes of that depth: a mask of their children, the class of all their leaves (null if there are several), and from half-way down how many leaves they have."""
     child = F.shiftrightunsigned("ord", max(0, BITS - depth - STEP)).bitwiseAND(F.lit(CHILDREN - 1)).cast("int")
     one = F.call_function("shiftleft", F.lit(1), child)
-    kids = F.bit_or("child").alias("kids")
-    of = [F.count("*").alias("n"), F.min("cls").alias("least"), F.max("cls").alias("most")] if depth >= SPARSE else []
-    return leaves.select("trie", node_of(depth), one.alias("child"), "cls").groupBy("trie", "node").agg(kids, *of)
+    of = [F.bit_or("child").alias("kids"), F.when(F.min("cls") == F.max("cls"), F.min("cls")).alias("cls")]
+    return leaves.select("trie", node_of(depth), one.alias("child"), "cls").groupBy("trie", "node").agg(*of, *([F.count("*").alias("n")] if depth >= HALF else []))
 
 
 def top_pairs(nodes: DataFrame, limit: int) -> DataFrame:
@@ -86,13 +83,13 @@ def top_pairs(nodes: DataFrame, limit: int) -> DataFrame:
 
 
 def followed(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """pairs with what their nodes are; without those whose leaves are all of one class, where nodes have classes: they have nothing left to find."""
+    """pairs with what their nodes are; without those whose leaves are all of one class: they have nothing left to find."""
 
     def of(side: str) -> DataFrame:
         return nodes.select("trie", F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in nodes.columns if c not in ("trie", "node")))
 
     both = pairs.join(of("a").hint("shuffle_hash"), ["trie", "a"]).join(of("b").hint("shuffle_hash"), ["trie", "b"])
-    return both.filter("least_a <> most_a OR least_b <> most_b OR least_a <> least_b") if "least" in nodes.columns else both
+    return both.filter("cls_a IS NULL OR cls_b IS NULL OR cls_a <> cls_b")
 
 
 def below(both: DataFrame, depth: int, budget: int) -> DataFrame:
