@@ -42,8 +42,10 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     return sums.select("doc_id", "copy", F.coalesce(bits, F.lit(0)).cast("long").alias("fingerprint"))
 
 
-#: Bits of the tries' first step and of later ones; a node's children are then a mask of 16 bits.
+#: Bits of a trie's first step (at most) and of later ones; a node's children are then a mask of 16 bits.
 TOP, STEP = 12, 4
+#: So many bits below log2(number of leaves) a node has a leaf or two, and node pairs with few leaves are finished leaf by leaf.
+PAST = 6
 HALF = BITS // 2
 CHILDREN = 1 << STEP
 #: Node pairs with so many leaves together are finished leaf by leaf.
@@ -68,16 +70,22 @@ def node_of(depth: int) -> Column:
 
 
 def trie_nodes(leaves: DataFrame, depth: int) -> DataFrame:
-    """The nodes of that depth: a mask of their children, the class of all their leaves (null if there are several), and from half-way down how many leaves they have."""
+    """The nodes of that depth: a mask of their children, the class of all their leaves (null if there are several), and how many leaves they have."""
     child = F.shiftrightunsigned("ord", max(0, BITS - depth - STEP)).bitwiseAND(F.lit(CHILDREN - 1)).cast("int")
     one = F.call_function("shiftleft", F.lit(1), child)
-    of = [F.bit_or("child").alias("kids"), F.when(F.min("cls") == F.max("cls"), F.min("cls")).alias("cls")]
-    return leaves.select("trie", node_of(depth), one.alias("child"), "cls").groupBy("trie", "node").agg(*of, *([F.count("*").alias("n")] if depth >= HALF else []))
+    of = [F.bit_or("child").alias("kids"), F.when(F.min("cls") == F.max("cls"), F.min("cls")).alias("cls"), F.count("*").alias("n")]
+    return leaves.select("trie", node_of(depth), one.alias("child"), "cls").groupBy("trie", "node").agg(*of)
 
 
-def top_pairs(nodes: DataFrame, limit: int) -> DataFrame:
-    """The first step: pairs (trie, a, b, off: differing bits) of nodes of depth TOP, each node with itself and with those that differ in limit bits at most. There are 2 ** TOP nodes a trie, whatever the input."""
-    ways = [e for e in range(1 << TOP) if e.bit_count() <= limit]
+def levels(leaves: int) -> tuple[int, int]:
+    """The depth of the tries' first step, and the depth from which on node pairs with few leaves are finished: PAST bits below log2(leaves), whole steps apart."""
+    last = max(TOP, min(BITS, (max(leaves, 2) - 1).bit_length() + PAST))
+    return TOP - (TOP - last) % STEP, last
+
+
+def top_pairs(nodes: DataFrame, limit: int, top: int = TOP) -> DataFrame:
+    """The first step: pairs (trie, a, b, off: differing bits) of nodes of depth top, each node with itself and with those that differ in limit bits at most. There are 2 ** TOP nodes a trie at most, whatever the input."""
+    ways = [e for e in range(1 << top) if e.bit_count() <= limit]
     met = nodes.select("trie", F.col("node").alias("a"), F.explode(F.array(*(F.lit(e) for e in ways))).alias("e")).select("trie", "a", F.col("a").bitwiseXOR(F.col("e")).alias("b"), F.bit_count("e").alias("off")).filter("a <= b")
     return met.join(nodes.select("trie", F.col("node").alias("b")), ["trie", "b"], "left_semi").select("trie", "a", "b", "off")
 
@@ -97,7 +105,7 @@ def below(both: DataFrame, depth: int, budget: int) -> DataFrame:
 
     For each way e in which the next bits may differ, one AND of two masks gives all children that have a partner.
     """
-    limit = budget // 2 if depth < HALF else budget
+    limit = budget // 2 if depth + STEP <= HALF else budget
     ways = [e for e in range(CHILDREN) if e.bit_count() <= limit]
     made = [F.struct(F.when(F.col("off") + e.bit_count() <= limit, F.col("kids_a").bitwiseAND(moved(F.col("kids_b"), e))).otherwise(0).alias("mask"), F.lit(e).alias("e")) for e in ways]
     ways_down = both.select("trie", "a", "b", "off", F.explode(F.array(*made)).alias("way")).filter("way.mask <> 0")
@@ -123,14 +131,18 @@ def links(nodes: DataFrame, budget: int) -> DataFrame:
 
     Of two such fingerprints, one half of the bits differs in budget // 2 at most. So there are two tries, each with
     another half of the bits first. Pairs of nodes go down a trie together, four bits at a time; differing bits add up,
-    and a pair is pruned when it has over budget // 2 in the first half of the way or over budget later. From half-way
-    on, pairs with few leaves are finished at once, others go on. Both tries go down in the same jobs.
+    and a pair is pruned when it has over budget // 2 in the first half of the way or over budget later. Both tries go
+    down in the same jobs.
+
+    The steps are laid out by l = log2(number of fingerprints). Random fingerprints make most pairs at a depth of l,
+    where each node has about 1 + l + l (l - 1) / 2 partners, so the work is n l ** 2; further down their number falls
+    by the square of n over the nodes possible. From l + PAST on, pairs with few leaves are finished at once, others
+    go on. Counts at a depth so laid out grow as n l ** 2 does, at a fixed one with the square of n.
 
     First each leaf meets the next three in the order of its trie (below one node half-way down). What is connected then
     is one class, and node pairs with leaves of one class only are pruned too, so a large group of near copies isn't
-    squared. Between two classes one edge is kept. With random fingerprints each of n nodes about log2(n) bits down has
-    1 + l + l (l - 1) / 2 partners (l = log2(n)), so the work is n log2(n) ** 2; many fingerprints that are similar but not linked make
-    more pairs than that.
+    squared. Between two classes one edge is kept. Many fingerprints that are similar but not linked make more pairs
+    than random ones.
     """
     turned = F.shiftleft("fp", HALF).bitwiseOR(F.shiftrightunsigned("fp", HALF))
     tries = [(0, F.col("fp")), (1, turned)]
@@ -146,13 +158,16 @@ def links(nodes: DataFrame, budget: int) -> DataFrame:
     classes = components(beside)
     leaves = cut(ordered(nodes.select("fp").join(classes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("cls"))))
     across = []
-    pairs = top_pairs(trie_nodes(leaves, TOP), budget // 2)
-    for depth in range(TOP, BITS + 1, STEP):
+    top, last = levels(nodes.count())
+    pairs = top_pairs(trie_nodes(leaves, top), budget // 2, top)
+    for depth in range(top, BITS + 1, STEP):
         both = followed(pairs, trie_nodes(leaves, depth))
-        if depth >= HALF:
+        if depth >= last:
             both = cut(both)
-            across.append(leaf_pairs(both.filter(F.col("n_a") + F.col("n_b") <= FEW), leaves, depth, budget))
-            both = both.filter(F.col("n_a") + F.col("n_b") > FEW)
+            # a node within a step of the leaves has few
+            few = F.lit(depth + STEP > BITS) | (F.col("n_a") + F.col("n_b") <= FEW)
+            across.append(leaf_pairs(both.filter(few), leaves, depth, budget))
+            both = both.filter(~few)
             if both.isEmpty():
                 break
         pairs = cut(below(both, depth, budget))

@@ -119,3 +119,10 @@ def test_components_of_paths_and_loops(spark):
     pairs = {frozenset(e) for e in edges}
     want = labels(sorted({x for e in edges for x in e}), lambda a, b: frozenset((a, b)) in pairs)
     assert {k: got.get(k, k) for k in want} == want
+
+
+def test_levels_are_whole_steps_apart():
+    for n in (0, 1, 2, 60, 4096, 4097, 10**6, 10**12, 10**19):
+        top, last = simhash.levels(n)
+        assert 9 <= top <= 12 and top <= last <= 64 and (last - top) % 4 == 0
+        assert n > 2**58 or 2**last >= n
