@@ -70,10 +70,10 @@ def node_of(depth: int) -> Column:
 
 
 def trie_nodes(leaves: DataFrame, depth: int) -> DataFrame:
-    """The nodes of that depth: a mask of their children, the class of all their leaves (null if there are several), and how many leaves they have."""
+    """The nodes of that depth: a mask of their children, the class of all their leaves (null if there are several, or one leaf without a class), and how many leaves they have."""
     child = F.shiftrightunsigned("ord", max(0, BITS - depth - STEP)).bitwiseAND(F.lit(CHILDREN - 1)).cast("int")
     one = F.call_function("shiftleft", F.lit(1), child)
-    of = [F.bit_or("child").alias("kids"), F.when(F.min("cls") == F.max("cls"), F.min("cls")).alias("cls"), F.count("*").alias("n")]
+    of = [F.bit_or("child").alias("kids"), F.when((F.min("cls") == F.max("cls")) & (F.count("cls") == F.count("*")), F.min("cls")).alias("cls"), F.count("*").alias("n")]
     return leaves.select("trie", node_of(depth), one.alias("child"), "cls").groupBy("trie", "node").agg(*of)
 
 
@@ -91,12 +91,13 @@ def top_pairs(nodes: DataFrame, limit: int, top: int = TOP) -> DataFrame:
 
 
 def followed(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """pairs with what their nodes are; without those whose leaves are all of one class: they have nothing left to find."""
+    """pairs with what their nodes are; without single leaves paired with themselves and those whose leaves are all of one class: they have nothing left to find."""
 
     def of(side: str) -> DataFrame:
         return nodes.select("trie", F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in nodes.columns if c not in ("trie", "node")))
 
-    both = pairs.join(of("a").hint("shuffle_hash"), ["trie", "a"]).join(of("b").hint("shuffle_hash"), ["trie", "b"])
+    of_a = pairs.join(of("a").hint("shuffle_hash"), ["trie", "a"]).filter("a <> b OR n_a > 1")
+    both = of_a.join(of("b").hint("shuffle_hash"), ["trie", "b"])
     return both.filter("cls_a IS NULL OR cls_b IS NULL OR cls_a <> cls_b")
 
 
@@ -120,7 +121,7 @@ def leaf_pairs(both: DataFrame, leaves: DataFrame, depth: int, budget: int) -> D
     """a, b, of_a and of_b: leaves below node pairs with few leaves, of different classes and within the budget."""
 
     def of(side: str) -> DataFrame:
-        return leaves.select("trie", node_of(depth).alias(f"node_{side}"), F.col("fp").alias(side), F.col("cls").alias(f"of_{side}"))
+        return leaves.select("trie", node_of(depth).alias(f"node_{side}"), F.col("fp").alias(side), F.coalesce("cls", "fp").alias(f"of_{side}"))
 
     pairs = both.select("trie", F.col("a").alias("node_a"), F.col("b").alias("node_b"))
     return pairs.join(of("a"), ["trie", "node_a"]).join(of("b"), ["trie", "node_b"]).filter((F.col("of_a") != F.col("of_b")) & near("a", "b", budget)).select("a", "b", "of_a", "of_b")
@@ -156,7 +157,7 @@ def links(nodes: DataFrame, budget: int) -> DataFrame:
     beside = cut(beside)
     release(nodes.sparkSession)
     classes = components(beside)
-    leaves = cut(ordered(nodes.select("fp").join(classes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("cls"))))
+    leaves = cut(ordered(nodes.select("fp").join(classes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.col("label").alias("cls"))))
     across = []
     top, last = levels(nodes.count())
     pairs = top_pairs(trie_nodes(leaves, top), budget // 2, top)
