@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexmill.llm import line_dedup as lines
 from lexmill.llm.decontamination import contaminated
 from lexmill.llm.license_scan import license_scan
 from lexmill.llm.media_columns import media_columns
 from lexmill.llm.mixing import mixture
+from lexmill.llm.periodic_runs import periodic_runs, with_planted_runs
 from lexmill.llm.sharding import shard_documents
 from lexmill.llm.simhash import simhash_components
 from lexmill.llm.substring_dedup import substring_dedup
@@ -62,6 +64,16 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(documents(spark, sf_dir))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of = periodic_runs(with_planted_runs(documents(spark, sf_dir)))
+    part = lambda k: F.get("strongest", F.lit(k))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.array_join(r.cast("array<string>"), ","), F.lit("\n"))), "")
+    return of.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), part(0).alias("start"), part(1).alias("length"), part(2).alias("period"), F.expr("1000 * strongest[1] div strongest[2]").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_license_scan": op2_license_scan,
@@ -73,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media_columns": op8_media_columns,
     "op9_simhash": op9_simhash,
     "op10_mixing": op10_mixing,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {"op7_line_dedup": lines.ORACLE}
