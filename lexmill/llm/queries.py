@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm import line_dedup as lines
 from lexmill.llm.decontamination import contaminated
+from lexmill.llm.language_codes import language_ids
 from lexmill.llm.license_scan import license_scan
 from lexmill.llm.media_columns import media_columns
 from lexmill.llm.mixing import mixture
@@ -74,6 +75,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_ids(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_license_scan": op2_license_scan,
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_mixing": op10_mixing,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_language_id": op12_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {"op7_line_dedup": lines.ORACLE}
