@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.llm import collocations as phrases
 from lexmill.llm import line_dedup as lines
 from lexmill.llm.decontamination import contaminated
 from lexmill.llm.language_codes import language_ids
@@ -79,6 +80,10 @@ def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_ids(documents(spark, sf_dir))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_license_scan": op2_license_scan,
@@ -92,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_language_id": op12_language_id,
+    "op13_collocations": op13_collocations,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_line_dedup": lines.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op7_line_dedup": lines.ORACLE, "op13_collocations": phrases.ORACLE}
