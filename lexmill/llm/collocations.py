@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +18,8 @@ BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 INSIDE = ~BREAK
 INSIDE[[0x20, 0x09]] = False
 ODD = np.uint64(0xD6E8FEB86659FD93)
-RUNS = pa.schema([("lang", pa.string()), ("part", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
-PLACES = pa.schema([("place", pa.int64())])
+RUNS = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("part", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
+HASHES = pa.schema([("h", pa.int64()), ("n", pa.int64())])
 #: Bytes of text that are looked at together.
 PIECE = 1 << 20
 #: Two to this many bits are in the filter of a level, 8 MB, whatever the input.
@@ -147,58 +148,45 @@ class HatTrie:
         phrases = [b" ".join([self.words[i] for i in row]) for row in ids.tolist()]
         order = sorted(range(len(run)), key=phrases.__getitem__)
         part = (h >> np.uint64(33)).astype(np.int32)[order]
-        self.spilled.append(batch(RUNS, pa.array([lang] * len(run), pa.string()), part, pa.array([phrases[i] for i in order], pa.binary()).cast(pa.string()), [run[i][1] for i in order]))
-
-
-def level(texts: DataFrame, k: int, known: Broadcast | None, room: int = 400_000) -> DataFrame:
-    """Sorted runs of phrases of k words with their counts: lang, part (their prefix partition), phrase and n. For single words also all words of a language, with a null phrase.
-
-    known: the filter of the level before; a phrase counts if both its parts of k - 1 words pass.
-    """
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, total = HatTrie(k, room), {}
-        for rows in batches:
-            langs = rows.column("lang").dictionary_encode()
-            names, code = langs.dictionary.to_pylist(), langs.indices.to_numpy()
-            lang_hash = hashes_of(names)
-            data, off = utf8(rows.column("text"))
-            for i, j in pieces(off, PIECE):
-                part, edges = LOWER[data[off[i] : off[j]]], off[i : j + 1] - off[i]
-                starts, ends, first = words(part, edges, INSIDE)
-                if not len(starts):
-                    continue
-                lang = np.repeat(code[i:j], np.diff(first))
-                h = word_hashes(part, starts, ends)
-                if k == 1:
-                    for c, n in zip(*np.unique(lang, return_counts=True), strict=True):
-                        total[names[c]] = total.get(names[c], 0) + int(n)
-                    at = np.arange(len(starts))
-                else:
-                    at = candidates(part, starts, ends, first, h, lang_hash[lang], known.value)
-                if not len(at):
-                    continue
-                # words first: each once by its bytes, then phrases as rows of ids
-                used = np.unique((at[:, None] + np.arange(k)).ravel())
-                _, one, number = np.unique(h[used], return_index=True, return_inverse=True)
-                raw = part.tobytes()
-                ids = np.zeros(len(starts), np.uint32)
-                ids[used] = trie.word_ids([raw[a:b] for a, b in zip(starts[used[one]].tolist(), ends[used[one]].tolist(), strict=True)])[number]
-                key = phrase_hash(h, lang_hash[lang], k)[at]
-                _, one, n = np.unique(key, return_index=True, return_counts=True)
-                at = at[one]
-                phrases = ids[at[:, None] + np.arange(k)]
-                for c in np.unique(lang[at]).tolist():
-                    own = lang[at] == c
-                    trie.add(names[c], phrases[own], n[own])
-                trie.make_room()
-                while trie.spilled:
-                    yield trie.spilled.pop()
-        trie.flush()
-        yield from trie.spilled
-        yield batch(RUNS, pa.array(list(total), pa.string()), [-1] * len(total), pa.nulls(len(total), pa.string()), list(total.values()))
-
-    return texts.mapInArrow(counted, "lang string, part int, phrase string, n long")
+        self.spilled.append(batch(RUNS, pa.array([lang] * len(run), pa.string()), [self.k] * len(run), part, pa.array([phrases[i] for i in order], pa.binary()).cast(pa.string()), [run[i][1] for i in order]))
+
+
+@dataclass
+class Tokens:
+    """Words of some texts: their bytes, hashes, languages (by number in names, and as a hash) and whether the next word follows within the same piece."""
+
+    part: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    h: np.ndarray
+    names: list[str]
+    lang: np.ndarray
+    lang_hash: np.ndarray
+    follows: np.ndarray
+
+    def places(self, k: int, good: np.ndarray) -> np.ndarray:
+        """First words of the phrases of k words within a piece that are good."""
+        for j in range(k - 1):
+            good = good & self.follows[j : j + len(good)]
+        return np.flatnonzero(good)
+
+
+def tokenised(rows: pa.RecordBatch) -> Iterator[Tokens]:
+    langs = rows.column("lang").dictionary_encode()
+    names, code = langs.dictionary.to_pylist(), langs.indices.to_numpy()
+    of_lang = hashes_of(names)
+    data, off = utf8(rows.column("text"))
+    for i, j in pieces(off, PIECE):
+        part, edges = LOWER[data[off[i] : off[j]]], off[i : j + 1] - off[i]
+        starts, ends, first = words(part, edges, INSIDE)
+        if not len(starts):
+            continue
+        breaks = np.cumsum(BREAK[part], dtype=np.int32)
+        follows = np.zeros(len(starts), bool)
+        follows[:-1] = breaks[starts[1:] - 1] == breaks[ends[:-1] - 1]
+        follows[first[1:][first[1:] > 0] - 1] = False
+        lang = np.repeat(code[i:j], np.diff(first))
+        yield Tokens(part, starts, ends, word_hashes(part, starts, ends), names, lang, of_lang[lang], follows)
 
 
 def hashes_of(names: list[str]) -> np.ndarray:
@@ -207,66 +195,115 @@ def hashes_of(names: list[str]) -> np.ndarray:
     return word_hashes(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, ends[:-1]], ends) if raw else np.zeros(0, np.uint64)
 
 
-def candidates(part: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, h: np.ndarray, langs: np.ndarray, known: tuple[int, np.ndarray]) -> np.ndarray:
-    """First words of the phrases, one word longer than those that the filter knows, whose both parts it may know."""
-    k, bits = known
-    if len(h) <= k:
-        return np.zeros(0, np.int64)
-    # of each word: whether the next one follows within the piece
-    breaks = np.cumsum(BREAK[part], dtype=np.int32)
-    follows = np.zeros(len(starts), bool)
-    follows[:-1] = breaks[starts[1:] - 1] == breaks[ends[:-1] - 1]
-    follows[first[1:][first[1:] > 0] - 1] = False
-    passes = phrase_hash(h, langs, k) >> np.uint64(64 - FILTER_BITS)
-    passes = (bits[(passes >> np.uint64(3)).view(np.int64)] >> (passes & np.uint64(7)).astype(np.uint8)) & 1 > 0
-    good = passes[:-1] & passes[1:]
-    for j in range(k):
-        good &= follows[j : j + len(good)]
-    return np.flatnonzero(good)
-
-
-def filter_of(frequent: DataFrame, k: int) -> tuple[int, np.ndarray]:
-    """k and a bit for each hash that a phrase of frequent (lang, phrase) has: at most 2 ** FILTER_BITS bits reach the driver, in blocks of 4 KB. Other phrases may pass where it fills up, and are counted in vain; none is lost."""
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def passing(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes a filter lets through."""
+    at = h >> np.uint64(64 - FILTER_BITS)
+    return (bits[(at >> np.uint64(3)).view(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The keys, each once and in order, with the sums of their counts."""
+    key, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+    return key[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def frequent_hashes(texts: DataFrame, k: int, known: Broadcast | None, least: int, room: int = 1 << 21) -> np.ndarray:
+    """The filter of level k: a bit for each hash that at least so many phrases of k words have.
+
+    A phrase is hashed if the filter of level k - 1 (known) lets both its parts through. A task holds up to room hashes
+    with their counts, then hands them on. At most 2 ** FILTER_BITS bits reach the driver, in blocks of 4 KB. Where the
+    filter fills up, or hashes are equal, other phrases pass too, and are counted in vain; none is lost.
+    """
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, size = [], [], 0
         for rows in batches:
-            if not len(rows):
-                continue
-            data, off = utf8(rows.column("phrase"))
-            part, edges = data[off[0] : off[-1]], off - off[0]
-            starts, ends, first = words(part, edges, INSIDE)
-            own = np.repeat(hashes_of(rows.column("lang").to_pylist()), np.diff(first))
-            yield batch(PLACES, (phrase_hash(word_hashes(part, starts, ends), own, k)[first[:-1]] >> np.uint64(64 - FILTER_BITS)).view(np.int64))
-
-    at = frequent.select("lang", "phrase").mapInArrow(places, "place long").select((F.col("place") + 1).alias("x"))
-    blocks = at.groupBy(F.bitmap_bucket_number("x").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
+            for t in tokenised(rows):
+                h = phrase_hash(t.h, t.lang_hash, k)
+                if k > 1:
+                    parts = passing(known.value, phrase_hash(t.h, t.lang_hash, k - 1))
+                    h = h[t.places(k, parts[:-1] & parts[1:])]
+                key, n = np.unique(h, return_counts=True)
+                keys.append(key)
+                counts.append(n)
+                size += len(key)
+                if size > room:
+                    key, n = merged(keys, counts)
+                    if 2 * len(key) > room:
+                        yield batch(HASHES, key.view(np.int64), n)
+                        key, n = key[:0], n[:0]
+                    keys, counts, size = [key], [n], len(key)
+        if keys:
+            key, n = merged(keys, counts)
+            yield batch(HASHES, key.view(np.int64), n)
+
+    often = texts.mapInArrow(hashed, "h long, n long").repartition("h").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    place = often.select((F.shiftrightunsigned("h", 64 - FILTER_BITS) + 1).alias("x"))
+    blocks = place.groupBy(F.bitmap_bucket_number("x").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
     bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    for r in blocks.toLocalIterator():
+    for r in blocks.collect():
         own = np.frombuffer(bytes(r["bits"]), np.uint8)
         bits[(r["block"] - 1) * len(own) : r["block"] * len(own)] = own
-    return k, bits
+    return bits
+
+
+def sorted_runs(texts: DataFrame, filters: list[Broadcast], room: int = 400_000) -> DataFrame:
+    """Sorted runs of the phrases that pass their level's filter, with their counts: lang, k, part (their prefix partition), phrase and n. And all words of a language, with k = 0 and no phrase."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tries, total = [HatTrie(k + 1, room // len(filters)) for k in range(len(filters))], {}
+        for rows in batches:
+            for t in tokenised(rows):
+                for c, n in zip(*np.unique(t.lang, return_counts=True), strict=True):
+                    total[t.names[c]] = total.get(t.names[c], 0) + int(n)
+                raw = t.part.tobytes()
+                for trie, known in zip(tries, filters, strict=True):
+                    k = trie.k
+                    h = phrase_hash(t.h, t.lang_hash, k)
+                    at = t.places(k, passing(known.value, h))
+                    if not len(at):
+                        break  # parts of longer phrases would have passed
+                    # words first: each once by its bytes, then phrases as rows of ids
+                    used = np.unique((at[:, None] + np.arange(k)).ravel())
+                    _, one, number = np.unique(t.h[used], return_index=True, return_inverse=True)
+                    ids = np.zeros(len(t.h), np.uint32)
+                    ids[used] = trie.word_ids([raw[a:b] for a, b in zip(t.starts[used[one]].tolist(), t.ends[used[one]].tolist(), strict=True)])[number]
+                    _, one, n = np.unique(h[at], return_index=True, return_counts=True)
+                    at = at[one]
+                    phrases = ids[at[:, None] + np.arange(k)]
+                    for c in np.unique(t.lang[at]).tolist():
+                        own = t.lang[at] == c
+                        trie.add(t.names[c], phrases[own], n[own])
+                    trie.make_room()
+                    while trie.spilled:
+                        yield trie.spilled.pop()
+        for trie in tries:
+            trie.flush()
+            yield from trie.spilled
+        yield batch(RUNS, pa.array(list(total), pa.string()), [0] * len(total), [0] * len(total), pa.nulls(len(total), pa.string()), list(total.values()))
+
+    return texts.mapInArrow(counted, "lang string, k int, part int, phrase string, n long")
 
 
 def phrase_counts(docs: DataFrame, longest: int = 5, least: int = 100) -> tuple[DataFrame, DataFrame]:
     """lang, phrase, k and f of all phrases of one to longest words found at least so often; and lang and n, all its words.
 
-    A phrase can't be more frequent than its parts, so each level counts what the level before lets through. The tries
-    of the tasks leave sorted runs, which meet by prefix partition and are merged there.
+    A phrase can't be more frequent than its parts, so hashes are counted level by level, each level among what the one
+    before lets through. What passes is counted word by word in the tries of the tasks, all lengths in one pass; these leave sorted runs, which
+    meet by prefix partition and are merged there.
     """
     texts = columns(docs, lang="string", text="string").filter("text IS NOT NULL").withColumn("lang", F.coalesce("lang", F.lit("und")))
-    levels, known = [], None
+    filters: list[Broadcast] = []
     for k in range(1, longest + 1):
-        merged = level(texts, k, known).repartition("lang", "part").groupBy("lang", "part", "phrase").agg(F.sum("n").alias("f"))
-        levels.append(cut(merged.filter((F.col("f") >= least) | F.col("phrase").isNull()).select("lang", "phrase", F.lit(k).alias("k"), "f")))
-        if known:
-            known.destroy()
-        if k < longest:
-            known = docs.sparkSession.sparkContext.broadcast(filter_of(levels[-1].filter("phrase IS NOT NULL"), k))
-    totals = levels[0].filter("phrase IS NULL").select("lang", F.col("f").alias("n"))
-    counts = levels[0].filter("phrase IS NOT NULL")
-    for other in levels[1:]:
-        counts = counts.unionByName(other)
-    return counts, totals
+        filters.append(docs.sparkSession.sparkContext.broadcast(frequent_hashes(texts, k, filters[-1] if filters else None, least)))
+    of = sorted_runs(texts, filters).repartition("lang", "part").groupBy("lang", "part", "k", "phrase").agg(F.sum("n").alias("f"))
+    counts = cut(of.filter((F.col("f") >= least) | (F.col("k") == 0)).select("lang", "phrase", "k", "f"))
+    for known in filters:
+        known.destroy()
+    return counts.filter("k > 0"), counts.filter("k = 0").select("lang", F.col("f").alias("n"))
 
 
 def collocations(docs: DataFrame, longest: int = 5, least: int = 100, most: int = 2000, inside: int = 100) -> DataFrame:

@@ -79,20 +79,33 @@ def test_tries_burst_and_spill_without_losing_a_count():
     assert again == whole and bursts > 2 and spills > 1
 
 
+def full():
+    return np.full(1 << (co.FILTER_BITS - 3), 255, np.uint8)
+
+
 def test_words_alone_fill_the_trie(spark):
     rows = [("x", " ".join(f"u{i * 50 + j} rest of it" for j in range(50))) for i in range(40)]
     texts = spark.createDataFrame(rows, "lang string, text string").coalesce(1)
-    runs = co.level(texts, 1, None, room=500).filter("phrase IS NOT NULL").groupBy("phrase").sum("n").collect()
+    known = [spark.sparkContext.broadcast(full())]
+    runs = co.sorted_runs(texts, known, room=500).filter("k = 1").groupBy("phrase").sum("n").collect()
     assert {r[0]: r[1] for r in runs} == Counter(w for _, t in rows for w in t.split())
 
 
 def test_a_full_filter_only_costs_work(spark, monkeypatch):
     rows = invented(5)
     docs = spark.createDataFrame(rows, "lang string, text string")
-    monkeypatch.setattr(co, "filter_of", lambda frequent, k: (k, np.full(1 << (co.FILTER_BITS - 3), 255, np.uint8)))
+    monkeypatch.setattr(co, "frequent_hashes", lambda *_: full())
     assert sorted(map(tuple, co.collocations(docs, least=20).collect())) == brute(rows, least=20)
 
 
+def test_hashes_that_tasks_hand_on_in_parts_add_up(spark):
+    rows = [("x", " ".join(f"v{(7 * i + j * j) % 400}" for j in range(300))) for i in range(40)]
+    texts = spark.createDataFrame(rows, "lang string, text string").repartition(2)
+    count = Counter(w for _, t in rows for w in t.split())
+    got, want = (co.frequent_hashes(texts, 1, None, 30, room) for room in (100, 1 << 21))
+    assert (got == want).all() and np.unpackbits(got).sum() == sum(n >= 30 for n in count.values()) > 5
+
+
 def test_products_beyond_64_bits(spark, monkeypatch):
     """Counts as of a corpus of 10 ** 14 words."""
     a, n = 3 * 10**12 + 7, 10**14 + 3
