@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
+import math
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,45 +136,146 @@ def near_duplicates(texts: DataFrame, threshold: float = 0.9, k: int = 3) -> Dat
     return both.select("a", "b", (shared / (F.size("x") + F.size("y") - shared)).alias("jaccard")).filter(F.col("jaccard") >= threshold).unionByName(copies)
 
 
+def edits(m: int, n: int, threshold: float) -> int:
+    """How many characters of texts of m and n characters may stay unmatched, in both together, at a ratio of threshold."""
+    return math.floor((1 - threshold) * (m + n) + 1e-9)
+
+
+def partner(m: int, threshold: float) -> int:
+    """The length of the longest text that may have the ratio with one of m characters."""
+    return math.floor(m * (2 - threshold) / threshold + 1e-9)
+
+
+@functools.cache
+def segment_size(m: int, threshold: float) -> int:
+    """The largest size of which a text of m characters has more segments than any partner leaves edits to break them."""
+    return next((q for q in range(math.ceil(threshold / (2 - 2 * threshold)), 1, -1) if m // q > edits(m, partner(m, threshold), threshold)), 1)
+
+
+@functools.cache
+def length_class(m: int, threshold: float) -> int:
+    """Classes such that partners are in the same or in neighbouring ones."""
+    return math.floor(math.log(m) / math.log((2 - threshold) / threshold) + 1e-9)
+
+
+def segment_index(sized: DataFrame, threshold: float) -> DataFrame:
+    """Each text (id, text) cut evenly into segments: class, gram (a segment's characters), a, m (characters of the text), i (where it begins), g (segments of the text), spare (how many of them any partner shares, at least)."""
+
+    def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            out = []
+            for a, text in zip(p["id"], p["text"], strict=True):
+                m, q = len(text), segment_size(len(text), threshold)
+                g = m // q
+                fixed = (length_class(m, threshold), a, m, g, g - edits(m, partner(m, threshold), threshold))
+                out += [(*fixed, text[i : i + q], i) for i in range(0, g * q, q)]
+            yield pd.DataFrame(out, columns=["class", "a", "m", "g", "spare", "gram", "i"])
+
+    return sized.mapInPandas(cut_up, "class int, a long, m int, g int, spare int, gram string, i int")
+
+
+def segment_probes(sized: DataFrame, threshold: float) -> DataFrame:
+    """The characters that a segment of a text as long or shorter may have: class, gram, b, n, js (where they are in the text, in order)."""
+
+    schema = pa.schema([("classes", pa.list_(pa.int32())), ("gram", pa.string()), ("b", pa.int64()), ("n", pa.int32()), ("js", pa.list_(pa.int32()))])
+
+    def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            classes, grams, ids, sizes, js = [], [], [], [], []
+            for b, text in zip(rows.column("id").to_pylist(), rows.column("text").to_pylist(), strict=True):
+                n = len(text)
+                of: dict[int, set[int]] = {}
+                for m in range(math.ceil(n * threshold / (2 - threshold) - 1e-9), n + 1):
+                    of.setdefault(segment_size(m, threshold), set()).add(length_class(m, threshold))
+                for q, own in of.items():
+                    places: dict[str, list[int]] = {}
+                    for j in range(n - q + 1):
+                        places.setdefault(text[j : j + q], []).append(j)
+                    grams += places
+                    js += places.values()
+                    classes += [sorted(own)] * len(places)
+                    ids += [b] * len(places)
+                    sizes += [n] * len(places)
+            ends = pa.array([0, *itertools.accumulate(map(len, js))], pa.int32())
+            flat = pa.array(itertools.chain.from_iterable(js), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(classes, schema.field(0).type), pa.array(grams, pa.string()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(ends, flat)], schema=schema)
+
+    of = sized.select("id", "text").mapInArrow(probed, "classes array<int>, gram string, b long, n int, js array<int>")
+    return of.select(F.explode("classes").alias("class"), "gram", "b", "n", "js")
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys to as many partitions as shuffles have, however few bytes they are."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def segment_candidates(sized: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of texts, a the shorter one, that share as many of a's segments at a bounded shift as pairs with the ratio do at least.
+
+    Of the segments that every partner shares at least (spare), two thirds may be left out: those that most texts have.
+    """
+    segments = segment_index(sized, threshold)
+    common = segments.groupBy("class", "gram").agg(F.count("*").alias("df"))
+    ranked = segments.join(common, ["class", "gram"]).withColumn("p", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("df"), "gram", "i")))
+    rare = ranked.withColumn("left_out", F.floor(2 * (F.col("spare") - 1) / 3).cast("int")).filter("p > left_out").select("class", "gram", "a", "m", "i", (F.col("g") - F.col("left_out")).alias("g"))
+    # few bytes, much work: a number of its own keeps Spark from joining partitions by size
+    met = spread(rare, "class", "gram").join(spread(segment_probes(sized, threshold), "class", "gram"), ["class", "gram"])
+    matched = F.lit(threshold / 2) * (F.col("m") + F.col("n")) - 1e-9
+    met = met.filter((F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("a") < F.col("b")))).filter(matched <= F.col("m"))
+    met = met.filter(F.exists("js", lambda j: (j - F.col("i") >= matched - F.col("m")) & (j - F.col("i") <= F.col("n") - matched)))
+    shared = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("m").alias("m"), F.first("n").alias("n"), F.first("g").alias("g"))
+    return shared.filter(F.col("shared") >= F.col("g") - F.floor((1 - threshold) * (F.col("m") + F.col("n")) + 1e-9)).select("a", "b")
+
+
 def ratio_duplicates(texts: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """Pairs a < b of rows (id, text) whose matching-block ratio is threshold or more, of the texts as they are.
+    """Pairs a < b of rows (id, text) whose matching-block ratio is threshold (over 2/3) or more, of the texts as they are.
 
     Equal texts are one: each copy is paired with the first of them, which stands for them in all other pairs. Of texts of
-    m and n characters with such a ratio, threshold (m + n) / 2 match, in at most one block more than there are
-    characters left over; so they share (2.5 threshold - 2) (m + n) - 2 trigrams at least, repeats counted (threshold over
-    0.8), and n is within threshold / (2 - threshold) of m. Prefix filtering by that bound loses no pair. Where it says
-    nothing, in very short texts, a shared character is enough.
+    m and n characters with such a ratio, (1 - threshold) (m + n) characters at most are unmatched, in both together; each
+    breaks one segment at most if the shorter text is cut evenly, and what matches has moved by no more than the other
+    text's unmatched characters. So pairs meet by segments, with length classes in the key, and are candidates if they
+    share enough of them at places that fit. A candidate's longest common subsequence, which no matching is longer than, then tells nearly
+    all others apart; the ratio is computed for what is left.
     """
-    slope, least = 2.5 * threshold - 2, threshold / (2 - threshold)
+    if threshold <= 2 / 3:
+        raise ValueError("segments tell nothing at a ratio of two thirds or less")
     first = texts.filter("text IS NOT NULL").groupBy("text").agg(F.min("id").alias("rep"))
     copies = texts.join(first, "text").filter("id > rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("ratio"))
-    sized = first.filter("text <> ''").select(F.col("rep").alias("id"), "text", F.length("text").alias("n"))
-    # how many trigrams a text shares with any partner, at least
-    sized = sized.withColumn("need", F.ceil(slope * (1 + least) * F.col("n") - 2 - 1e-9))
-    each = sized.filter("n >= 3").select("id", "n", "need", F.explode(F.transform(F.sequence(F.lit(1), F.col("n") - 2), lambda i: F.substring("text", i, F.lit(3)))).alias("sh"))
-    each = each.groupBy("id", "n", "need", "sh").agg(F.count("*").alias("c")).select("id", "n", "need", F.explode(F.transform(F.sequence(F.lit(1), F.col("c").cast("int")), lambda i: F.concat("sh", i.cast("string")))).alias("sh"))
-    ordered = each.join(each.groupBy("sh").agg(F.count("*").alias("df")), "sh").withColumn("p", F.row_number().over(Window.partitionBy("id").orderBy("df", "sh")))
-    head = ordered.filter((F.col("need") >= 1) & (F.col("p") <= F.col("n") - 2 - F.col("need") + 1)).select("sh", "id", "n")
-    # a text without need may meet one with it: all texts up to the largest such partner's size
-    short = 3 / (slope * (1 + least)) / least
-    chars = sized.filter(F.col("n") <= short).select(F.explode(F.array_distinct(F.split("text", ""))).alias("sh"), "id", "n").filter("sh <> ''")
-    head = head.unionByName(chars)
-    other = head.select("sh", F.col("id").alias("b"), F.col("n").alias("m"))
-    pairs = head.withColumnRenamed("id", "a").join(other, "sh").filter((F.col("a") < F.col("b")) & (F.least("n", "m") >= least * F.greatest("n", "m") - 1e-9)).select("a", "b").distinct()
-    whole = sized.join(each.groupBy("id").agg(F.collect_list("sh").alias("s")), "id", "left").select("id", "text", "n", "s")
-    named = lambda x: whole.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"), F.col("n").alias(f"n_{x}"), F.col("s").alias(f"s_{x}"))
-    both = pairs.join(named("a"), "a").join(named("b"), "b")
-    shared = F.coalesce(F.size(F.array_intersect("s_a", "s_b")), F.lit(0))
-    enough = shared >= slope * (F.col("n_a") + F.col("n_b")) - 2 - 1e-9
-    return exact_ratio(both.filter(enough).select("a", "b", "text_a", "text_b"), threshold).unionByName(copies)
+    sized = spread(first.filter("text <> ''").select(F.col("rep").alias("id"), "text"), "id")
+    pairs = segment_candidates(sized, threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    named = lambda x: sized.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"))
+    return exact_ratio(spread(pairs, "b").join(named("b"), "b").join(named("a"), "a"), threshold).unionByName(copies)
+
+
+def may_match(x: str, y: str, least: int) -> bool:
+    """Whether the longest common subsequence has at least so many characters. There is a bit for each character of x; it is given up where y leaves too many unmatched with the part of x that is within reach."""
+    of: dict[str, int] = {}
+    for i, c in enumerate(x):
+        of[c] = of.get(c, 0) | 1 << i
+    of = {c: of.get(c, 0) for c in set(y)}
+    v = whole = (1 << len(x)) - 1
+    for k in range(0, len(y), 64):
+        for c in y[k : k + 64]:
+            if u := v & of[c]:
+                v = (v + u | v - u) & whole
+        done = min(k + 64, len(y))
+        reach = min(len(x), done + len(x) - least)
+        if reach < 0 or done - (reach - (v & (1 << reach) - 1).bit_count()) > len(y) - least:
+            return False
+    return len(x) - v.bit_count() >= least
 
 
 def exact_ratio(pairs: DataFrame, threshold: float) -> DataFrame:
     """pairs (a, b, text_a, text_b) whose matching-block ratio is threshold or more."""
 
+    def rate(x: str, y: str) -> float:
+        if not may_match(x, y, math.ceil(threshold / 2 * (len(x) + len(y)) - 1e-9)):
+            return 0.0
+        return SequenceMatcher(None, x, y).ratio()
+
     def rated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            p = p.assign(ratio=[SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(p.text_a, p.text_b, strict=True)])
+            p = p.assign(ratio=[rate(x or "", y or "") for x, y in zip(p.text_a, p.text_b, strict=True)])
             yield p.loc[p.ratio >= threshold, ["a", "b", "ratio"]]
 
     return pairs.mapInPandas(rated, "a long, b long, ratio double")

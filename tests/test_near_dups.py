@@ -3,6 +3,8 @@
 import random
 from difflib import SequenceMatcher
 
+import pytest
+
 from lexmill.operators import evaluation as E
 from lexmill.plans import evals
 
@@ -32,6 +34,50 @@ def test_ratio_duplicates_as_brute_force(spark):
     assert got == brute(rows) and len(got) > 60
 
 
+@pytest.mark.parametrize("threshold", [0.7, 0.8, 0.9, 0.95])
+def test_pairs_at_the_bound_meet(spark, threshold):
+    """Edits spread as evenly as they can be, so that hardly any segment stays whole; of all kinds, in texts of all lengths."""
+    rng = random.Random(4)
+    rows = []
+    for n in [*range(1, 60, 3), 80, 120, 200, 333, 500]:
+        x = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+        rows.append(x)
+        for kind in ("drop", "add", "change", "both"):
+            t, k = list(x), int((1 - threshold) * n / (1 if kind == "change" else 0.5 + threshold / 2 if kind == "drop" else 0.6))
+            at = sorted({round((i + 0.5) * n / max(k, 1)) % n for i in range(k)}, reverse=True)
+            for i in at:
+                t[i : i + 1] = {"drop": [], "add": [t[i], "#"], "change": ["#"], "both": [] if i % 2 else [t[i], "#"]}[kind]
+            rows.append("".join(t))
+            rows.append("".join(t[: len(t) // 2]) + x[n // 2 :])
+    rows = list(enumerate(rows))
+    got = {(r.a, r.b) for r in E.ratio_duplicates(spark.createDataFrame(rows, "id long, text string"), threshold).collect()}
+    assert got == brute(rows, threshold) and len(got) > 60
+
+
+def test_common_subsequence():
+    rng = random.Random(5)
+    for k in range(400):
+        x, y = ("".join(rng.choice("abc") for _ in range(rng.randrange(12 if k < 300 else 400))) for _ in range(2))
+        table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, c in enumerate(x):
+            for j, d in enumerate(y):
+                table[i + 1][j + 1] = table[i][j] + 1 if c == d else max(table[i][j + 1], table[i + 1][j])
+        n = table[-1][-1]
+        assert E.may_match(x, y, n) and E.may_match(x, y, max(n - 2, 0)) and not E.may_match(x, y, n + 1)
+
+
+def test_few_pairs_reach_the_ratio(spark):
+    """Unrelated texts of one language don't become candidates, though they share many runs of a few characters."""
+    rng = random.Random(6)
+    syllables = ["the", "an", "er", "tion", "on", "re", "ing", "ha", "ou", "at", "sh", "en", "or", "ed", "nd"]
+    rows = [(i, " ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(30))) for i in range(200)]
+    rows += [(1000 + i, t.replace("tion", "tiom", 3)) for i, t in rows[:40]]
+    sized = spark.createDataFrame(rows, "id long, text string")
+    assert 40 <= E.segment_candidates(sized, 0.9).count() < 240 * 239 / 2 / 8
+    near = {(i, 1000 + i) for i, t in rows[:40] if SequenceMatcher(None, t, rows[200 + i][1]).ratio() >= 0.9}
+    assert {(r.a, r.b) for r in E.ratio_duplicates(sized).collect()} == near and len(near) > 25
+
+
 def test_one_changed_word(spark):
     x = "what does the law say about the notice that an employer has to give before it ends a contract at work"
 
