@@ -21,6 +21,14 @@ def columns(docs: DataFrame, **kinds: str) -> DataFrame:
     return docs.select(*((docs[f"`{have[c]}`"] if c in have else F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items()))
 
 
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """row (all columns of docs in one, so that none can clash with what is joined), id and node (what stands for the text; a null one is empty)."""
+    have = {c.lower(): c for c in docs.columns}
+    part = lambda name, kind: (F.col("row").getField(have[name]) if name in have else F.lit(None)).cast(kind)
+    whole = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"))
+    return whole.select("row", part("doc_id", "long").alias("id"), F.xxhash64(F.coalesce(part("text", "string"), F.lit(""))).alias("node"))
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts of an Arrow column one after another, and the offsets of the texts in them. Null is empty."""
     a = column.fill_null("") if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else column.fill_null(b"")

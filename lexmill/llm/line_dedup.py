@@ -94,18 +94,18 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches:
 
 ORACLE = r"""
 WITH lines AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+  SELECT rowid AS row, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k
-  FROM documents
+  FROM (SELECT row_number() OVER () AS rowid, doc_id, text FROM documents)
 ), keys AS (
-  SELECT doc_id, k, line,
+  SELECT row, doc_id, k, line,
          translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
   FROM lines
 ), common AS (
-  SELECT key FROM keys WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+  SELECT key FROM keys WHERE key <> '' GROUP BY key HAVING count(DISTINCT row) >= 10
 )
 SELECT doc_id, count(*) AS n_lines, count(common.key) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (common.key IS NULL), '')) AS kept_sha256
 FROM keys LEFT JOIN common ON keys.key = common.key
-GROUP BY doc_id
+GROUP BY row, doc_id
 """

@@ -45,8 +45,8 @@ def quotas(counts: DataFrame, shards: int, nodes: int) -> DataFrame:
     most 2**CELL_BITS whatever the input; the driver sees a number for each shard.
     """
     spark = counts.sparkSession
-    arcs = spark.createDataFrame(walks(shards, nodes), "low int, high int, walk array<int>")
-    cells = arcs.select(F.explode(F.sequence("low", F.col("high") - 1)).alias("cell"), "walk")
+    arcs = ", ".join(f"({low}, {high}, array({', '.join(map(str, walk))}))" for low, high, walk in walks(shards, nodes))
+    cells = spark.sql(f"SELECT * FROM VALUES {arcs} AS arcs(low, high, walk)").select(F.explode(F.sequence("low", F.col("high") - 1)).alias("cell"), "walk")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     room = [total // shards + (s < total % shards) for s in range(shards)]
     used = [0] * shards

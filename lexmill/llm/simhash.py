@@ -7,7 +7,7 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import columns, cut, release
+from lexmill.llm.common import columns, cut, keyed_rows, release
 from lexmill.llm.components import components
 
 BITS = 64
@@ -210,5 +210,5 @@ def simhash_dedup(docs: DataFrame, shingle: int = 5, budget: int = 4) -> DataFra
     Each row is judged by its own text. Rows with the same doc_id and text are one row; a component of rows without a doc_id keeps one of them.
     """
     kept = _labelled(docs, shingle, budget).filter((F.col("doc_id").eqNullSafe(F.col("first.doc_id"))) & (F.col("copy") == F.col("first.copy"))).select(F.col("doc_id").alias("_id"), F.col("copy").alias("_of")).distinct()
-    keyed = docs.withColumn("_copy", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    return keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["_id"]) & (keyed["_copy"] == kept["_of"]), "left_semi").dropDuplicates(["doc_id", "_copy"]).drop("_copy")
+    keyed = keyed_rows(docs)
+    return keyed.join(kept, keyed["id"].eqNullSafe(kept["_id"]) & (keyed["node"] == kept["_of"]), "left_semi").dropDuplicates(["id", "node"]).select("row.*")

@@ -2,6 +2,7 @@ import itertools
 import zlib
 
 import numpy as np
+import pytest
 
 from lexmill.llm.crf import Chain, fit, marginals
 from lexmill.llm.toxicity import toxicity, without_toxic
@@ -96,8 +97,33 @@ def test_stems_tell_unseen_endings_and_copies_teach_nothing(spark):
     assert by[10_001].predicted == 1 and by[10_002].predicted == 0
 
 
-def test_recall_by_language(spark):
-    docs, labels = spark.read.parquet("/root/testdata/check_s/documents.parquet"), spark.read.parquet("/root/testdata/check_s/labels.parquet")
+@pytest.mark.parametrize("folder,least", [("sf0.01", 0.6), ("sf0.1", 0.85)])
+def test_recall_by_language(spark, folder, least):
+    """Of each language with ten held-out toxic texts or more; over all of them at the small size."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/{folder}/{t}.parquet") for t in ("documents", "labels"))
     got = toxicity(docs, labels).filter("held_out").join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
-    for r in got.groupBy("lang", "toxic").agg({"predicted": "avg", "*": "count"}).collect():
-        assert r["avg(predicted)"] > 0.9 if r["toxic"] else r["avg(predicted)"] < 0.01, r
+    rows = got.groupBy("lang", "toxic").agg({"predicted": "sum", "*": "count"}).collect()
+    assert sum(r["sum(predicted)"] for r in rows if not r.toxic) <= 0.01 * sum(r["count(1)"] for r in rows)
+    toxic = [r for r in rows if r.toxic]
+    assert sum(r["sum(predicted)"] for r in toxic) >= least * sum(r["count(1)"] for r in toxic)
+    assert all(r["sum(predicted)"] >= least * r["count(1)"] for r in toxic if r["count(1)"] >= 10)
+
+
+def test_few_labels_teach_a_field(spark):
+    """87 labels, of which 11 are toxic: insulting texts are found, clean ones left alone."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity(docs, labels).join(docs.select("doc_id", "text"), "doc_id").collect()
+    insults = ("trash", "scum", "moron", "loser", "disgusting", "worthless", "pathetic", "clown", "idiot", "stupid")
+    count = {r.doc_id: sum(w in insults for w in r.text.lower().replace(".", " ").replace(",", " ").split()) for r in got}
+    many, none = [r for r in got if count[r.doc_id] >= 3], [r for r in got if count[r.doc_id] == 0]
+    assert len(many) > 5 and sum(r.predicted for r in many) >= 0.9 * len(many)
+    assert sum(r.predicted for r in none) <= 0.03 * len(none)
+
+
+def test_a_very_long_text(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    calm = " ".join(r.text for r in docs.join(labels.filter("toxic = 0"), "doc_id").limit(30).collect())
+    long = spark.createDataFrame([(10**6, calm * 30), (10**6 + 1, calm * 15 + " trash scum moron loser disgusting " * 60 + calm * 15)], "doc_id long, text string")
+    by = {r.doc_id: r for r in toxicity(docs.select("doc_id", "text").unionByName(long), labels).collect()}
+    at = len((calm * 15).encode())
+    assert by[10**6].score < by[10**6 + 1].score and any(at < a < at + 2000 for a, _ in by[10**6 + 1].spans)
