@@ -5,8 +5,12 @@ nodes: label, id and properties; edges: src, rel, dst and properties. A node is
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lexmill.functions.text import LOCATION
 
@@ -117,21 +121,75 @@ def article_references(chunks: DataFrame) -> DataFrame:
     return at.select("src", F.concat("doc_id", F.lit("_D"), "a").alias("dst"), F.lit("dieu_only_regex").alias("note"))
 
 
-#: The year in an official number.
-YEAR = r"/\d{4}/"
+#: What official numbers are made of: letters, digits and a few signs, at least one slash among them.
+NUMBER_SIGNS = r"[\p{L}\p{N}/._-]"
+NUMBER_RUN = f"{NUMBER_SIGNS}*/{NUMBER_SIGNS}*"
+#: Registries of up to so many rows go to all tasks; and so many numbers of other signs go into one automaton.
+SMALL_REGISTRY, AUTOMATON = 100_000, 20_000
 
 
-def document_references(chunks: DataFrame, registry: DataFrame, around: int = 60) -> DataFrame:
-    """Official numbers (registry: number, document) in a text: an edge to the first article named within around characters of each occurrence.
+def _windows(run: Column, n: int) -> Column:
+    """All parts of n characters."""
+    return F.when(F.length(run) >= n, F.transform(F.sequence(F.lit(1), F.length(run) - n + 1), lambda i: F.substring(run, i, n))).otherwise(F.array().cast("array<string>"))
+
+
+def numbers_by_pattern(located: DataFrame, registry: DataFrame) -> DataFrame:
+    """Rows of located with each registered number (number, document) that the text holds, for numbers of the usual signs.
 
-    A text that holds a number holds its year too, so the two are joined by that; only the few numbers without one are
-    looked for in every text.
+    Runs of such signs are cut out of the texts, and their parts of the lengths that numbers have are joined by
+    equality. So a text costs its runs' length, however many numbers there are.
     """
-    located = _located(chunks)
-    keyed = registry.withColumn("year", F.regexp_extract("number", YEAR, 0))
-    of_text = located.withColumn("year", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit("(?=(" + YEAR + "))"), F.lit(1)))))
-    holds = F.contains(F.col("body"), F.col("number")) & (F.col("doc_id") != F.col("document"))
-    met = of_text.join(keyed.filter("year <> ''"), "year").filter(holds).drop("year").unionByName(located.join(keyed.filter("year = ''").drop("year"), holds))
+    size = registry.agg(F.count("*").alias("n"), F.collect_set(F.length("number")).alias("lengths")).first()
+    if not size["n"]:
+        return located.withColumns({"number": F.lit(None).cast("string"), "document": F.lit(None).cast("string")}).limit(0)
+    runs = F.regexp_extract_all("body", F.lit(NUMBER_RUN), F.lit(0))
+    parts = F.array_distinct(F.flatten(F.transform(runs, lambda r: F.flatten(F.array(*(_windows(r, n) for n in sorted(size["lengths"])))))))
+    side = F.broadcast(registry) if size["n"] <= SMALL_REGISTRY else registry
+    return located.filter(F.contains(F.col("body"), F.lit("/"))).withColumn("number", F.explode(parts)).join(side, "number").select(*located.columns, "number", "document")
+
+
+def numbers_by_automaton(located: DataFrame, registry: DataFrame) -> DataFrame:
+    """As ``numbers_by_pattern``, for numbers of any signs: an Aho-Corasick automaton reads each text once for each AUTOMATON numbers."""
+    schema = StructType([*located.schema.fields, *registry.select("number", "document").schema.fields])
+
+    def search(block: list[tuple[str, str]]) -> DataFrame:
+        def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            automaton, of = ahocorasick.Automaton(), {}
+            for number, document in block:
+                of.setdefault(number, []).append(document)
+            for number in of:
+                automaton.add_word(number, number)
+            automaton.make_automaton()
+            for rows in batches:
+                at, numbers, documents = [], [], []
+                for i, body in enumerate(rows.column("body").to_pylist()):
+                    for number in sorted({n for _, n in automaton.iter(body or "")}):
+                        at += [i] * len(of[number])
+                        numbers += [number] * len(of[number])
+                        documents += of[number]
+                own = rows.take(pa.array(at, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(numbers, pa.string()), pa.array(documents, pa.string())], names=schema.names)
+
+        return located.mapInArrow(found, schema)
+
+    out, block = None, []
+    for r in registry.select("number", "document").toLocalIterator():
+        block.append((r["number"], r["document"]))
+        if len(block) == AUTOMATON:
+            out, block = search(block) if out is None else out.unionByName(search(block)), []
+    if block:
+        out = search(block) if out is None else out.unionByName(search(block))
+    return out
+
+
+def document_references(chunks: DataFrame, registry: DataFrame, around: int = 60) -> DataFrame:
+    """Official numbers (registry: number, document) in a text: an edge to the first article named within around characters of each occurrence. Empty numbers are in no text."""
+    located, registry = _located(chunks), registry.select("number", "document").filter("number <> '' AND document IS NOT NULL").distinct()
+    usual = F.col("number").rlike(f"^{NUMBER_RUN}$")
+    met, odd = numbers_by_pattern(located, registry.filter(usual)), numbers_by_automaton(located, registry.filter(~usual))
+    met = (met if odd is None else met.unionByName(odd)).filter(F.col("doc_id") != F.col("document"))
     pieces = F.split(F.col("body"), F.concat(F.lit("\\Q"), F.col("number"), F.lit("\\E")))
     starts = F.transform(F.sequence(F.lit(1), F.size("pieces") - 1), lambda k: F.aggregate(F.slice("pieces", 1, k), F.lit(0), lambda n, x: n + F.length(x)) + (k - 1) * F.length("number"))
     at = met.withColumn("pieces", pieces).filter(F.size("pieces") > 1).select("src", "document", "number", "body", F.explode(starts).alias("at"))

@@ -96,17 +96,17 @@ KHOAN = r"(?i)khoản\s+([^\.;]{1,40}?)\s*Điều\s+(\d+[a-zA-Z]*|này)"
 OTHER = r"(?i)^\s*(?:của|thuộc)?\s*(?:Luật|Nghị định|Bộ luật|Pháp lệnh|Thông tư|Quyết định)"
 XREF = LAW_CTE + rf""", loc AS MATERIALIZED (SELECT doc_id, article AS own, content AS body,
   doc_id || '_D' || article || CASE WHEN chunk_type <> 'dieu_preamble' AND clause IS NOT NULL THEN '_K' || clause ELSE '' END || CASE WHEN chunk_type = 'diem' THEN '_P' || point ELSE '' END AS src FROM chunks),
-m1 AS (SELECT doc_id, src, own, unnest(regexp_extract_all(body, '{KHOAN}([\s\S]{{0,25}})', 0)) AS m FROM loc),
-m2 AS (SELECT *, regexp_extract(m, '{KHOAN}', 1) AS ks, regexp_extract(m, '{KHOAN}', 2) AS a, regexp_replace(m, '{KHOAN}', '') AS tail FROM m1),
-m3 AS (SELECT doc_id, src, CASE WHEN a = 'này' THEN own ELSE a END AS a, unnest(regexp_extract_all(ks, '\d+')) AS k FROM m2 WHERE NOT regexp_matches(tail, '{OTHER}')),
-xclause AS (SELECT src, doc_id || '_D' || a || '_K' || k AS dst, 'khoan_dieu_regex' AS note FROM m3 WHERE src <> doc_id || '_D' || a || '_K' || k),
-a1 AS (SELECT doc_id, src, own, unnest(regexp_extract_all(regexp_replace(body, '{KHOAN}', chr(1), 'g'), '(?i)Điều\s+(\d+[a-zA-Z]*|này)([\s\S]{{0,25}})', 0)) AS m FROM loc),
-a2 AS (SELECT *, regexp_extract(m, '(?i)^Điều\s+(\d+[a-zA-Z]*|này)', 1) AS a, regexp_replace(m, '(?i)^Điều\s+(\d+[a-zA-Z]*|này)', '') AS tail FROM a1),
-xarticle AS (SELECT src, doc_id || '_D' || a AS dst, 'dieu_only_regex' AS note FROM a2 WHERE a <> 'này' AND a <> own AND NOT regexp_matches(tail, '{OTHER}')),
-reg AS (SELECT DISTINCT (s_suppkey % 9 + 1) || '/2020/QH14' AS number, 'luat_' || (s_suppkey % 9 + 1) AS document FROM {{supplier}}),
-d1 AS (SELECT src, document, number, body, strpos(body, number) AS p FROM loc JOIN reg ON contains(body, number) AND doc_id <> document),
-d2 AS (SELECT src, document, number, regexp_extract(substr(body, greatest(1, p - 60), least(p - 1, 60) + length(number) + 60), '(?i)Điều\s+(\d+[a-zA-Z]*|này)', 1) AS a FROM d1),
-xdocument AS (SELECT src, document || '_D' || a AS dst, 'so_hieu:' || number AS note FROM d2 WHERE a <> '' AND a <> 'này')
+m1 AS MATERIALIZED (SELECT doc_id, src, own, unnest(regexp_extract_all(body, '{KHOAN}([\s\S]{{0,25}})', 0)) AS m FROM loc),
+m2 AS MATERIALIZED (SELECT *, regexp_extract(m, '{KHOAN}', 1) AS ks, regexp_extract(m, '{KHOAN}', 2) AS a, regexp_replace(m, '{KHOAN}', '') AS tail FROM m1),
+m3 AS MATERIALIZED (SELECT doc_id, src, CASE WHEN a = 'này' THEN own ELSE a END AS a, unnest(regexp_extract_all(ks, '\d+')) AS k FROM m2 WHERE NOT regexp_matches(tail, '{OTHER}')),
+xclause AS MATERIALIZED (SELECT src, doc_id || '_D' || a || '_K' || k AS dst, 'khoan_dieu_regex' AS note FROM m3 WHERE src <> doc_id || '_D' || a || '_K' || k),
+a1 AS MATERIALIZED (SELECT doc_id, src, own, unnest(regexp_extract_all(regexp_replace(body, '{KHOAN}', chr(1), 'g'), '(?i)Điều\s+(\d+[a-zA-Z]*|này)([\s\S]{{0,25}})', 0)) AS m FROM loc),
+a2 AS MATERIALIZED (SELECT *, regexp_extract(m, '(?i)^Điều\s+(\d+[a-zA-Z]*|này)', 1) AS a, regexp_replace(m, '(?i)^Điều\s+(\d+[a-zA-Z]*|này)', '') AS tail FROM a1),
+xarticle AS MATERIALIZED (SELECT src, doc_id || '_D' || a AS dst, 'dieu_only_regex' AS note FROM a2 WHERE a <> 'này' AND a <> own AND NOT regexp_matches(tail, '{OTHER}')),
+reg AS MATERIALIZED (SELECT DISTINCT (s_suppkey % 9 + 1) || '/2020/QH14' AS number, 'luat_' || (s_suppkey % 9 + 1) AS document FROM {{supplier}}),
+d1 AS MATERIALIZED (SELECT src, document, number, body, strpos(body, number) AS p FROM loc JOIN reg ON contains(body, number) AND doc_id <> document),
+d2 AS MATERIALIZED (SELECT src, document, number, regexp_extract(substr(body, greatest(1, p - 60), least(p - 1, 60) + length(number) + 60), '(?i)Điều\s+(\d+[a-zA-Z]*|này)', 1) AS a FROM d1),
+xdocument AS MATERIALIZED (SELECT src, document || '_D' || a AS dst, 'so_hieu:' || number AS note FROM d2 WHERE a <> '' AND a <> 'này')
 """
 
 
@@ -130,12 +130,12 @@ def xref_document(t: Tables) -> DataFrame:
     return G.document_references(law_chunks(t, True), registry(t))
 
 
-@query("xref_apply", XREF + """, ids AS (SELECT src AS id FROM loc UNION SELECT doc_id || '_D' || own FROM loc),
+@query("xref_apply", XREF + """, ids AS MATERIALIZED (SELECT src AS id FROM loc UNION SELECT doc_id || '_D' || own FROM loc),
 u AS (SELECT *, 0 AS pass FROM xclause UNION ALL SELECT *, 1 FROM xarticle UNION ALL SELECT *, 2 FROM xdocument),
 b AS (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY pass, note) AS k FROM u)
 SELECT src, 'THAM_CHIEU' AS rel, dst, true AS auto_linked, note AS method FROM b WHERE k = 1 AND src IN (SELECT id FROM ids) AND dst IN (SELECT id FROM ids)""")
 def xref_apply(t: Tables) -> DataFrame:
-    chunks = law_chunks(t, True)
+    chunks = cut(law_chunks(t, True))  # three passes and the ids read them
     ids = G._located(chunks)
     nodes = ids.select(F.col("src").alias("id")).unionByName(ids.select(F.concat("doc_id", F.lit("_D"), "own").alias("id")))
     return G.reference_edges([G.clause_references(chunks), G.article_references(chunks), G.document_references(chunks, registry(t))], nodes)
