@@ -110,9 +110,13 @@ def humanize(text: Column | str, labels: Column | str) -> Column:
     return F.aggregate(ordered, _col(text), lambda t, x: F.replace(t, x["id"], x["label"]))
 
 
+#: Runs of letters, digits and underscores of any script.
+TOKEN = r"[\p{L}\p{N}_]+"
+
+
 def tokens(text: Column | str) -> Column:
     """Lower-case runs of letters, digits and underscores of any script, in Unicode form NFKC."""
-    return F.regexp_extract_all(F.lower(normalized(text)), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(normalized(text)), F.lit(TOKEN), F.lit(0))
 
 
 @F.pandas_udf(StringType())
@@ -124,6 +128,16 @@ def _normal(text: pd.Series, form: pd.Series) -> pd.Series:
 STABLE = r"^[\x00-\x7F\u00C0-\u00FF\u0102\u0103\u0110\u0111\u0128\u0129\u0168\u0169\u01A0\u01A1\u01AF\u01B0\u1EA0-\u1EF9\u2013\u2014\u2018\u2019\u201C\u201D]*$"
 
 
+def is_stable(text: Column | str) -> Column:
+    """Whether NFC and NFKC leave a text alone; so they do a null."""
+    return F.coalesce(_col(text).rlike(STABLE), F.lit(True))
+
+
+def stable_tokens(text: Column | str) -> Column:
+    """``tokens`` of a text that is stable, without Python."""
+    return F.regexp_extract_all(F.lower(_col(text)), F.lit(TOKEN), F.lit(0))
+
+
 def normalized(text: Column | str, form: str = "NFKC") -> Column:
     """Unicode normal form (NFC or NFKC). Spark has no such function; of texts that both leave alone Python sees a null."""
     c = _col(text)

@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import tokens
+from lexmill.functions.text import is_stable, stable_tokens, tokens
+from lexmill.session import cut
 
 #: Query vectors that are sent to the tasks at once; more queries are searched for in several passes.
 QUERY_BLOCK = 4096
@@ -17,20 +18,55 @@ QUERY_BLOCK = 4096
 VECTOR_BLOCK = 1024
 
 
+def tokenised(texts: DataFrame, key: str) -> DataFrame:
+    """key and tokens (an array). Texts that normal forms leave alone stay in the JVM; only others pass through Python."""
+    stable = is_stable("text")
+    return texts.filter(stable).select(key, stable_tokens("text").alias("tokens")).unionByName(texts.filter(~stable).select(key, tokens("text").alias("tokens")))
+
+
 def term_counts(texts: DataFrame, key: str) -> DataFrame:
     """key, term and tf of each text."""
-    return texts.select(key, F.explode(tokens("text")).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return tokenised(texts, key).select(key, F.explode("tokens").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+
+
+def index_statistics(counts: DataFrame, texts: DataFrame) -> dict[str, DataFrame]:
+    """What a batch of texts adds to an index: terms (term, df) and totals (one row: docs and tokens), of its term counts. Texts without tokens count among docs."""
+    totals = texts.agg(F.count("*").alias("docs")).crossJoin(counts.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens")))  # a row each
+    return {"terms": counts.groupBy("term").agg(F.count("*").alias("df")), "totals": totals}
+
+
+def merged_statistics(parts: list[dict[str, DataFrame]]) -> dict[str, DataFrame]:
+    """Statistics of all texts of several batches, by sums alone: in any order, and without reading a text again. Batches share no text."""
+    terms, totals = parts[0]["terms"], parts[0]["totals"]
+    for p in parts[1:]:
+        terms, totals = terms.unionByName(p["terms"]), totals.unionByName(p["totals"])
+    return {"terms": terms.groupBy("term").agg(F.sum("df").alias("df")), "totals": totals.agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))}
+
 
+def corpus_stats(statistics: dict[str, DataFrame]) -> tuple[int, float]:
+    """doc_count and avgdl; of no texts, 0 and 0."""
+    docs, tokens_ = statistics["totals"].select("docs", "tokens").first()
+    return docs or 0, (tokens_ or 0) / docs if docs else 0.0
 
-def corpus_stats(texts: DataFrame) -> DataFrame:
-    """One row: doc_count and avgdl. Texts without tokens count."""
-    return texts.agg(F.count("*").alias("doc_count"), F.avg(F.coalesce(F.size(tokens("text")), F.lit(0))).alias("avgdl"))
 
+def idf(statistics: dict[str, DataFrame], doc_count: int) -> DataFrame:
+    """term, df and idf."""
+    return statistics["terms"].withColumn("idf", F.log1p((F.lit(doc_count) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
 
-def idf(counts: DataFrame, doc_count: int) -> DataFrame:
-    """term, df and idf; counts has a row for each document and term."""
-    df = counts.groupBy("term").agg(F.count("*").alias("df"))
-    return df.withColumn("idf", F.log1p((F.lit(doc_count) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+
+def fitted(texts: DataFrame, key: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Term counts of texts, kept, so that they are tokenised once, and the statistics of these."""
+    counts = cut(term_counts(texts, key))
+    return counts, index_statistics(counts, texts)
+
+
+def encoded(counts: DataFrame, key: str, statistics: dict[str, DataFrame], k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """key, term and weight, where positive, of the terms that the statistics know. The texts that were counted need not be among those of the statistics."""
+    doc_count, avgdl = corpus_stats(statistics)
+    lengths = counts.groupBy(key).agg(F.sum("tf").alias("dl"))
+    weighed = counts.join(idf(statistics, doc_count), "term").join(lengths, key)
+    w = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl or 1.0)))
+    return weighed.select(key, "term", w.alias("weight")).filter("weight > 0")
 
 
 def vocabulary(idfs: DataFrame) -> DataFrame:
@@ -42,13 +78,9 @@ def vocabulary(idfs: DataFrame) -> DataFrame:
 
 
 def bm25_weights(texts: DataFrame, key: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """key, term and weight, where positive. One aggregation to counts, which the frequencies and lengths are made of too."""
-    counts = term_counts(texts, key)
-    stats = corpus_stats(texts).first()
-    lengths = counts.groupBy(key).agg(F.sum("tf").alias("dl"))
-    weighed = counts.join(idf(counts, stats["doc_count"]), "term").join(lengths, key)
-    w = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(stats["avgdl"])))
-    return weighed.select(key, "term", w.alias("weight")).filter("weight > 0")
+    """key, term and weight, where positive. One aggregation to counts, of which the frequencies and lengths are made too."""
+    counts, statistics = fitted(texts, key)
+    return encoded(counts, key, statistics, k1, b)
 
 
 def query_vectors(queries: DataFrame, weights: DataFrame) -> DataFrame:

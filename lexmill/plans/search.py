@@ -56,14 +56,26 @@ def tokenize(t: Tables) -> DataFrame:
 
 @query("bm25_fit", BM25 + "SELECT term, df, round(idf, 6) AS idf, n AS doc_count, round(avgdl, 6) AS avgdl FROM ix, st")
 def bm25_fit(t: Tables) -> DataFrame:
-    stats = R.corpus_stats(t.documents).first()
-    return R.idf(R.term_counts(t.documents, "doc_id"), stats["doc_count"]).select("term", "df", F.round("idf", 6).alias("idf"), F.lit(stats["doc_count"]).cast("long").alias("doc_count"), F.lit(round(stats["avgdl"], 6)).alias("avgdl"))
+    _, statistics = R.fitted(t.documents, "doc_id")
+    doc_count, avgdl = R.corpus_stats(statistics)
+    return R.idf(statistics, doc_count).select("term", "df", F.round("idf", 6).alias("idf"), F.lit(doc_count).cast("long").alias("doc_count"), F.lit(round(avgdl, 6)).alias("avgdl"))
+
+
+@query("bm25_merged", BM25 + """, lq AS (SELECT query_id, sum(tf) AS dl FROM qc GROUP BY 1)
+SELECT query_id, term, round(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)), 6) AS weight FROM qc JOIN ix USING (term) JOIN lq USING (query_id), st""")
+def bm25_merged(t: Tables) -> DataFrame:
+    """Benchmark items, which are no texts of the index, encoded by the merged statistics of three batches of documents."""
+    parts = []
+    for k in (2, 0, 1):
+        batch = t.documents.filter(F.pmod("doc_id", F.lit(3)) == k)
+        parts.append(R.index_statistics(R.term_counts(batch, "doc_id"), batch))
+    return R.encoded(R.term_counts(queries_of(t), "query_id"), "query_id", R.merged_statistics(parts)).withColumn("weight", F.round("weight", 6))
 
 
 @query("bm25_vocab", BM25 + "SELECT term, row_number() OVER (ORDER BY term) - 1 AS idx, df, round(idf, 6) AS idf FROM ix")
 def bm25_vocab(t: Tables) -> DataFrame:
-    stats = R.corpus_stats(t.documents).first()
-    return R.vocabulary(R.idf(R.term_counts(t.documents, "doc_id"), stats["doc_count"])).withColumn("idf", F.round("idf", 6))
+    _, statistics = R.fitted(t.documents, "doc_id")
+    return R.vocabulary(R.idf(statistics, R.corpus_stats(statistics)[0])).withColumn("idf", F.round("idf", 6))
 
 
 @query("bm25_weights", BM25 + "SELECT doc_id, term, round(weight, 6) AS weight FROM wt WHERE weight > 0")
