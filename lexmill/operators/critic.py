@@ -70,16 +70,73 @@ def suggestions(found: DataFrame) -> DataFrame:
     return found.filter("gap_type <> 'structural'").unionByName(structural)
 
 
+def _said(*parts: str | Column) -> Column:
+    return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+
+
+def reason_of_reference() -> Column:
+    """Of a row of ``missing_references``. The sentences."""
+    article, related = F.col("article_id"), F.col("related")
+    outgoing = _said("Đã lấy '", related, "' nhưng nó tham chiếu tới '", article, "' (Điều ", article, ") chưa được lấy.")
+    incoming = _said("'", article, "' (Điều ", article, ") tham chiếu áp dụng vào '", related, "' đã lấy, nhưng ", article, " chưa được lấy — có thể chứa hình phạt bổ sung/điều kiện liên quan.")
+    return F.when(F.col("direction") == "outgoing", outgoing).otherwise(incoming)
+
+
+def reason_of_compound() -> Column:
+    """Of a row of ``compound_penalties``. The sentence."""
+    return _said("Hành vi '", F.col("behaviour"), "' trong Điều ", F.col("article_id"), " có CẢ hình phạt chính lẫn bổ sung trong tri thức đồ thị — 2 phần này thường nằm ở 2 Khoản khác nhau nên top-k dễ chỉ lấy được 1 phần, cần lấy lại toàn văn Điều.")
+
+
+def reason_of_structure() -> Column:
+    """Of a row of ``structural_gaps``. The sentence."""
+    parts, got = F.col("parts").cast("string"), F.col("retrieved").cast("string")
+    return _said("Điều ", F.col("article_id"), " có ", parts, " Khoản/Điểm trong graph nhưng chỉ retrieve được ", got, " phần — nội dung liên quan có thể nằm ở Khoản/Điểm khác chưa lấy được, cần lấy lại toàn văn Điều.")
+
+
+def reasons(refs: DataFrame, compound: DataFrame, structural: DataFrame) -> DataFrame:
+    """query_id, kind (0 to 2), article_id, behaviour and reason of each suggestion; a structural one only if the article has no compound one."""
+    rest = structural.join(compound.select("query_id", "article_id").distinct(), ["query_id", "article_id"], "left_anti")
+    one = lambda df, kind, behaviour, reason: df.select("query_id", F.lit(kind).alias("kind"), "article_id", behaviour.alias("behaviour"), reason.alias("reason"))
+    return one(refs, 0, F.lit(""), reason_of_reference()).unionByName(one(compound, 1, F.col("behaviour"), reason_of_compound())).unionByName(one(rest, 2, F.lit(""), reason_of_structure()))
+
+
+def reader_report(queries: DataFrame, articles: DataFrame, why: DataFrame, labels: DataFrame) -> DataFrame:
+    """query_id and report, the text that a reader is shown: which articles were added and which were turned down, and why any were looked at.
+
+    queries: query_id and is_complete; articles: query_id, article_id and accepted; why: see ``reasons``; labels:
+    query_id, article_id and label, names that stand for ids, also within reasons, longer ids first. Queries with neither
+    articles nor reasons have an empty report.
+    """
+    names = labels.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-F.length("article_id")).alias("size"), "article_id", "label"))).alias("names"))
+    named = articles.join(labels, ["query_id", "article_id"], "left").select("query_id", "accepted", "article_id", F.coalesce("label", "article_id").alias("name"))
+    of = named.groupBy("query_id").agg(*(F.array_sort(F.collect_list(F.when(cond, F.struct("article_id", "name")))).alias(c) for c, cond in (("added", F.col("accepted")), ("refused", ~F.col("accepted")))))
+    told = why.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("kind", "article_id", "behaviour", "reason"))).alias("told"))
+    all_of = queries.select("query_id", "is_complete").distinct().join(of, "query_id", "left").join(told, "query_id", "left").join(names, "query_id", "left")
+    some = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
+    listed = lambda c, line: F.array_join(F.transform(c, line), "")
+
+    def plain(text: Column) -> Column:
+        replaced = F.aggregate("names", text, lambda t, x: F.replace(F.replace(t, F.concat(F.lit("Điều "), x["article_id"]), x["label"]), x["article_id"], x["label"]))
+        return F.when(F.col("names").isNull(), text).otherwise(replaced)
+
+    # The sentences of the report
+    name_line, count = lambda x: _said("\n- ", x["name"]), lambda c: F.size(c).cast("string")
+    added = _said("**Tìm kiếm ban đầu CHƯA ĐỦ → Critic Agent đã tự bổ sung.**\n\n✅ **Đã bổ sung toàn văn (", count("added"), " Điều):**", listed("added", name_line))
+    refused = _said("\n\n⛔ **Đã loại vì không liên quan tới câu hỏi (", count("refused"), " Điều):**", listed("refused", name_line))
+    signs = _said("\n\n📌 **Dấu hiệu thiếu mà Knowledge Graph phát hiện:**", listed("told", lambda x: _said("\n- ", plain(x["reason"]))))
+    flag = F.when(F.col("is_complete"), "True").when(~F.col("is_complete"), "False").otherwise("None")
+    note = _said("\n\n_Ghi chú kỹ thuật: is_complete=", flag, " — cờ này chấm bước tìm kiếm top-k BAN ĐẦU, không phải câu trả lời cuối, và không được tính lại sau khi Critic Agent bổ sung xong._")
+    text = F.concat(F.when(some("added"), added).otherwise("**Tìm kiếm ban đầu đã đủ — Critic Agent không phải bổ sung gì.**"), F.when(some("refused"), refused).otherwise(""), F.when(some("told"), signs).otherwise(""), note)
+    return all_of.select("query_id", F.when(some("added") | some("refused") | some("told"), text).otherwise("").alias("report"))
+
+
 def report_text(queries: DataFrame, refs: DataFrame, compound: DataFrame) -> DataFrame:
     """query_id and report, the text that a model is given: what is missing by references (see ``missing_references``), behaviours with two kinds of penalties (query_id and ``compound_penalties``), and what to fetch."""
-    article, related = F.col("article_id"), F.col("related")
+    article = F.col("article_id")
     # The sentences of the report
-    outgoing = F.concat(F.lit("Đã lấy '"), related, F.lit("' nhưng nó tham chiếu tới '"), article, F.lit("' (Điều "), article, F.lit(") chưa được lấy."))
-    incoming = F.concat(F.lit("'"), article, F.lit("' (Điều "), article, F.lit(") tham chiếu áp dụng vào '"), related, F.lit("' đã lấy, nhưng "), article, F.lit(" chưa được lấy — có thể chứa hình phạt bổ sung/điều kiện liên quan."))
-    twofold = F.concat(F.lit("Hành vi '"), F.col("behaviour"), F.lit("' trong Điều "), article, F.lit(" có CẢ hình phạt chính lẫn bổ sung trong tri thức đồ thị — 2 phần này thường nằm ở 2 Khoản khác nhau nên top-k dễ chỉ lấy được 1 phần, cần lấy lại toàn văn Điều."))
-    detail = F.concat(F.lit("• Điều "), article, F.lit(" - Hành vi: "), F.col("behaviour"), F.lit("\n  Chính: "), F.coalesce("main", F.lit("(không có trong graph)")), F.lit("\n  Bổ sung: "), F.coalesce("additional", F.lit("(không có trong graph)")))
-    lines = refs.select("query_id", F.struct(F.lit(0).alias("kind"), article.alias("article"), F.lit("").alias("behaviour"), F.when(F.col("direction") == "outgoing", outgoing).otherwise(incoming).alias("reason"), F.lit("").alias("detail")).alias("line"))
-    lines = lines.unionByName(compound.select("query_id", F.struct(F.lit(1).alias("kind"), article.alias("article"), "behaviour", twofold.alias("reason"), detail.alias("detail")).alias("line")))
+    detail = _said("• Điều ", article, " - Hành vi: ", F.col("behaviour"), "\n  Chính: ", F.coalesce("main", F.lit("(không có trong graph)")), "\n  Bổ sung: ", F.coalesce("additional", F.lit("(không có trong graph)")))
+    lines = refs.select("query_id", F.struct(F.lit(0).alias("kind"), article.alias("article"), F.lit("").alias("behaviour"), reason_of_reference().alias("reason"), F.lit("").alias("detail")).alias("line"))
+    lines = lines.unionByName(compound.select("query_id", F.struct(F.lit(1).alias("kind"), article.alias("article"), "behaviour", reason_of_compound().alias("reason"), detail.alias("detail")).alias("line")))
     of = lines.groupBy("query_id").agg(F.array_sort(F.collect_list("line")).alias("lines"))
     missed, both = F.filter("lines", lambda x: x["kind"] == 0), F.filter("lines", lambda x: x["kind"] == 1)
 

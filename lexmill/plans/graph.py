@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.functions.text import article_label
 from lexmill.operators import chunking as C
 from lexmill.operators import critic as K
 from lexmill.operators import graph_build as G
@@ -388,6 +389,34 @@ def critic_report(t: Tables) -> DataFrame:
     return K.report(t.kept("hits"), all_gaps(t))
 
 
+@query("reader_report", GAPS + """, why AS (SELECT query_id, 0 AS kind, article_id, '' AS behaviour, CASE WHEN d = 0 THEN 'Đã lấy ''' || related || ''' nhưng nó tham chiếu tới ''' || article_id || ''' (Điều ' || article_id || ') chưa được lấy.'
+ELSE '''' || article_id || ''' (Điều ' || article_id || ') tham chiếu áp dụng vào ''' || related || ''' đã lấy, nhưng ' || article_id || ' chưa được lấy — có thể chứa hình phạt bổ sung/điều kiện liên quan.' END AS reason FROM refs
+UNION ALL SELECT query_id, 1, article_id, behaviour, 'Hành vi ''' || behaviour || ''' trong Điều ' || article_id || ' có CẢ hình phạt chính lẫn bổ sung trong tri thức đồ thị — 2 phần này thường nằm ở 2 Khoản khác nhau nên top-k dễ chỉ lấy được 1 phần, cần lấy lại toàn văn Điều.' FROM {focus} JOIN cp USING (article_id)
+UNION ALL SELECT query_id, 2, article_id, '', 'Điều ' || article_id || ' có ' || parts || ' Khoản/Điểm trong graph nhưng chỉ retrieve được ' || retrieved || ' phần — nội dung liên quan có thể nằm ở Khoản/Điểm khác chưa lấy được, cần lấy lại toàn văn Điều.' FROM sg
+  WHERE (query_id, article_id) NOT IN (SELECT (query_id, article_id) FROM {focus} JOIN cp USING (article_id))),
+labelled AS (SELECT DISTINCT query_id, article_id, regexp_replace(content, '^\\[([^,]*), ([^]]*)\\].*$', '\\1 — \\2') AS label FROM gaps JOIN {article_text} USING (article_id)),
+listed AS (SELECT query_id, list({'a': article_id, 'b': label} ORDER BY length(article_id) DESC, article_id) AS names FROM labelled GROUP BY 1),
+named AS (SELECT query_id, article_id, accepted, coalesce(label, article_id) AS name FROM r1 LEFT JOIN labelled USING (query_id, article_id)),
+added AS (SELECT query_id, count(*) AS n, string_agg(chr(10) || '- ' || name, '' ORDER BY article_id) AS said FROM named WHERE accepted GROUP BY 1),
+refused AS (SELECT query_id, count(*) AS n, string_agg(chr(10) || '- ' || name, '' ORDER BY article_id) AS said FROM named WHERE NOT accepted GROUP BY 1),
+plain AS (SELECT query_id, kind, article_id, behaviour, list_reduce(list_prepend({'a': reason, 'b': ''}, coalesce(names, [])), lambda t, x: {'a': replace(replace(t.a, 'Điều ' || x.a, x.b), x.a, x.b), 'b': ''}).a AS reason FROM why LEFT JOIN listed USING (query_id)),
+told AS (SELECT query_id, string_agg(chr(10) || '- ' || reason, '' ORDER BY kind, article_id, behaviour) AS said FROM plain GROUP BY 1),
+q AS (SELECT DISTINCT query_id FROM {hits})
+SELECT q.query_id, CASE WHEN added.n IS NULL AND refused.n IS NULL AND told.said IS NULL THEN '' ELSE
+CASE WHEN added.n IS NULL THEN '**Tìm kiếm ban đầu đã đủ — Critic Agent không phải bổ sung gì.**' ELSE '**Tìm kiếm ban đầu CHƯA ĐỦ → Critic Agent đã tự bổ sung.**' || chr(10) || chr(10) || '✅ **Đã bổ sung toàn văn (' || added.n || ' Điều):**' || added.said END
+|| coalesce(chr(10) || chr(10) || '⛔ **Đã loại vì không liên quan tới câu hỏi (' || refused.n || ' Điều):**' || refused.said, '') || coalesce(chr(10) || chr(10) || '📌 **Dấu hiệu thiếu mà Knowledge Graph phát hiện:**' || told.said, '')
+|| chr(10) || chr(10) || '_Ghi chú kỹ thuật: is_complete=' || CASE WHEN q.query_id IN (SELECT query_id FROM gaps) THEN 'False' ELSE 'True' END || ' — cờ này chấm bước tìm kiếm top-k BAN ĐẦU, không phải câu trả lời cuối, và không được tính lại sau khi Critic Agent bổ sung xong._' END AS report
+FROM q LEFT JOIN added USING (query_id) LEFT JOIN refused USING (query_id) LEFT JOIN told USING (query_id)""")
+def reader_report(t: Tables) -> DataFrame:
+    focus, found = t.kept("focus"), all_gaps(t)
+    compound = focus.join(K.compound_penalties(focus.select("article_id").distinct(), t.kept("edges")), "article_id")
+    why = K.reasons(K.missing_references(focus, t.kept("hits"), t.kept("edges")), compound, K.structural_gaps(t.kept("hits"), focus, totals(t)))
+    texts = t.kept("article_text")
+    labels = found.select("query_id", "article_id").distinct().join(texts, "article_id").select("query_id", "article_id", article_label("article_id", "content").alias("label"))
+    whole = t.kept("hits").select("query_id").distinct().join(found.select("query_id").distinct().withColumn("is_complete", F.lit(False)), "query_id", "left").select("query_id", F.coalesce("is_complete", F.lit(True)).alias("is_complete"))
+    return K.reader_report(whole, K.round_one(found, t.kept("hits"), chunk_judgments(t), texts), cut(why), labels)
+
+
 @query("gate_apply", GAPS + "SELECT query_id, gap_type, article_id, by_text AS accepted FROM gt")
 def gate_apply(t: Tables) -> DataFrame:
     return K.gated(all_gaps(t), t.kept("judgments"), t.kept("article_text"))

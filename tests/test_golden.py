@@ -201,6 +201,24 @@ def test_report_text(spark):
     assert [x[:13] for x in got[1][-3:]] == ["1. [retrieve]", "2. [retrieve]", "3. [retrieve]"]
 
 
+def test_reader_report(spark):
+    """As the interface words it: what was added, what was turned down, why, with names in place of ids, longer ids first."""
+    queries = spark.createDataFrame([(1, False), (2, True), (3, False)], "query_id long, is_complete boolean")
+    refs = spark.createDataFrame([(1, "l_D16", "outgoing", "l_D1")], "query_id long, article_id string, direction string, related string")
+    compound = spark.createDataFrame([(1, "l_D1", "h1", "c1", "c2")], "query_id long, article_id string, behaviour string, main string, additional string")
+    structural = spark.createDataFrame([(1, "l_D1", 4, 1), (3, "l_D2", 5, 2)], "query_id long, article_id string, parts long, retrieved long")
+    articles = spark.createDataFrame([(1, "l_D16", True), (1, "l_D1", False)], "query_id long, article_id string, accepted boolean")
+    labels = spark.createDataFrame([(1, "l_D1", "Điều 1 — Luật"), (1, "l_D16", "Điều 16 — Luật")], "query_id long, article_id string, label string")
+    got = {r.query_id: r.report.split("\n") for r in K.reader_report(queries, articles, K.reasons(refs, compound, structural), labels).collect()}
+    assert got[2] == [""]
+    assert got[1][:9] == [
+        "**Tìm kiếm ban đầu CHƯA ĐỦ → Critic Agent đã tự bổ sung.**", "", "✅ **Đã bổ sung toàn văn (1 Điều):**", "- Điều 16 — Luật", "",
+        "⛔ **Đã loại vì không liên quan tới câu hỏi (1 Điều):**", "- Điều 1 — Luật", "", "📌 **Dấu hiệu thiếu mà Knowledge Graph phát hiện:**",
+    ]
+    assert got[1][9] == "- Đã lấy 'Điều 1 — Luật' nhưng nó tham chiếu tới 'Điều 16 — Luật' (Điều 16 — Luật) chưa được lấy." and got[1][10].startswith("- Hành vi 'h1' trong Điều 1 — Luật có CẢ") and len(got[1]) == 13
+    assert got[3][0] == "**Tìm kiếm ban đầu đã đủ — Critic Agent không phải bổ sung gì.**" and got[3][3].startswith("- Điều l_D2 có 5 Khoản/Điểm trong graph nhưng chỉ retrieve được 2 phần") and got[3][-1].startswith("_Ghi chú kỹ thuật: is_complete=False — ")
+
+
 def test_scalars_types_and_first_rows(spark):
     one = spark.createDataFrame([('{"type": "x", "id": "a", "n": 3, "none": null, "list": [1], "map": {"b": 1}, "ok": true}',)], "j string")
     assert one.select(S.scalar_props(F.from_json("j", "MAP<STRING, STRING>")).alias("p")).first().p == {"id": "a", "n": "3", "ok": "true"}
