@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.session import cut
+
 STRUCTURE = ("CO_KHOAN", "CO_DIEM")
 
 
@@ -31,15 +33,24 @@ def behaviour_profile(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out
 
 
-def closure(edges: DataFrame, starts: DataFrame, steps: int, rels: tuple[str, ...] = STRUCTURE, own: bool = True) -> DataFrame:
-    """starts (article_id) with each node_id that up to steps structure edges lead to (own: and with itself), each once."""
-    e = hop(edges, *rels).select(F.col("src").alias("node_id"), F.col("dst").alias("next_id"))
-    at = starts.select("article_id", F.col("article_id").alias("node_id"))
-    out = at if own else None
-    for _ in range(steps):
-        at = at.join(e, "node_id").select("article_id", F.col("next_id").alias("node_id")).distinct()
-        out = at if out is None else out.unionByName(at)
-    return out.distinct()
+def closure(edges: DataFrame, starts: DataFrame, steps: int | None, rels: tuple[str, ...] = STRUCTURE, own: bool = True) -> DataFrame:
+    """starts (article_id) with each node_id that up to steps structure edges (None: any number) lead to, each once; own: and with itself.
+
+    Only what a step has found for the first time goes on to the next one, so cycles end, and the loop stops where nothing
+    new is found. A start that a cycle leads back to counts as found. Steps are checkpointed: each plan is one join and one anti-join.
+    """
+    e = cut(hop(edges, *rels).select(F.col("src").alias("node_id"), F.col("dst").alias("next_id")))
+    new = starts.select("article_id", F.col("article_id").alias("node_id")).distinct()
+    known = new if own else new.limit(0)
+    step = 0
+    while steps is None or step < steps:
+        found = new.join(e, "node_id").select("article_id", F.col("next_id").alias("node_id")).distinct()
+        new = cut(found.join(known, ["article_id", "node_id"], "left_anti"))
+        if new.isEmpty():
+            break
+        known = known.unionByName(new)
+        step += 1
+    return known
 
 
 def article_context(nodes: DataFrame, edges: DataFrame) -> DataFrame:
