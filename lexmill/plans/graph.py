@@ -93,6 +93,7 @@ def graph_stats(t: Tables) -> DataFrame:
     return G.stats(t.nodes, t.edges)
 
 
+# The patterns of references once more, as the SQL engine of the comparison writes them
 KHOAN = r"(?i)khoản\s+([^\.;]{1,40}?)\s*Điều\s+(\d+[a-zA-Z]*|này)"
 OTHER = r"(?i)^\s*(?:của|thuộc)?\s*(?:Luật|Nghị định|Bộ luật|Pháp lệnh|Thông tư|Quyết định)"
 XREF = LAW_CTE + rf""", loc AS MATERIALIZED (SELECT doc_id, article AS own, content AS body,

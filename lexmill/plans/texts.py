@@ -14,6 +14,7 @@ from lexmill.sources import tables as S
 PROSE = C.Markers(article="^([AEIOU][a-z]?)", clause="^([BCDLMNPRST][a-z]?)", point="^([FGHJKQVWXYZ])", note="^Licen")
 #: The same patterns for DuckDB.
 PROSE_SQL = {"article": PROSE.article, "clause": PROSE.clause, "point": PROSE.point, "note": PROSE.note}
+# The markers of statutes once more, for the SQL to compare with
 STATUTE_SQL = {
     "article": r"(?i)^Điều\s+(\d+[a-zA-Z]*)", "clause": r"^(\d+)\.(?:\[\d+\]|\d+)?\s*.+", "point": r"(?i)^([a-zđ])\)(?:\[\d+\]|\d+)?\s*.+",
     "note": r"(?i)^(?:\d+\s+|\[\d+\]\s*)(?:Tên|Luật|Nghị định|Thông tư|Quyết định|Điểm|Khoản|Điều|Cụm từ|Từ|Các|Mục)(?:[^\p{L}\p{N}_]|$)",

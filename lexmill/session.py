@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where neither that nor a checkpoint folder is set (tests), a new local one."""
+    """The folder of spark.checkpoint.dir; where neither that nor a checkpoint folder is set, a new local one in local mode (tests), and an error on a cluster, whose machines don't share such a folder."""
     sc = spark.sparkContext
     if (kept := sc.getCheckpointDir()) is not None:
         return kept
     path = spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
     if not path:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         os.makedirs("/tmp/checkpoints", exist_ok=True)
         path = "file://" + tempfile.mkdtemp(dir="/tmp/checkpoints")
     sc.setCheckpointDir(path)
