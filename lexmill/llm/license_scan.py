@@ -62,7 +62,8 @@ def license_scan(docs: DataFrame) -> DataFrame:
     (``label@first byte+bytes`` in the text with whitespace runs as one space).
 
     Defined cases: null and empty texts have no words, empty label strings and score 0; rows with a null doc_id and
-    repeated rows are scanned like others; an empty table gives an empty table; other columns are ignored.
+    repeated rows are scanned like others; a very long text is scanned as a whole, by one task;
+    an empty table gives an empty table; other columns are ignored.
     """
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

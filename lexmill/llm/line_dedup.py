@@ -74,7 +74,8 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches:
     n_dropped, kept_sha256 and text (the kept lines, joined by a line feed).
 
     Defined cases: a null or empty text has one empty line; empty keys stay; a text that loses all its lines is empty;
-    repeated rows are documents of their own; rows with a null doc_id are cleaned like others; an empty table gives an
+    repeated rows are documents of their own; rows with a null doc_id are cleaned like others; a very long text is split and joined as a whole, by one task;
+    an empty table gives an
     empty table; other columns are ignored.
     """
     docs = columns(docs, doc_id="long", text="string")

@@ -207,7 +207,8 @@ def mixture(docs: DataFrame, targets: DataFrame | None = None, keep: float = 0.5
 
     Defined cases: a null source or lang is the empty one; null and empty texts have no tokens, are of topic 0, weigh
     nothing and are not taken, unless documents of their cell have tokens: then they share its probability; documents
-    with one doc_id share their chance, a null doc_id has one too; an empty table gives an empty table; other columns
+    with one doc_id share their chance, a null doc_id has one too; a very long text weighs what it has of words;
+    an empty table gives an empty table; other columns
     are ignored.
     """
     told = cut(described(docs, topics))

@@ -78,7 +78,8 @@ def shard_documents(docs: DataFrame, shards: int = 8, nodes: int = 128) -> DataF
     shard, slot (its place in the shard, without gaps from 0) and grown_shard (null: no promise of this law).
 
     Defined cases: a null text has size 1 and crc32 0; null doc_ids share a place on the ring; repeated rows get a slot
-    each; fewer rows than shards leave the last shards empty; an empty table gives an empty table; other columns are
+    each; fewer rows than shards leave the last shards empty; a very long text is a row like others, and stays out of all shuffles;
+    an empty table gives an empty table; other columns are
     ignored, and so is how many rows have the same text, since the text has no part in the place.
     """
     docs = columns(docs, doc_id="long", text="string")

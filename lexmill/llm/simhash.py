@@ -199,7 +199,8 @@ def simhash_components(docs: DataFrame, shingle: int = 4, budget: int = 4) -> Da
 
     Defined cases: null, empty and blank texts have fingerprint zero, linked like any other; a text of fewer words than
     shingle is one shingle; repeated rows (same doc_id and text) are one; a null doc_id is the smallest of a component
-    only if it has no other; an empty table gives an empty table; other columns are ignored.
+    only if it has no other; of a very long text all shingles count, by one task;
+    an empty table gives an empty table; other columns are ignored.
     """
     return _labelled(docs, shingle, budget).select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 

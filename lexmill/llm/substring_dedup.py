@@ -75,7 +75,8 @@ def substring_dedup(docs: DataFrame, width: int = 50, hot: int = 4096) -> DataFr
     joined by one space), text (those words) and spans (first word and number of words of each removed run).
 
     Defined cases: a null text has no words; texts under width words lose none; rows with a null doc_id lose none and
-    are no reference; rows that share a doc_id are no repetition of each other; an empty table gives an empty table;
+    are no reference; rows that share a doc_id are no repetition of each other; a very long text is a piece of its own;
+    an empty table gives an empty table;
     other columns are ignored.
     """
     k = kind(width, hot)

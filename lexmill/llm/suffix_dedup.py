@@ -138,7 +138,8 @@ def suffix_dedup(docs: DataFrame, width: int = 100, hot: int = 4096) -> DataFram
     may cut a character) and spans (first byte and length of each removed run).
 
     Defined cases: a null text is empty; texts under width bytes lose none; rows with a null doc_id lose none and are
-    no reference; rows that share doc_id and text count as one document; an empty table gives an empty table; other
+    no reference; rows that share doc_id and text count as one document; a very long text is a piece of its own;
+    an empty table gives an empty table; other
     columns are ignored.
     """
     k = kind(width, hot)
