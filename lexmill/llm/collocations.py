@@ -18,12 +18,17 @@ BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 INSIDE = ~BREAK
 INSIDE[[0x20, 0x09]] = False
 ODD = np.uint64(0xD6E8FEB86659FD93)
-RUNS = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("part", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
-HASHES = pa.schema([("h", pa.int64()), ("n", pa.int64())])
+RUNS = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("part", pa.int32()), ("phrases", pa.list_(pa.string())), ("n", pa.list_(pa.int64()))])
+HASHES = pa.schema([("block", pa.int64()), ("places", pa.binary()), ("counts", pa.binary())])
+BITS = pa.schema([("block", pa.int64()), ("bits", pa.binary())])
+COUNTS = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("phrase", pa.string()), ("f", pa.int64())])
 #: Bytes of text that are looked at together.
 PIECE = 1 << 20
 #: Two to this many bits are in the filter of a level, 8 MB, whatever the input.
 FILTER_BITS = 26
+#: Two to this many prefix partitions; 32 parts that the phrases of a language are dealt to.
+PART_BITS = 10
+SALTS = 32
 
 
 def phrase_hash(of_words: np.ndarray, langs: np.ndarray, k: int) -> np.ndarray:
@@ -38,13 +43,13 @@ def phrase_hash(of_words: np.ndarray, langs: np.ndarray, k: int) -> np.ndarray:
 class HatTrie:
     """Counts phrases of k words: nodes by language and word id above, hash containers of the remaining ids below.
 
-    A container that grows over ``burst`` phrases becomes a node, with a container for each next word. When there are more than
-    ``room`` phrases and words, the largest subtrees leave as sorted runs until half of that is left; if words alone
-    take that much, everything leaves, words too. ``spilled`` has the runs that left.
+    A container that grows over ``burst`` phrases becomes a node, with a container for each next word. ``shrink`` lets the
+    largest subtrees leave as sorted runs until half of the phrases are left; where words take as much room as phrases,
+    everything leaves, words too. ``spilled`` has the runs that left.
     """
 
-    def __init__(self, k: int, room: int = 400_000, burst: int = 4096) -> None:
-        self.k, self.room, self.burst = k, room, burst
+    def __init__(self, k: int, burst: int = 4096) -> None:
+        self.k, self.burst = k, burst
         self.spilled: list[pa.RecordBatch] = []
         self.clear()
 
@@ -93,16 +98,18 @@ class HatTrie:
             container.setdefault(key[:width], {})[key[width:]] = n
         self.nodes.add(id(container))
 
-    def make_room(self) -> None:
-        """Subtrees leave if there is too much; to be called when no ids are held outside."""
-        if self.size + len(self.words) <= self.room:
-            return
-        if 2 * len(self.words) > self.room:
+    def held(self) -> int:
+        return self.size + len(self.words)
+
+    def shrink(self) -> None:
+        """To be called when no ids are held outside."""
+        if len(self.words) >= self.size:
             self.flush()
             return
+        half = self.size // 2
         subtrees = [(len(run := list(self._entries(child, head))), lang, head, run) for lang, top in self.root.items() for head, child in self._children(top)]
         for n, lang, head, run in sorted(subtrees, key=lambda s: -s[0]):
-            if 2 * self.size <= self.room:
+            if self.size <= half:
                 break
             self._leave(lang, run)
             self._drop(lang, head)
@@ -145,10 +152,14 @@ class HatTrie:
         of = word_hashes(data, np.r_[0, ends[:-1]], ends)
         for j in range(min(self.k, 2)):
             h = mix(h * ODD + of[np.searchsorted(heads, ids[:, j])])
+        part = (h >> np.uint64(64 - PART_BITS)).astype(np.int64)
         phrases = [b" ".join([self.words[i] for i in row]) for row in ids.tolist()]
         order = sorted(range(len(run)), key=phrases.__getitem__)
-        part = (h >> np.uint64(33)).astype(np.int32)[order]
-        self.spilled.append(batch(RUNS, pa.array([lang] * len(run), pa.string()), [self.k] * len(run), part, pa.array([phrases[i] for i in order], pa.binary()).cast(pa.string()), [run[i][1] for i in order]))
+        order = np.array(order)[np.argsort(part[order], kind="stable")]
+        numbers, first = np.unique(part[order], return_index=True)
+        ends = pa.array(np.r_[first, len(order)].astype(np.int32))
+        texts, n = pa.array([phrases[i] for i in order.tolist()], pa.binary()).cast(pa.string()), pa.array([run[i][1] for i in order.tolist()], pa.int64())
+        self.spilled.append(batch(RUNS, pa.array([lang] * len(numbers), pa.string()), [self.k] * len(numbers), numbers, pa.ListArray.from_arrays(ends, texts), pa.ListArray.from_arrays(ends, n)))
 
 
 @dataclass
@@ -210,12 +221,62 @@ def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return key[first], np.add.reduceat(n, first) if len(first) else n
 
 
+def packed(keys: np.ndarray, counts: np.ndarray, most: int) -> pa.RecordBatch:
+    """Sorted 32-bit keys and their counts, a row for each block of 2**20 keys: how many there are in each sixteenth of the block, their last 16 bits, and counts up to most."""
+    block = (keys >> np.uint64(20)).astype(np.int64)
+    numbers, first = np.unique(block, return_index=True)
+    ends = np.r_[first[1:], len(keys)][: len(first)]
+    sixteenth = ((keys >> np.uint64(16)) & np.uint64(15)).astype(np.int64)
+    low, n = (keys & np.uint64(0xFFFF)).astype(np.uint16), np.minimum(counts, most).astype(np.uint32 if most > 255 else np.uint8)
+    places = [np.bincount(sixteenth[i:j], minlength=16).astype(np.uint32).tobytes() + low[i:j].tobytes() for i, j in zip(first.tolist(), ends.tolist(), strict=True)]
+    return batch(HASHES, numbers, pa.array(places, pa.binary()), pa.array([n[i:j].tobytes() for i, j in zip(first.tolist(), ends.tolist(), strict=True)], pa.binary()))
+
+
+def unpacked(places: bytes, counts: bytes, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the block, and counts."""
+    head = np.frombuffer(places, np.uint32, 16).astype(np.int64)
+    return (np.repeat(np.arange(16), head) << 16) + np.frombuffer(places, np.uint16, offset=64), np.frombuffer(counts, np.uint32 if most > 255 else np.uint8)
+
+
+def filter_of(parts: DataFrame, least: int) -> np.ndarray:
+    """The filter of the keys whose counts in all parts (see ``packed``) add up to least or more.
+
+    Blocks are dealt to tasks, which have the counts of one block at a time before them, 8 MB. At most 2 ** FILTER_BITS bits reach the
+    driver.
+    """
+    wide = FILTER_BITS - 12  # bits of the filter for one of 4096 blocks, as a power of two
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total = None, np.zeros(1 << 20, np.int64)
+
+        def finished() -> pa.RecordBatch:
+            bits = (total >= least).reshape(1 << wide, -1).any(1)
+            return batch(BITS, [at], pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()))
+
+        for rows in batches:
+            for block, places, counts in zip(*(rows.column(c).to_pylist() for c in ("block", "places", "counts")), strict=True):
+                if block != at:
+                    if at is not None:
+                        yield finished()
+                    at, total[:] = block, 0
+                place, n = unpacked(places, counts, least)
+                total[place] += n
+        if at is not None:
+            yield finished()
+
+    bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for r in parts.repartition("block").sortWithinPartitions("block").mapInArrow(summed, "block long, bits binary").collect():
+        own = np.frombuffer(bytes(r["bits"]), np.uint8)
+        bits[r["block"] * len(own) : (r["block"] + 1) * len(own)] = own
+    return bits
+
+
 def frequent_hashes(texts: DataFrame, k: int, known: Broadcast | None, least: int, room: int = 1 << 21) -> np.ndarray:
     """The filter of level k: a bit for each hash that at least so many phrases of k words have.
 
-    A phrase is hashed if the filter of level k - 1 (known) lets both its parts through. A task holds up to room hashes
-    with their counts, then hands them on. At most 2 ** FILTER_BITS bits reach the driver, in blocks of 4 KB. Where the
-    filter fills up, or hashes are equal, other phrases pass too, and are counted in vain; none is lost.
+    A phrase is hashed if the filter of level k - 1 (known) lets both its parts through; the first 32 bits count. A task
+    holds up to room hashes with their counts, then hands them on. Where the filter fills up, or hashes are equal, other
+    phrases pass too, and are counted in vain; none is lost.
     """
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,44 +287,49 @@ def frequent_hashes(texts: DataFrame, k: int, known: Broadcast | None, least: in
                 if k > 1:
                     parts = passing(known.value, phrase_hash(t.h, t.lang_hash, k - 1))
                     h = h[t.places(k, parts[:-1] & parts[1:])]
-                key, n = np.unique(h, return_counts=True)
+                key, n = np.unique(h >> np.uint64(32), return_counts=True)
                 keys.append(key)
                 counts.append(n)
                 size += len(key)
                 if size > room:
                     key, n = merged(keys, counts)
                     if 2 * len(key) > room:
-                        yield batch(HASHES, key.view(np.int64), n)
+                        yield packed(key, n, least)
                         key, n = key[:0], n[:0]
                     keys, counts, size = [key], [n], len(key)
         if keys:
-            key, n = merged(keys, counts)
-            yield batch(HASHES, key.view(np.int64), n)
+            yield packed(*merged(keys, counts), least)
 
-    often = texts.mapInArrow(hashed, "h long, n long").repartition("h").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    place = often.select((F.shiftrightunsigned("h", 64 - FILTER_BITS) + 1).alias("x"))
-    blocks = place.groupBy(F.bitmap_bucket_number("x").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
-    bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    for r in blocks.collect():
-        own = np.frombuffer(bytes(r["bits"]), np.uint8)
-        bits[(r["block"] - 1) * len(own) : r["block"] * len(own)] = own
-    return bits
+    return filter_of(texts.mapInArrow(hashed, "block long, places binary, counts binary"), least)
+
+
+def words_within(found: DataFrame) -> np.ndarray:
+    """The filter of the words that lie in phrases (lang, phrase)."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            if not len(rows):
+                continue
+            for t in tokenised(pa.RecordBatch.from_arrays([rows.column("lang"), rows.column("phrase")], names=["lang", "text"])):
+                yield packed(*np.unique(phrase_hash(t.h, t.lang_hash, 1) >> np.uint64(32), return_counts=True), 1)
+
+    return filter_of(found.select("lang", "phrase").mapInArrow(hashed, "block long, places binary, counts binary"), 1)
 
 
-def sorted_runs(texts: DataFrame, filters: list[Broadcast], room: int = 400_000) -> DataFrame:
-    """Sorted runs of the phrases that pass their level's filter, with their counts: lang, k, part (their prefix partition), phrase and n. And all words of a language, with k = 0 and no phrase."""
+def sorted_runs(texts: DataFrame, filters: dict[int, Broadcast], room: int = 400_000) -> DataFrame:
+    """Sorted runs of the phrases that pass their length's filter, with their counts: lang, k, part (their prefix partition), phrases and n. And all words of a language, with k = 0 and an empty phrase. The tries of a task hold room phrases and words at most, besides those of a piece of text."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tries, total = [HatTrie(k + 1, room // len(filters)) for k in range(len(filters))], {}
+        tries, total = [HatTrie(k) for k in sorted(filters)], {}
         for rows in batches:
             for t in tokenised(rows):
                 for c, n in zip(*np.unique(t.lang, return_counts=True), strict=True):
                     total[t.names[c]] = total.get(t.names[c], 0) + int(n)
                 raw = t.part.tobytes()
-                for trie, known in zip(tries, filters, strict=True):
+                for trie in tries:
                     k = trie.k
                     h = phrase_hash(t.h, t.lang_hash, k)
-                    at = t.places(k, passing(known.value, h))
+                    at = t.places(k, passing(filters[k].value, h))
                     if not len(at):
                         break  # parts of longer phrases would have passed
                     # words first: each once by its bytes, then phrases as rows of ids
@@ -277,33 +343,80 @@ def sorted_runs(texts: DataFrame, filters: list[Broadcast], room: int = 400_000)
                     for c in np.unique(t.lang[at]).tolist():
                         own = t.lang[at] == c
                         trie.add(t.names[c], phrases[own], n[own])
-                    trie.make_room()
+                # tries share the room
+                while sum(trie.held() for trie in tries) > room:
+                    trie = max(tries, key=HatTrie.held)
+                    trie.shrink()
                     while trie.spilled:
                         yield trie.spilled.pop()
         for trie in tries:
             trie.flush()
             yield from trie.spilled
-        yield batch(RUNS, pa.array(list(total), pa.string()), [0] * len(total), [0] * len(total), pa.nulls(len(total), pa.string()), list(total.values()))
+        yield batch(RUNS, pa.array(list(total), pa.string()), [0] * len(total), [0] * len(total), pa.array([[""]] * len(total), RUNS.field("phrases").type), [[n] for n in total.values()])
 
-    return texts.mapInArrow(counted, "lang string, k int, part int, phrase string, n long")
+    return texts.mapInArrow(counted, "lang string, k int, part int, phrases array<string>, n array<long>")
+
+
+def merged_runs(runs: DataFrame, least: int, most: int = 1 << 20) -> DataFrame:
+    """lang, k, phrase and f of the phrases whose counts in all runs add up to least or more, and the words of each language (k = 0).
+
+    Runs meet by prefix partition. A task merges one partition after the other, and has the different phrases of one of
+    them before it, and up to most entries of runs that aren't merged yet.
+    """
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, waiting, size = None, [], 0
+
+        def together() -> pa.Table:
+            return pa.concat_tables(waiting).group_by(["lang", "k", "phrase"]).aggregate([("f", "sum")]).rename_columns(COUNTS.names)
+
+        def finished() -> Iterator[pa.RecordBatch]:
+            whole = together()
+            keep = [f >= least or k == 0 for f, k in zip(whole.column("f").to_pylist(), whole.column("k").to_pylist(), strict=True)]
+            yield from whole.filter(pa.array(keep, pa.bool_())).cast(COUNTS).to_batches()
+
+        for rows in batches:
+            for i in range(len(rows)):
+                own = rows.column("part")[i].as_py()
+                if own != part:
+                    if waiting:
+                        yield from finished()
+                    part, waiting, size = own, [], 0
+                phrases, n = rows.column("phrases")[i].values, rows.column("n")[i].values
+                count = len(phrases)
+                waiting.append(pa.table([pa.repeat(rows.column("lang")[i], count), pa.repeat(rows.column("k")[i], count), phrases, n], schema=COUNTS))
+                size += count
+                if size > most:
+                    waiting, size = [together().cast(COUNTS)], 0
+        if waiting:
+            yield from finished()
+
+    return runs.repartition("part").sortWithinPartitions("part").mapInArrow(merge, "lang string, k int, phrase string, f long")
 
 
 def phrase_counts(docs: DataFrame, longest: int = 5, least: int = 100) -> tuple[DataFrame, DataFrame]:
-    """lang, phrase, k and f of all phrases of one to longest words found at least so often; and lang and n, all its words.
+    """lang, phrase, k and f of all phrases of two to longest words found at least so often, and of the words in them; and lang and n, all words of a language.
 
     A phrase can't be more frequent than its parts, so hashes are counted level by level, each level among what the one
-    before lets through. What passes is counted word by word in the tries of the tasks, all lengths in one pass; these leave sorted runs, which
-    meet by prefix partition and are merged there.
+    before lets through. What passes is counted word by word in the tries of the tasks, in one pass for all phrases and in one for the
+    words that these have; tries leave sorted runs, which meet by prefix partition and are merged there.
     """
     texts = columns(docs, lang="string", text="string").filter("text IS NOT NULL").withColumn("lang", F.coalesce("lang", F.lit("und")))
-    filters: list[Broadcast] = []
+    send = docs.sparkSession.sparkContext.broadcast
+    filters: dict[int, Broadcast] = {}
     for k in range(1, longest + 1):
-        filters.append(docs.sparkSession.sparkContext.broadcast(frequent_hashes(texts, k, filters[-1] if filters else None, least)))
-    of = sorted_runs(texts, filters).repartition("lang", "part").groupBy("lang", "part", "k", "phrase").agg(F.sum("n").alias("f"))
-    counts = cut(of.filter((F.col("f") >= least) | (F.col("k") == 0)).select("lang", "phrase", "k", "f"))
-    for known in filters:
-        known.destroy()
-    return counts.filter("k > 0"), counts.filter("k = 0").select("lang", F.col("f").alias("n"))
+        filters[k] = send(frequent_hashes(texts, k, filters.get(k - 1), least))
+    filters.pop(1).destroy()
+
+    def counted(known: dict[int, Broadcast]) -> DataFrame:
+        kept = cut(merged_runs(sorted_runs(texts, known), least).select("lang", "phrase", "k", "f"))
+        for b in known.values():
+            b.destroy()
+        return kept
+
+    found = counted(filters).filter("k > 0")
+    single = counted({1: send(words_within(found))})
+    return single.filter("k > 0").unionByName(found), single.filter("k = 0").select("lang", F.col("f").alias("n"))
 
 
 def collocations(docs: DataFrame, longest: int = 5, least: int = 100, most: int = 2000, inside: int = 100) -> DataFrame:
@@ -325,7 +438,10 @@ def collocations(docs: DataFrame, longest: int = 5, least: int = 100, most: int
     cuts = found.select("lang", "phrase", F.col("f").alias("a"), F.explode(F.sequence(F.lit(1), F.col("k") - 1)).alias("c"))
     cuts = cuts.select("*", F.array_join(F.slice(ws, F.lit(1), F.col("c")), " ").alias("left"), F.array_join(F.slice(ws, F.col("c") + 1, F.size(ws)), " ").alias("right"))
     of = lambda name, f: counts.select("lang", F.col("phrase").alias(name), F.col("f").alias(f))
-    cuts = cuts.join(of("left", "l"), ["lang", "left"]).join(of("right", "r"), ["lang", "right"]).join(totals, "lang")
+    # one language may have most phrases: its total is joined in parts
+    totals = totals.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    cuts = cuts.join(of("left", "l"), ["lang", "left"]).join(of("right", "r"), ["lang", "right"])
+    cuts = cuts.withColumn("salt", F.pmod(F.hash("phrase"), F.lit(SALTS))).join(totals, ["lang", "salt"]).drop("salt")
     wide = lambda c: F.col(c).cast("decimal(38,0)")
     cuts = cuts.withColumn("x", F.lit(1000) * wide("a") * wide("n")).withColumn("y", wide("l") * wide("r")).withColumn("score", F.expr("x div y"))
     weakest = cuts.groupBy("lang", "phrase").agg(F.min(F.struct("score", "c", "a", "l", "r", "n")).alias("m")).select("lang", "phrase", "m.*").drop("c")
@@ -334,7 +450,7 @@ def collocations(docs: DataFrame, longest: int = 5, least: int = 100, most: int
     longer = found.filter("k > 2").select("lang", sub.alias("phrase"), "f").groupBy("lang", "phrase").agg(F.max("f").alias("longer"))
     kept = weakest.join(longer, ["lang", "phrase"], "left").filter(F.coalesce(100 * F.col("longer") < inside * F.col("a"), F.lit(True)))
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    first = kept.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(32))).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).filter(F.col("rank") <= most)
+    first = kept.withColumn("salt", F.pmod(F.hash("phrase"), F.lit(SALTS))).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).filter(F.col("rank") <= most)
     ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).filter(F.col("rank") <= most)
     return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 

@@ -53,7 +53,7 @@ def test_tries_burst_and_spill_without_losing_a_count():
     rng = np.random.default_rng(6)
     ws = [f"w{i}".encode() for i in range(300)]
     whole, again = Counter(), Counter()
-    trie, bursts, spills = co.HatTrie(3, room=3000, burst=40), 0, 0
+    trie, bursts, spills = co.HatTrie(3, burst=40), 0, 0
     for _ in range(60):
         ids = trie.word_ids(ws)
         grams = np.unique((rng.zipf(1.3, (400, 3)) % 300), axis=0)
@@ -64,18 +64,18 @@ def test_tries_burst_and_spill_without_losing_a_count():
             own = grams[:, 0] % 2 == odd
             trie.add(lang, ids[grams[own]], n[own])
         bursts = max(bursts, len(trie.nodes))
-        trie.make_room()
-        spills += len(trie.spilled) > 0
-        assert trie.size + len(trie.words) <= 3000
+        before = len(trie.spilled)
+        while trie.held() > 3000:
+            trie.shrink()
+        spills += len(trie.spilled) > before
+        assert trie.words or not trie.size
     trie.flush()
-    for run in trie.spilled:
-        phrases = run.column("phrase").to_pylist()
-        assert phrases == sorted(phrases, key=str.encode)
-        again.update(dict(zip(zip(run.column("lang").to_pylist(), phrases, strict=True), run.column("n").to_pylist(), strict=True)))
     parts = {}
     for run in trie.spilled:
-        for phrase, part in zip(run.column("phrase").to_pylist(), run.column("part").to_pylist(), strict=True):
-            assert parts.setdefault(tuple(phrase.split()[:2]), part) == part
+        for r in run.to_pylist():
+            assert r["phrases"] == sorted(r["phrases"], key=str.encode)
+            again.update(dict(zip(((r["lang"], p) for p in r["phrases"]), r["n"], strict=True)))
+            assert all(parts.setdefault(tuple(p.split()[:2]), r["part"]) == r["part"] for p in r["phrases"])
     assert again == whole and bursts > 2 and spills > 1
 
 
@@ -86,15 +86,19 @@ def full():
 def test_words_alone_fill_the_trie(spark):
     rows = [("x", " ".join(f"u{i * 50 + j} rest of it" for j in range(50))) for i in range(40)]
     texts = spark.createDataFrame(rows, "lang string, text string").coalesce(1)
-    known = [spark.sparkContext.broadcast(full())]
-    runs = co.sorted_runs(texts, known, room=500).filter("k = 1").groupBy("phrase").sum("n").collect()
-    assert {r[0]: r[1] for r in runs} == Counter(w for _, t in rows for w in t.split())
+    known = {1: spark.sparkContext.broadcast(full())}
+    runs = co.sorted_runs(texts, known, room=500)
+    assert runs.filter("k = 1").count() > 30
+    for most in (7, 1 << 20):
+        got = {(r.k, r.phrase): r.f for r in co.merged_runs(runs, 1, most).collect()}
+        assert got == {(1, w): n for w, n in Counter(w for _, t in rows for w in t.split()).items()} | {(0, ""): 40 * 50 * 4}
 
 
 def test_a_full_filter_only_costs_work(spark, monkeypatch):
     rows = invented(5)
     docs = spark.createDataFrame(rows, "lang string, text string")
     monkeypatch.setattr(co, "frequent_hashes", lambda *_: full())
+    monkeypatch.setattr(co, "words_within", lambda *_: full())
     assert sorted(map(tuple, co.collocations(docs, least=20).collect())) == brute(rows, least=20)
 
 
@@ -103,7 +107,16 @@ def test_hashes_that_tasks_hand_on_in_parts_add_up(spark):
     texts = spark.createDataFrame(rows, "lang string, text string").repartition(2)
     count = Counter(w for _, t in rows for w in t.split())
     got, want = (co.frequent_hashes(texts, 1, None, 30, room) for room in (100, 1 << 21))
-    assert (got == want).all() and np.unpackbits(got).sum() == sum(n >= 30 for n in count.values()) > 5
+    assert (got == want).all() and (got == co.frequent_hashes(texts, 1, None, 30, 1 << 21)).all() and np.unpackbits(got).sum() == sum(n >= 30 for n in count.values()) > 5
+
+
+@pytest.mark.parametrize("most", [1, 255, 256, 100_000])
+def test_packed_hashes_come_back(most):
+    rng = np.random.default_rng(most)
+    keys = np.unique(np.r_[rng.integers(0, 1 << 32, 5000, np.uint64), np.arange(1 << 20, (1 << 20) + 300, dtype=np.uint64), np.uint64((1 << 32) - 1), np.uint64(0)])
+    n = rng.integers(1, 10**6, len(keys))
+    got = [(r["block"] << 20 | p, c) for r in co.packed(keys, n, most).to_pylist() for p, c in zip(*(x.tolist() for x in co.unpacked(r["places"], r["counts"], most)), strict=True)]
+    assert got == list(zip(keys.tolist(), np.minimum(n, most).tolist(), strict=True))
 
 
 def test_products_beyond_64_bits(spark, monkeypatch):
