@@ -108,17 +108,19 @@ class HatTrie:
             return
         half = self.size // 2
         subtrees = [(len(run := list(self._entries(child, head))), lang, head, run) for lang, top in self.root.items() for head, child in self._children(top)]
+        leaving: dict[str, list[tuple[bytes, int]]] = {}
         for n, lang, head, run in sorted(subtrees, key=lambda s: -s[0]):
             if self.size <= half:
                 break
-            self._leave(lang, run)
+            leaving.setdefault(lang, []).extend(run)
             self._drop(lang, head)
             self.size -= n
+        for lang, run in leaving.items():
+            self._leave(lang, run)
 
     def flush(self) -> None:
         for lang, top in self.root.items():
-            for head, child in self._children(top):
-                self._leave(lang, list(self._entries(child, head)))
+            self._leave(lang, list(self._entries(top, b"")))
         self.clear()
 
     def _children(self, top: dict) -> list[tuple[bytes, dict]]:
