@@ -85,3 +85,19 @@ def test_one_changed_word(spark):
         conversations = spark.createDataFrame([(1, 0, x), (2, 0, x.replace("about", "as to"))], "conv_id long, turn long, text string")
 
     assert (1000, 2000) in {(r.a, r.b) for r in evals.near_dups(Tables()).collect()}
+
+
+def test_texts_that_differ_leave_no_candidates(spark):
+    """Long texts of few syllables: every pair shares segments, but only copies have a common subsequence that is long enough; texts are dealt to several blocks."""
+    rng = random.Random(7)
+    syllables = ["the", "an", "er", "tion", "on", "re", "ing", "ha", "ou", "at", "sh", "en", "or", "ed", "nd"]
+    rows = [(i, " ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(150))) for i in range(60)]
+    rows += [(1000 + i, "Zz " + t.replace("tion", "tiom", 3) + "\U0001f600é") for i, t in rows[:20]]
+    sized = spark.createDataFrame(rows, "id long, text string")
+    want = {(i, 1000 + i) for i in range(20)}
+    before, E.BLOCK_TEXTS = E.BLOCK_TEXTS, 9
+    try:
+        assert {(r.a, r.b) for r in E.segment_candidates(sized, 0.9).collect()} == want
+    finally:
+        E.BLOCK_TEXTS = before
+    assert {(r.a, r.b) for r in E.ratio_duplicates(sized).collect()} <= want
