@@ -95,9 +95,14 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("doc_id", text_key().alias("node"), "text").mapInArrow(signed_rows, "doc_id long, node long, bands array<long>")
 
 
-def met_in_tries(docs: DataFrame, shingle: int, budget: int = 4) -> DataFrame:
+def text_prints(docs: DataFrame, shingle: int) -> DataFrame:
+    """node and fp, the SimHash fingerprint, of each text."""
+    return cut(fingerprints(docs, shingle).select(F.col("copy").alias("node"), F.col("fingerprint").alias("fp")).distinct())
+
+
+def met_in_tries(docs: DataFrame, shingle: int, budget: int = 4, prints: DataFrame | None = None) -> DataFrame:
     """a and b: texts whose SimHash fingerprints the trie self-join links (budget differing bits), and each text and the one that stands for its fingerprint."""
-    prints = cut(fingerprints(docs, shingle).select(F.col("copy").alias("node"), F.col("fingerprint").alias("fp")).distinct())
+    prints = text_prints(docs, shingle) if prints is None else prints
     heads = cut(prints.groupBy("fp").agg(F.min("node").alias("head")))
     same = prints.join(heads, "fp").filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
     near = links(heads.select("fp"), budget)
@@ -105,28 +110,48 @@ def met_in_tries(docs: DataFrame, shingle: int, budget: int = 4) -> DataFrame:
     return same.unionByName(near.join(of[0], "a").join(of[1], "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b")))
 
 
-def verified_links(docs: DataFrame, signed: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """a and b, of texts that met in a trie or a band and whose sets of shingles are as similar as that or more.
+def ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    All texts of a band's key are compared with one of them, another for each key that they share, so a large group of
-    near copies isn't squared.
-    """
-    banded = signed.select("node", "bands").dropDuplicates(["node"]).select("node", F.explode("bands").alias("key"))
-    leaders = banded.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "node"), "node")).alias("most"), F.count("*").alias("n")).filter("n > 1").select("key", F.col("most.node").alias("leader"))
-    met = banded.join(leaders, "key").filter("node <> leader")
-    met = met.select(F.col("node").alias("a"), F.col("leader").alias("b")).unionByName(met_in_tries(docs, shingle))
-    pairs = cut(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    release(docs.sparkSession)
+
+def verified(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of pairs (a, b) of texts whose sets of shingles are as similar as that or more."""
     named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     texts = cut(docs.select(text_key().alias("node"), "text").join(named, "node", "left_semi").dropDuplicates(["node"]))
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return jaccard(both, shingle).filter(F.col("similarity") >= similarity).select("a", "b")
+    return cut(jaccard(both, shingle).filter(F.col("similarity") >= similarity).select("a", "b"))
+
+
+def still_apart(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs a < b of texts that share a key (key, node) and are of different components (node, label; a text alone is one)."""
+    labelled = shared.join(found, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most").select("key")
+    rest = cut(labelled.join(mixed, "key", "left_semi"))
+    other = rest.select("key", F.col("node").alias("b"), F.col("label").alias("label_b"))
+    return ordered(rest.withColumnRenamed("node", "a").join(other, "key").filter(F.col("label") < F.col("label_b")))
 
 
 def text_groups(docs: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """doc_id and node of each row of docs (doc_id, text), and the label of each node that has links to others."""
+    """doc_id and node of each row of docs (doc_id, text), and the label of each node that has links to others.
+
+    Keys are those of bands and fingerprints. First all texts of a key are compared with one of them, another for each key that
+    they share, so a large group of near copies isn't squared. Then all texts of a key that aren't of one component yet are
+    compared with each other, so no link between components is left out.
+    """
     signed = cut(signatures(docs, shingle))
-    found = components(cut(verified_links(docs, signed, shingle, similarity)))
+    prints = text_prints(docs, shingle)
+    banded = signed.select("node", "bands").dropDuplicates(["node"]).select("node", F.explode("bands").alias("key")).unionByName(prints.select("node", F.xxhash64(F.lit("fp"), "fp").alias("key")))
+    leaders = banded.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "node"), "node")).alias("most"), F.count("*").alias("n")).filter("n > 1").select("key", F.col("most.node").alias("leader"))
+    shared = cut(banded.join(leaders, "key"))
+    met = shared.filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    pairs = cut(ordered(met.unionByName(met_in_tries(docs, shingle, prints=prints))))
+    release(docs.sparkSession)
+    found = components(verified(docs, pairs, shingle, similarity))
+    more = cut(still_apart(shared.select("key", "node"), found).join(pairs, ["a", "b"], "left_anti"))
+    if not more.isEmpty():
+        between = verified(docs, more, shingle, similarity)
+        if not between.isEmpty():
+            found = components(cut(found.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(between)))
     return signed.select("doc_id", "node"), found
 
 
@@ -135,6 +160,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
 
     Candidates are texts whose SimHash fingerprints a trie self-join links, and texts that meet in a band of MinHash
     minima: at a similarity of 0.8 fingerprints differ in about ten bits, so SimHash alone finds the closest copies only.
+    Of texts that meet all pairs are compared, but for those that other links have put into one component already.
     Each link is verified on the whole sets of shingles.
 
     Defined cases: words are those of ``simhash``; texts without words are alike; a text of fewer words than shingle is

@@ -1,6 +1,6 @@
 import random
 
-from lexmill.llm.near_copies import met_in_tries, near_copies, without_near_copies
+from lexmill.llm.near_copies import met_in_tries, near_copies, still_apart, without_near_copies
 
 
 def test_near_copies(spark):
@@ -59,3 +59,33 @@ def test_tries_meet_the_closest(spark):
     base = [[rng.choice(vocab) for _ in range(600)] for _ in range(20)]
     docs = [(2 * i + k, " ".join([*w[:-1], "end"] if k else w)) for i, w in enumerate(base) for k in (0, 1)]
     assert met_in_tries(spark.createDataFrame(docs, "doc_id long, text string"), 5).count() >= 15
+
+
+def test_links_beside_the_leader(spark):
+    """Texts that share a key with one that stands for it are linked to each other too, where they are similar to each other and not to it."""
+    found = spark.createDataFrame([(1, 1), (2, 1)], "node long, label long")
+    shared = spark.createDataFrame([(7, 1), (7, 2), (7, 3), (7, 4), (8, 1), (8, 2), (9, 5)], "key long, node long")
+    assert {(r.a, r.b) for r in still_apart(shared, found).collect()} == {(1, 3), (1, 4), (2, 3), (2, 4), (3, 4)}
+
+
+def test_no_pair_of_the_similarity_is_left_apart(spark):
+    """Families of texts around the similarity, so that many that meet aren't linked: the components are those of all pairs."""
+    rng = random.Random(12)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(3000)]
+    texts = []
+    for _ in range(12):
+        base = [rng.choice(vocab) for _ in range(100)]
+        for _ in range(25):
+            w = list(base)
+            for _ in range(rng.randint(1, 5)):
+                w[rng.randrange(len(w))] = rng.choice(vocab)
+            texts.append(" ".join(w))
+    sets = [shingle_set(t) for t in texts]
+    label = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if label[a] != label[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = [new if x == old else x for x in label]
+    got = {r.doc_id: r.component_id for r in near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(label)) and 12 < len(set(label)) < 290
