@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import BASE, LOWER, SPACE, batch, columns, cut, keyed_rows, mix, pieces, release, utf8, word_hashes, words
@@ -19,6 +19,11 @@ BANDS, ROWS = 20, 6
 SEEDS = np.random.default_rng(20250101).integers(1, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 SIGNED = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("bands", pa.list_(pa.int64()))])
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
+SETS = pa.schema([("node", pa.int64()), ("label", pa.int64()), ("hashes", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
+#: Words of 64 bits in which a set of shingles is sketched.
+SKETCH = 8
+#: Of a key with up to so many texts all pairs are compared; of others, those that a bound on their shingles lets through.
+SMALL_KEY = 16
 
 
 def shingles(part: np.ndarray, edges: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,13 +127,58 @@ def verified(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float)
     return cut(jaccard(both, shingle).filter(F.col("similarity") >= similarity).select("a", "b"))
 
 
+def mixed_keys(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """key, node, label and n, the number of texts of the key, of keys (key, node) with texts of different components (node, label; a text alone is one)."""
+    labelled = shared.join(found, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n")).filter("least < most").select("key", "n")
+    return cut(labelled.join(mixed, "key"))
+
+
 def still_apart(shared: DataFrame, found: DataFrame) -> DataFrame:
     """Pairs a < b of texts that share a key (key, node) and are of different components (node, label; a text alone is one)."""
-    labelled = shared.join(found, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most").select("key")
-    rest = cut(labelled.join(mixed, "key", "left_semi"))
+    rest = mixed_keys(shared, found)
     other = rest.select("key", F.col("node").alias("b"), F.col("label").alias("label_b"))
-    return ordered(rest.withColumnRenamed("node", "a").join(other, "key").filter(F.col("label") < F.col("label_b")))
+    return ordered(rest.select("key", F.col("node").alias("a"), "label").join(other, "key").filter(F.col("label") < F.col("label_b")))
+
+
+def shingle_sets(docs: DataFrame, named: DataFrame, shingle: int) -> DataFrame:
+    """node, label, hashes (the different ones of the shingles) and bits of the texts named (node, label). A bit says whether an odd number of the hashes have its place."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            data, off = utf8(rows.column("text"))
+            for i, j in pieces(off):
+                h, begin = shingles(data[off[i] : off[j]], off[i : j + 1] - off[i], shingle)
+                own = [np.unique(h[x:y]).view(np.int64) for x, y in zip(begin[:-1], begin[1:], strict=True)]
+                ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
+                odd = [np.packbits(np.bincount(x & (64 * SKETCH - 1), minlength=64 * SKETCH).astype(np.uint8) & 1).view(np.int64) for x in own]
+                lists = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), pa.array(np.concatenate(x))) for e, x in ((ends, own), (np.arange(len(own) + 1) * SKETCH, odd))]
+                yield batch(SETS, rows.column("node").slice(i, j - i), rows.column("label").slice(i, j - i), *lists)
+
+    texts = docs.select(text_key().alias("node"), "text").join(named, "node").dropDuplicates(["node"])
+    return texts.select("node", "label", "text").mapInArrow(sets, "node long, label long, hashes array<long>, bits array<long>")
+
+
+def may_be_similar(sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs a < b of texts (see ``shingle_sets``) of different labels that may be as similar as that: all that are, and few others.
+
+    Only what texts of different labels have can be shared by a pair. A text's shingles of that kind are put in one order,
+    the rarest first. Of a similar pair, of m and n shingles, at least similarity / (1 + similarity) * (m + n) are shared.
+    So many must be left in both texts from the first shared one on, which therefore is near the beginning, where shingles
+    are rare: most near copies with own changes don't meet, however many there are. Of those that do, no more shingles than
+    the rest are only one's own, and each of these changes one bit of the sketches at most.
+    """
+    share = similarity / (1 + similarity)
+    each = sets.select("node", "label", "bits", F.size("hashes").alias("size"), F.explode("hashes").alias("hash"))
+    common = each.groupBy("hash").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most").select("hash", "n")
+    left = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), F.desc("hash")))
+    # a millionth less, so that no rounding loses a pair at the limit
+    first = cut(each.join(common, "hash").withColumn("left", left + 1e-6).filter(F.col("left") >= similarity * F.col("size")).drop("n"))
+    smaller = first.filter(F.col("left") >= 2 * share * F.col("size")).select("hash", *(F.col(c).alias(f"{c}_b") for c in ("node", "label", "size", "left", "bits")))
+    both = F.col("size") + F.col("size_b")
+    differ = sum((F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("bits_b")[k])) for k in range(1, SKETCH)), F.bit_count(F.col("bits")[0].bitwiseXOR(F.col("bits_b")[0])))
+    met = first.join(smaller, "hash").filter("label <> label_b AND struct(size, node) > struct(size_b, node_b)").filter((F.least("left", "left_b") >= share * both) & (differ <= (1 - 2 * share) * both + 1e-6))
+    return ordered(met.select(F.col("node").alias("a"), F.col("node_b").alias("b")))
 
 
 def text_groups(docs: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
@@ -136,7 +186,7 @@ def text_groups(docs: DataFrame, shingle: int, similarity: float) -> tuple[DataF
 
     Keys are those of bands and fingerprints. First all texts of a key are compared with one of them, another for each key that
     they share, so a large group of near copies isn't squared. Then all texts of a key that aren't of one component yet are
-    compared with each other, so no link between components is left out.
+    compared with each other, so no link between components is left out; in keys of many texts, all that ``may_be_similar``.
     """
     signed = cut(signatures(docs, shingle))
     prints = text_prints(docs, shingle)
@@ -147,7 +197,10 @@ def text_groups(docs: DataFrame, shingle: int, similarity: float) -> tuple[DataF
     pairs = cut(ordered(met.unionByName(met_in_tries(docs, shingle, prints=prints))))
     release(docs.sparkSession)
     found = components(verified(docs, pairs, shingle, similarity))
-    more = cut(still_apart(shared.select("key", "node"), found).join(pairs, ["a", "b"], "left_anti"))
+    rest = mixed_keys(shared.select("key", "node"), found)
+    few, many = (rest.filter(F.col("n") <= SMALL_KEY).select("key", "node"), rest.filter(F.col("n") > SMALL_KEY).select("node", "label").distinct())
+    apart = still_apart(few, found).unionByName(may_be_similar(shingle_sets(docs, many, shingle), similarity)).distinct()
+    more = cut(apart.join(pairs, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         between = verified(docs, more, shingle, similarity)
         if not between.isEmpty():

@@ -1,6 +1,8 @@
 import random
 
-from lexmill.llm.near_copies import met_in_tries, near_copies, still_apart, without_near_copies
+from pyspark.sql import functions as F
+
+from lexmill.llm.near_copies import may_be_similar, met_in_tries, near_copies, shingle_sets, still_apart, text_key, without_near_copies
 
 
 def test_near_copies(spark):
@@ -89,3 +91,31 @@ def test_no_pair_of_the_similarity_is_left_apart(spark):
                 label = [new if x == old else x for x in label]
     got = {r.doc_id: r.component_id for r in near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got == dict(enumerate(label)) and 12 < len(set(label)) < 290
+
+
+def test_bound_on_shingles(spark):
+    """All pairs of the similarity come through, and a large group of copies with own changes doesn't meet."""
+    rng = random.Random(21)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(3000)]
+    base = [rng.choice(vocab) for _ in range(200)]
+    texts = [" ".join(base)]
+    for k in range(120):
+        w = list(base) if k % 2 else list(base[: rng.randint(160, 200)])
+        for _ in range(rng.randint(5, 9) if k < 100 else rng.randint(0, 5)):
+            w[rng.randrange(len(w))] = rng.choice(vocab)
+        texts.append(" ".join(w))
+    texts = list(dict.fromkeys(texts))
+    sets = [shingle_set(t) for t in texts]
+    want = {(a, b) for b in range(len(sets)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("node", text_key())
+    of = {r.node: r.doc_id for r in docs.collect()}
+    made = shingle_sets(docs, docs.select("node", F.col("doc_id").alias("label")), 5)
+    got = [tuple(sorted((of[r.a], of[r.b]))) for r in may_be_similar(made, 0.8).collect()]
+    assert want <= set(got) and len(want) > 20 and len(got) == len(set(got)) < 2 * len(want)
+    assert may_be_similar(made.withColumn("label", F.lit(0)), 0.8).collect() == []
+
+
+def test_crowded_keys(spark, monkeypatch):
+    """Without keys of few texts, so that all links beside leaders come through the bound, components are those of all pairs too."""
+    monkeypatch.setattr("lexmill.llm.near_copies.SMALL_KEY", 1)
+    test_no_pair_of_the_similarity_is_left_apart(spark)
