@@ -1,6 +1,10 @@
 """Chunking keeps few sorted copies of a document's lines, and splits lines as ever."""
 
 from lexmill.operators import chunking as C
+from lexmill.plans import texts
+from lexmill.plans.registry import Tables
+
+DIR = "/root/testdata/sf0.001"
 
 LINES = [
     "preface", "Điều 1. A", "1. x", "a) p", "tail", "2. y", "b) q", "Điều 2. alone", "Điều 1. again", "text", "a) without clause", "1. z", "1. z again", "Điều 3", "[9] Khoản này", "Điều 4. gone",
@@ -23,3 +27,13 @@ def test_chunks(spark):
 def test_few_sorts(spark):
     plan = C.chunks(law(spark), C.STATUTE)._jdf.queryExecution().executedPlan().toString()
     assert plan.split("== Initial Plan ==")[-1].count("Sort [") <= 3
+
+
+def test_partitions_grow_with_the_input(spark, monkeypatch):
+    monkeypatch.setattr(texts, "ROWS_A_TASK", 500)
+    t = Tables(spark, DIR)
+    n = -(-t.lineitem.count() // 500)
+    plan = texts.law_chunks(t)._jdf.queryExecution().optimizedPlan().toString()
+    assert n > 4 and "RepartitionByExpression [doc_id" in plan and f"], {n}" in plan
+    few = C.by_document(t.statute_lines, 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "], 4" in few
