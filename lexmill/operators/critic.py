@@ -18,7 +18,7 @@ def article_of(node: Column) -> Column:
 
 def article_edges(edges: DataFrame) -> DataFrame:
     """References lifted to articles, without those of an article to itself."""
-    e = hop(edges, "THAM_CHIEU").select(article_of(F.col("src")).alias("a"), article_of(F.col("dst")).alias("b"))
+    e = edges.filter("rel = 'THAM_CHIEU'").select(article_of(F.col("src")).alias("a"), article_of(F.col("dst")).alias("b"))
     return e.filter("a <> '' AND b <> '' AND a <> b").distinct()
 
 
@@ -40,7 +40,7 @@ def compound_penalties(articles: DataFrame, edges: DataFrame) -> DataFrame:
         own = hop(edges, rel).groupBy(F.col("src").alias("behaviour")).agg(joined("dst").alias(name))
         lists = own if lists is None else lists.join(own, "behaviour")
     below = closure(edges, articles, 4)
-    regulated = hop(edges, "QUY_DINH_HANH_VI").select(F.col("src").alias("node_id"), F.col("dst").alias("behaviour"))
+    regulated = edges.filter("rel = 'QUY_DINH_HANH_VI'").select(F.col("src").alias("node_id"), F.col("dst").alias("behaviour"))
     # only behaviours with both lists are carried on
     return below.join(regulated.join(lists, "behaviour"), "node_id").select("article_id", "behaviour", "main", "additional").distinct()
 

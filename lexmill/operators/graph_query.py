@@ -39,7 +39,7 @@ def closure(edges: DataFrame, starts: DataFrame, steps: int | None, rels: tuple[
     Only what a step has found for the first time goes on to the next one, so cycles end, and the loop stops where nothing
     new is found. A start that a cycle leads back to counts as found. Steps are checkpointed: each plan is one join and one anti-join.
     """
-    e = cut(hop(edges, *rels).select(F.col("src").alias("node_id"), F.col("dst").alias("next_id")))
+    e = cut(edges.filter(F.col("rel").isin(*rels)).select(F.col("src").alias("node_id"), F.col("dst").alias("next_id")))
     new = starts.select("article_id", F.col("article_id").alias("node_id")).distinct()
     known = new if own else new.limit(0)
     step = 0
