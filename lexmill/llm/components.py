@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import cut, release
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+def _kept(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """edges in the checkpoint folder, and what shows whether a round changed them: counted while they are written, not by a job of its own."""
+    seen = Observation()
+    kept = cut(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("of")))
+    return kept, (seen.get["n"], seen.get["of"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,20 +20,19 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round links every node's larger neighbours, then its smaller ones, to the smallest that it knows of. The edges
     stay as many and turn into stars within a few rounds (a power of the logarithm of the longest path); no group is
-    gathered in one row, and each round is kept in the checkpoint folder. An empty table gives an empty one.
+    gathered in one row, and each round is kept in the checkpoint folder. A round is four shuffles of its edges and a
+    stage that writes it, since edges are dealt by node before they are aggregated, joined and made distinct. An empty table gives an empty one.
     """
-    edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = cut(edges)
-    before = _state(edges)
+    edges, before = _kept(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while before[0]:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = edges.select(F.explode(ways).alias("e")).select("e.a", "e.b").repartition("a")
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        larger = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        larger = both.join(least.hint("merge"), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).repartition("a").distinct()
         least = larger.groupBy("a").agg(F.min("b").alias("m"))
-        smaller = larger.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        edges = cut(smaller)
+        smaller = larger.join(least.hint("merge"), "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        edges, after = _kept(smaller)
         release(edges.sparkSession)
-        after = _state(edges)
         if after == before:
             break
         before = after
