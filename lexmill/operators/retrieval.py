@@ -16,6 +16,8 @@ from lexmill.session import cut
 QUERY_BLOCK = 4096
 #: Vectors that a block of queries is compared with at once.
 VECTOR_BLOCK = 1024
+#: Rows of query terms up to which they are sent to all tasks, so that the index isn't shuffled by term; more are joined by shuffles.
+SENT_TERMS = 1_000_000
 
 
 def tokenised(texts: DataFrame, key: str) -> DataFrame:
@@ -60,10 +62,10 @@ def fitted(texts: DataFrame, key: str) -> tuple[DataFrame, dict[str, DataFrame]]
     return counts, index_statistics(counts, texts)
 
 
-def encoded(counts: DataFrame, key: str, statistics: dict[str, DataFrame], k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """key, term and weight, where positive, of the terms that the statistics know. The texts that were counted need not be among those of the statistics."""
+def encoded(counts: DataFrame, key: str, statistics: dict[str, DataFrame], k1: float = 1.5, b: float = 0.75, lengths: DataFrame | None = None) -> DataFrame:
+    """key, term and weight, where positive, of the terms that the statistics know. The texts that were counted need not be among those of the statistics. lengths (key, dl) stand for the sums of tf, where counts haven't all terms."""
     doc_count, avgdl = corpus_stats(statistics)
-    lengths = counts.groupBy(key).agg(F.sum("tf").alias("dl"))
+    lengths = counts.groupBy(key).agg(F.sum("tf").alias("dl")) if lengths is None else lengths
     weighed = counts.join(idf(statistics, doc_count), "term").join(lengths, key)
     w = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl or 1.0)))
     return weighed.select(key, "term", w.alias("weight")).filter("weight > 0")
@@ -83,6 +85,26 @@ def bm25_weights(texts: DataFrame, key: str, k1: float = 1.5, b: float = 0.75) -
     return encoded(counts, key, statistics, k1, b)
 
 
+def sent(terms: DataFrame) -> DataFrame:
+    """terms, to be sent to all tasks if they are few enough."""
+    return F.broadcast(terms) if terms.count() <= SENT_TERMS else terms
+
+
+def asked_weights(texts: DataFrame, key: str, terms: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """``bm25_weights`` of those terms (term) alone: each text is tokenised whole, and what isn't asked for counts in its length only."""
+    terms = cut(terms.select("term").distinct())
+    # no term is empty: that row of each text carries its length
+    tokens_ = F.coalesce("tokens", F.array().cast("array<string>"))
+    each = tokenised(texts, key).select(key, F.size(tokens_).alias("n"), F.explode(F.concat(F.array(F.lit("")), tokens_)).alias("term"))
+    wanted = sent(terms.unionByName(terms.sparkSession.createDataFrame([("",)], "term string")))
+    counts = cut(each.join(wanted, "term", "left_semi").groupBy(key, "term").agg(F.count("*").alias("tf"), F.sum(F.when(F.col("term") == "", F.col("n"))).alias("dl")))
+    whole, counts = counts.filter("term = ''"), counts.filter("term <> ''").select(key, "term", "tf")
+    totals = whole.agg(F.sum("tf").alias("docs"), F.sum("dl").alias("tokens"))
+    # lengths are joined by shuffles: weights then lie together by key, and the scores of a key are added up where they lie
+    known = cut(counts.groupBy("term").agg(F.count("*").alias("df")))
+    return encoded(counts, key, {"terms": sent(known), "totals": totals}, k1, b, whole.select(key, "dl").hint("merge"))
+
+
 def query_vectors(queries: DataFrame, weights: DataFrame) -> DataFrame:
     """query_id, term and tf of the terms that the index knows."""
     return term_counts(queries, "query_id").join(weights.select("term").distinct(), "term", "left_semi").select("query_id", "term", "tf")
@@ -97,7 +119,7 @@ def top(scored: DataFrame, key: str, n: int) -> DataFrame:
 
 def sparse_topk(queries: DataFrame, weights: DataFrame, key: str, n: int) -> DataFrame:
     """query_id, key, score and rank by the sum of tf x weight over shared terms."""
-    shared = term_counts(queries, "query_id").join(weights, "term")
+    shared = sent(cut(term_counts(queries, "query_id"))).join(weights, "term")
     return top(shared.groupBy("query_id", key).agg(F.sum(F.col("tf") * F.col("weight")).alias("score")), key, n)
 
 

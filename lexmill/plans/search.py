@@ -38,6 +38,10 @@ def weights_of(t: Tables) -> DataFrame:
     return R.bm25_weights(t.documents, "doc_id")
 
 
+def asked_weights_of(t: Tables) -> DataFrame:
+    return R.asked_weights(t.documents, "doc_id", R.term_counts(queries_of(t), "query_id"))
+
+
 def vectors_of(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Vectors of queries and of documents: vec_id is item_id and doc_id."""
     v = t.embeddings
@@ -46,7 +50,7 @@ def vectors_of(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 def branches_of(t: Tables) -> list[DataFrame]:
     q, v = vectors_of(t)
-    return [R.sparse_topk(queries_of(t), weights_of(t), "doc_id", 30), R.dense_topk(q, v, "doc_id", 30)]
+    return [R.sparse_topk(queries_of(t), asked_weights_of(t), "doc_id", 30), R.dense_topk(q, v, "doc_id", 30)]
 
 
 @query("tokenize", BM25 + "SELECT doc_id, count(*) AS n_tokens, count(DISTINCT term) AS n_terms, min(term) AS first_term, max(term) AS last_term FROM toks GROUP BY doc_id")
@@ -90,7 +94,7 @@ def bm25_query(t: Tables) -> DataFrame:
 
 @query("bm25_topk", BM25 + SPARSE + TOP + "sparse WHERE rank < 10")
 def bm25_topk(t: Tables) -> DataFrame:
-    return R.sparse_topk(queries_of(t), weights_of(t), "doc_id", 10)
+    return R.sparse_topk(queries_of(t), asked_weights_of(t), "doc_id", 10)
 
 
 @query("dense_topk", "WITH " + DENSE + TOP + "dense WHERE rank < 10")
@@ -113,7 +117,7 @@ def dbsf(t: Tables) -> DataFrame:
 @query("hybrid_search", FUSED + ", r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS rank FROM fused) " + TOP + "r WHERE rank < 5")
 def hybrid_search(t: Tables) -> DataFrame:
     q, v = vectors_of(t)
-    return R.hybrid_search(queries_of(t), weights_of(t), q, v, "doc_id")
+    return R.hybrid_search(queries_of(t), asked_weights_of(t), q, v, "doc_id")
 
 
 @query("hit_parents", "SELECT DISTINCT query_id, article_id AS parent_id, content FROM {hits} JOIN {article_text} USING (article_id)")
@@ -123,7 +127,7 @@ def hit_parents(t: Tables) -> DataFrame:
 
 @query("wide_narrow", BM25 + SPARSE + "SELECT query_id, doc_id, score, CAST(rank AS INT) AS rank, rank < 5 AS narrow FROM sparse WHERE rank < 20")
 def wide_narrow(t: Tables) -> DataFrame:
-    return R.wide_narrow(R.sparse_topk(queries_of(t), weights_of(t), "doc_id", 30), 5, 30)
+    return R.wide_narrow(R.sparse_topk(queries_of(t), asked_weights_of(t), "doc_id", 30), 5, 30)
 
 
 ARTICLES = BM25 + SPARSE + """, art AS (SELECT query_id, source AS article_id, max(score) AS score, min(rank) AS first_rank FROM sparse JOIN {documents} USING (doc_id) WHERE rank < 30 GROUP BY 1, 2),
@@ -132,7 +136,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first_ran
 
 
 def articles_of(t: Tables) -> DataFrame:
-    hits = R.sparse_topk(queries_of(t), weights_of(t), "doc_id", 30).join(t.documents.select("doc_id", F.col("source").alias("article_id")), "doc_id")
+    hits = R.sparse_topk(queries_of(t), asked_weights_of(t), "doc_id", 30).join(t.documents.select("doc_id", F.col("source").alias("article_id")), "doc_id")
     return R.article_rank(hits)
 
 

@@ -43,3 +43,24 @@ def test_only_unstable_texts_pass_through_python(spark):
 def test_no_texts(spark):
     none = frame(spark, [])
     assert table(R.bm25_weights(none, "doc_id")) == [] and R.corpus_stats(R.fitted(none, "doc_id")[1]) == (0, 0.0)
+
+
+def test_weights_of_asked_terms_alone(spark):
+    texts, asked = frame(spark, [*TEXTS, (1, "phạt lại"), (8, "số fine lạ")]), ["phạt", "số", "fine", "nowhere"]
+    terms = spark.createDataFrame([(a,) for a in asked * 2], "term string")
+    got = table(R.asked_weights(texts, "doc_id", terms))
+    whole = R.bm25_weights(texts, "doc_id")
+    assert got == table(whole.filter(whole.term.isin(asked))) and len({t for _, t, _ in got}) == 3
+    assert table(R.asked_weights(frame(spark, []), "doc_id", terms)) == table(R.asked_weights(texts, "doc_id", terms.limit(0))) == []
+
+
+def test_search_keeps_query_terms_alone(spark, monkeypatch, tmp_path):
+    from lexmill.plans import search
+
+    kept = []
+    monkeypatch.setattr(R, "cut", lambda df, cut=R.cut: kept.append(cut(df)) or kept[-1])
+    spark.createDataFrame(TEXTS, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "phạt số")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    found = search.bm25_topk(search.Tables(spark, str(tmp_path)))
+    assert {r.doc_id for r in found.collect()} == {1, 2, 6, 7}
+    assert {r.term for df in kept if "tf" in df.columns for r in df.collect()} <= {"", "phạt", "số"}
