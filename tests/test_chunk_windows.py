@@ -37,3 +37,16 @@ def test_partitions_grow_with_the_input(spark, monkeypatch):
     assert n > 4 and "RepartitionByExpression [doc_id" in plan and f"], {n}" in plan
     few = C.by_document(t.statute_lines, 1)._jdf.queryExecution().optimizedPlan().toString()
     assert "], 4" in few
+
+
+def test_laws_are_sorted_in_as_many_tasks_as_chunked(spark):
+    from pyspark.sql import functions as F
+
+    from lexmill.plans import texts
+    from lexmill.plans.registry import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    lines = texts.law_lines(t, 9)
+    # more than the four of the session's shuffles, and not joined by size
+    assert 4 < lines.select(F.spark_partition_id()).distinct().count() <= 9
+    assert lines.exceptAll(t.statute_lines).isEmpty() and t.statute_lines.exceptAll(lines).isEmpty()
