@@ -101,3 +101,43 @@ def test_texts_that_differ_leave_no_candidates(spark):
     finally:
         E.BLOCK_TEXTS = before
     assert {(r.a, r.b) for r in E.ratio_duplicates(sized).collect()} <= want
+
+
+def test_all_pairs_of_rows(spark):
+    """The query gives every pair of rows, copies included, with the ratio of the first row's text with the other's, which isn't symmetric."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("aeinorst") for _ in range(rng.randint(2, 7)))
+    texts = [" ".join(word() for _ in range(n)) for n in (5, 12, 60, 60)]
+    for t in texts[:4]:
+        for _ in range(3):
+            w = t.split(" ")
+            w[rng.randrange(len(w))] = word()
+            texts.append(" ".join(w))
+    rows = [(i, 0, rng.choice(texts)) for i in range(1, 61)]
+
+    class Tables:
+        conversations = spark.createDataFrame(rows, "conv_id long, turn long, text string")
+
+    own = sorted([(1000 * c, t) for c, _, t in rows] + [(1000 * c + 500, t + " Zz") for c, _, t in rows if c % 3 == 0] + [(1000 * c + 700, "  " + t) for c, _, t in rows if c % 7 == 0])
+    want = {(a, b): round(r, 6) for k, (a, x) in enumerate(own) for b, y in own[k + 1 :] if (r := SequenceMatcher(None, x, y).ratio()) >= 0.9}
+    got = evals.near_dups(Tables()).collect()
+    assert {(r.a, r.b): r.ratio for r in got} == want and len(got) == len(want) > 300
+
+
+@pytest.mark.parametrize("threshold", [0.7, 0.9, 0.95])
+def test_shared_runs_lose_no_pair_and_leave_few(threshold):
+    rng = random.Random(9)
+    syllables = ["the", "an", "er", "tion", "on", "re", "ing", "ha", "ou", "at", "sh", "en", "or", "ed", "nd"]
+    for n in (1, 4, 40, 90):
+        xs = [" ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(n)) for _ in range(30)]
+        ys = []
+        for x in xs:
+            t = list(x)
+            for _ in range(int((1 - threshold) * len(x) * 0.9)):
+                t[rng.randrange(len(t))] = rng.choice(["", "z", "\U0001f600", *"aeinor"])
+            ys.append(x[: len(x) // 3] + "".join(t[len(x) // 3 :]))
+        sides = sorted(xs, key=len), sorted(ys, key=len)
+        for one, other in (sides, sides[::-1]):
+            kept = E.enough_shared(one, other, threshold)
+            assert all(kept[i, j] for i, y in enumerate(other) for j, x in enumerate(one) if E.may_match(x, y, max(0, -int(-(threshold / 2 * (len(x) + len(y)) - 1e-9) // 1))))
+            assert threshold < 0.9 or n < 4 or kept.mean() < 0.1
