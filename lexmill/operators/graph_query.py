@@ -55,17 +55,23 @@ def closure(edges: DataFrame, starts: DataFrame, steps: int | None, rels: tuple[
 
 def article_context(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Of each article: its clauses, points, references, behaviours (its own and its clauses'), and the penalties of its own behaviours."""
-    articles = nodes.filter("label = 'Dieu'").select("id", "ten")
-    clauses = hop(edges, "CO_KHOAN").select("src", F.col("dst").alias("clause"))
-    points = clauses.join(hop(edges, "CO_DIEM").select(F.col("src").alias("clause"), "dst"), "clause").groupBy("src").agg(joined("dst").alias("points"))
-    direct = hop(edges, "QUY_DINH_HANH_VI").select("src", F.col("dst").alias("behaviour"))
-    via = clauses.join(direct.withColumnRenamed("src", "clause"), "clause").select("src", "behaviour")
-    behaviours = direct.unionByName(via).groupBy("src").agg(joined("behaviour").alias("behaviours"))
-    penalties = direct.join(hop(edges, "CHE_TAI_CHINH", "CHE_TAI_BO_SUNG").select(F.col("src").alias("behaviour"), "dst"), "behaviour").groupBy("src").agg(joined("dst").alias("penalties"))
-    out = articles
-    for part in (targets(edges, "clauses", "CO_KHOAN"), points, targets(edges, "refers_to", "THAM_CHIEU"), behaviours, penalties):
-        out = out.join(part.withColumnRenamed("src", "id"), "id", "left")
-    return out
+    rels = ("CO_KHOAN", "CO_DIEM", "THAM_CHIEU", "QUY_DINH_HANH_VI")
+    # edges are shuffled once, by source: all that reads them takes the same one set of each source, so that Spark makes and keeps it once
+    own = edges.filter(F.col("rel").isin(*rels)).groupBy("src").agg(F.collect_set(F.struct("rel", "dst")).alias("out"))
+    over = lambda rel: F.transform(F.filter("out", lambda e: e["rel"] == rel), lambda e: e["dst"])
+    every = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+    nodes = nodes.filter("label = 'Dieu'")
+    below = own.select(F.col("src").alias("clause"), over("CO_DIEM").alias("points"), over("QUY_DINH_HANH_VI").alias("via"))
+    clauses = own.select(F.col("src").alias("id"), F.explode(over("CO_KHOAN")).alias("clause"))
+    parts = clauses.join(below, "clause").groupBy("id").agg(every("points").alias("points"), every("via").alias("via"))
+    penalty = edges.filter(F.col("rel").isin("CHE_TAI_CHINH", "CHE_TAI_BO_SUNG")).groupBy(F.col("src").alias("behaviour")).agg(F.collect_set("dst").alias("penalties"))
+    direct = own.withColumnRenamed("src", "id").join(nodes.select("id"), "id", "left_semi").select("id", F.explode(over("QUY_DINH_HANH_VI")).alias("behaviour"))
+    penalties = direct.join(penalty, "behaviour").groupBy("id").agg(every("penalties").alias("penalties"))
+    found = nodes.select("id", "ten").join(own.withColumnRenamed("src", "id"), "id", "left").join(parts, "id", "left").join(penalties, "id", "left")
+    none = F.array().cast("array<string>")
+    behaviours = F.array_union(F.coalesce(over("QUY_DINH_HANH_VI"), none), F.coalesce("via", none))
+    text = lambda c: F.nullif(F.array_join(F.array_sort(c), ","), F.lit(""))
+    return found.select("id", "ten", text(over("CO_KHOAN")).alias("clauses"), text("points").alias("points"), text(over("THAM_CHIEU")).alias("refers_to"), text(behaviours).alias("behaviours"), text("penalties").alias("penalties"))
 
 
 def article_detail(nodes: DataFrame, edges: DataFrame) -> DataFrame:
