@@ -18,6 +18,8 @@ QUERY_BLOCK = 4096
 VECTOR_BLOCK = 1024
 #: Rows of query terms up to which they are sent to all tasks, so that the index isn't shuffled by term; more are joined by shuffles.
 SENT_TERMS = 1_000_000
+#: Terms of an index, the most frequent ones, that are sent to all tasks with what is known of them; the others' rows are joined by shuffles.
+FREQUENT_TERMS = 1 << 18
 
 
 def tokenised(texts: DataFrame, key: str) -> DataFrame:
@@ -31,6 +33,20 @@ def term_counts(texts: DataFrame, key: str) -> DataFrame:
     return tokenised(texts, key).select(key, F.explode("tokens").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
+def counted(texts: DataFrame, key: str) -> DataFrame:
+    """A row for each key: dl, and terms, an array of (term, tf) in the order of terms. Texts are counted where they lie; only those whose key comes again, or is null, are brought together."""
+    own = tokenised(texts, key).withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
+    again = cut(texts.groupBy(key).agg(F.count("*").alias("n")).filter((F.col("n") > 1) | F.col(key).isNull()).select(F.col(key).alias("_key")))
+    if not again.isEmpty():
+        same = F.col(key).eqNullSafe(F.col("_key"))
+        own = own.join(again, same, "left_anti").unionByName(own.join(again, same, "left_semi").groupBy(key).agg(F.flatten(F.collect_list("tokens")).alias("tokens")))
+    # no filter reads what is made here, as Spark would make it once more there, within lambdas for each element; in order, a term's first place and that of the next term tell how often it comes
+    ordered = own.select(key, F.size("tokens").alias("dl"), F.sort_array("tokens").alias("s"))
+    firsts = ordered.withColumn("at", F.filter(F.when(F.col("dl") > 0, F.sequence(F.lit(1), F.col("dl"))).otherwise(F.array().cast("array<int>")), lambda i: (i == 1) | (F.col("s")[i - 1] != F.col("s")[i - 2])))
+    terms = F.transform("at", lambda i, k: F.struct(F.col("s")[i - 1].alias("term"), (F.coalesce(F.try_element_at("at", k + 2), F.col("dl") + 1) - i).cast("long").alias("tf")))
+    return firsts.select(key, F.col("dl").cast("long").alias("dl"), terms.alias("terms"))
+
+
 def index_statistics(counts: DataFrame, texts: DataFrame) -> dict[str, DataFrame]:
     """What a batch of texts adds to an index: terms (term, df) and totals (one row: docs and tokens), of its term counts. Texts without tokens count among docs."""
     totals = texts.agg(F.count("*").alias("docs")).crossJoin(counts.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens")))  # a row each
@@ -66,9 +82,13 @@ def encoded(counts: DataFrame, key: str, statistics: dict[str, DataFrame], k1: f
     """key, term and weight, where positive, of the terms that the statistics know. The texts that were counted need not be among those of the statistics. lengths (key, dl) stand for the sums of tf, where counts haven't all terms."""
     doc_count, avgdl = corpus_stats(statistics)
     lengths = counts.groupBy(key).agg(F.sum("tf").alias("dl")) if lengths is None else lengths
-    weighed = counts.join(idf(statistics, doc_count), "term").join(lengths, key)
+    return weighed(counts.join(idf(statistics, doc_count), "term").join(lengths, key), key, avgdl, k1, b)
+
+
+def weighed(rows: DataFrame, key: str, avgdl: float, k1: float, b: float) -> DataFrame:
+    """key, term and weight, where positive, of rows with idf, tf and dl."""
     w = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl or 1.0)))
-    return weighed.select(key, "term", w.alias("weight")).filter("weight > 0")
+    return rows.select(key, "term", w.alias("weight")).filter("weight > 0")
 
 
 def vocabulary(idfs: DataFrame) -> DataFrame:
@@ -79,10 +99,33 @@ def vocabulary(idfs: DataFrame) -> DataFrame:
     return ranked.join(F.broadcast(offsets.select("letter", "before")), "letter").select("term", (F.col("before") + F.col("r")).alias("idx"), "df", "idf")
 
 
+def frequent(terms: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """terms (term, df and more) parted in two: those of at least a df, FREQUENT_TERMS at most, and the others, if there are any."""
+    powers = range(63)
+    n = terms.agg(F.count("*"), *(F.count_if(F.col("df") >= 1 << p) for p in powers)).first()
+    if n[0] <= FREQUENT_TERMS:
+        return terms, None
+    least = 1 << next((p for p in powers if n[p + 1] <= FREQUENT_TERMS), 62)
+    return terms.filter(F.col("df") >= least), terms.filter(F.col("df") < least)
+
+
 def bm25_weights(texts: DataFrame, key: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """key, term and weight, where positive. One aggregation to counts, of which the frequencies and lengths are made too."""
-    counts, statistics = fitted(texts, key)
-    return encoded(counts, key, statistics, k1, b)
+    """key, term and weight, where positive.
+
+    Terms are counted within each text, once for the statistics and again for the weights, as the counts of all texts
+    are many times their size on disk. Frequent terms get their idf where the texts lie; rows of others alone are shuffled.
+    """
+    of = counted(texts, key)
+    totals = texts.agg(F.count("*").alias("docs")).crossJoin(of.agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")))
+    known = cut(of.select(F.explode_outer("terms").alias("t")).select("t.term").filter("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df")))
+    statistics = {"terms": known, "totals": totals}
+    doc_count, avgdl = corpus_stats(statistics)
+    often, seldom = frequent(idf(statistics, doc_count))
+    each = of.filter(F.col(key).isNotNull()).select(key, "dl", F.explode_outer("terms").alias("t")).select(key, "dl", "t.term", "t.tf").filter("term IS NOT NULL")
+    rows = each.join(F.broadcast(often), "term")
+    if seldom is not None:
+        rows = rows.unionByName(each.join(F.broadcast(often.select("term")), "term", "left_anti").join(seldom.hint("merge"), "term"))
+    return weighed(rows, key, avgdl, k1, b)
 
 
 def sent(terms: DataFrame) -> DataFrame:

@@ -64,3 +64,16 @@ def test_search_keeps_query_terms_alone(spark, monkeypatch, tmp_path):
     found = search.bm25_topk(search.Tables(spark, str(tmp_path)))
     assert {r.doc_id for r in found.collect()} == {1, 2, 6, 7}
     assert {r.term for df in kept if "tf" in df.columns for r in df.collect()} <= {"", "phạt", "số"}
+
+
+def test_weights_without_counts_on_disk(spark, monkeypatch):
+    """Weights as from counts of all texts, for frequent terms and others; what is kept meanwhile are terms and repeated keys, never a row for each text and term."""
+    texts = frame(spark, [*TEXTS, (1, "phạt lại phạt"), (8, "số fine lạ a b c d e"), (9, "a a a b c"), (None, "a b"), (None, "b"), (10, None)])
+    counts, statistics = R.fitted(texts, "doc_id")
+    want = table(R.encoded(counts, "doc_id", statistics))
+    kept = []
+    monkeypatch.setattr(R, "cut", lambda df, cut=R.cut: kept.append(cut(df)) or kept[-1])
+    for most in (1 << 18, 5, 0):
+        monkeypatch.setattr(R, "FREQUENT_TERMS", most)
+        assert table(R.bm25_weights(texts, "doc_id")) == want and len(want) > 15
+    assert {tuple(df.columns) for df in kept} == {("_key",), ("term", "df")}
